@@ -46,6 +46,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Most rows of ids that are broadcast.
+BROADCAST_ROWS = 1_000_000
+
+
+def join_by_id(df: DataFrame, other: DataFrame, on: Column, how: str, rows: int | None = None) -> DataFrame:
+    """Join a wide table with a slim materialized one: a broadcast if the slim side's rows (counted, unless
+    given) are few enough, else a shuffle with its hash table on the slim side, so that texts aren't sorted."""
+    n = other.count() if rows is None else rows
+    return df.join(F.broadcast(other) if n <= BROADCAST_ROWS else other.hint("shuffle_hash"), on, how)
+
+
 def word_count(text: Column) -> Column:
     """Number of words of a text; 0 for null."""
     squeezed = F.regexp_replace(F.regexp_replace(text, WORD, "x"), f"[{SPACE}]+", "")
@@ -63,9 +74,6 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_word_hashes: dict[bytes, int] = {}
-
-
 def word_hashes(words: list[bytes]) -> np.ndarray:
     """64-bit hashes of words."""
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
