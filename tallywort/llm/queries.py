@@ -7,18 +7,30 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import linededup, mixing, ngramjoin, pieces, quality
+from . import htmltext, linededup, mixing, neardup, ngramjoin, pieces, pii, quality, urlfilter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extracted(_table(spark, sf_dir, "pages"))
+
+
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mix = mixing.mixed(_table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     return mix.select("doc_id", "size", "source_size", "target", "taken")
 
 
+#: (verdict, host, path) of the listed rules.
+URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judged(_table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = linededup.deduplicated(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
@@ -43,6 +55,29 @@ FROM marked GROUP BY doc_id
 """
 
 
+def op5_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.linked(_table(spark, sf_dir, "embeddings"), threshold=0.9)
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived(_table(spark, sf_dir, "pages")).drop("url", "date")
+
+
+OP6_SQL = """
+WITH payloads AS (
+    SELECT page_id, encode(coalesce(html, '')) AS body FROM pages
+), measured AS (
+    SELECT page_id, octet_length(body) AS payload_bytes, sha1(body) AS payload_digest FROM payloads
+), marked AS (
+    SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS original
+    FROM measured
+)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN original = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN original <> page_id THEN original END AS refers_to
+FROM marked
+"""
+
+
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngramjoin.classes(_table(spark, sf_dir, "documents").select("doc_id", "text"), k=3, percent=90)
 
@@ -51,19 +86,29 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encoded(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
     return quality.judged(docs).drop("lang", "text")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_html_extraction": op1_html_extraction,
     "op2_source_mixing": op2_source_mixing,
+    "op3_url_filter": op3_url_filter,
     "op4_line_dedup": op4_line_dedup,
+    "op5_embedding_neardup": op5_embedding_neardup,
+    "op6_warc": op6_warc,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
     "op8_sentencepiece": op8_sentencepiece,
+    "op9_pii": op9_pii,
     "op10_quality_rules": op10_quality_rules,
 }
 
 ORACLES: dict[str, str] = {
     "op4_line_dedup": OP4_SQL,
+    "op6_warc": OP6_SQL,
 }
