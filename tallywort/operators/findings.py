@@ -95,7 +95,7 @@ def listed(contractors: DataFrame, candidates: DataFrame) -> DataFrame:
 
 def active_between(start: Column, end: Column, today: Column) -> Column:
     """True within a closed interval, false outside, null if a bound is missing or the interval is reversed."""
-    return F.when(end < start, F.lit(None)).otherwise((start <= today) & (today <= end))
+    return F.when(start <= end, (start <= today) & (today <= end))
 
 
 def active_on(intervals: DataFrame, key: str, today: Column) -> DataFrame:
