@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .schema import COLUMNS
 
@@ -117,7 +118,7 @@ def merge_master(master: DataFrame, rows: DataFrame) -> DataFrame:
                     hit["outcome"] = "updated" if changed or hit["outcome"] == "updated" else "unchanged"
         return pd.DataFrame(table)[[*group.columns, "outcome"]]
 
-    out = grouped.groupBy("grp").applyInPandas(fold, grouped.schema.add("outcome", "string"))
+    out = grouped.groupBy("grp").applyInPandas(fold, T.StructType([*grouped.schema.fields, T.StructField("outcome", T.StringType())]))
     top = master.agg(F.coalesce(F.max("pk"), F.lit(0))).first()[0]
     added = out.where("pk is null")
     # numbering new rows takes one ordered pass over their line numbers alone

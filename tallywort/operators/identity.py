@@ -7,6 +7,7 @@ import difflib
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallywort.functions.text import blank, match_text
 
@@ -125,7 +126,7 @@ def in_context(context: Column, *places: tuple[Column, Column, Column]) -> Colum
     return out
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def ratio(candidate: pd.Series, target: pd.Series) -> pd.Series:
     """Share of matching blocks (Ratcliff and Obershelp) of candidate and target, in that order."""
     return pd.Series([
