@@ -14,8 +14,9 @@ the whole sequence is one; without words the set is empty and links with nothing
 3. Agreement on nothing says nothing, so signatures of no elements are left out: spare weight makes up for
    segments with too few elements, and a set that has more of these than the spare weight keeps them all.
 4. Signatures shuffle once and are sorted; of a signature's sets each is compared with the first. Once these
-   links have merged components, pairs of a signature in different components are compared too, so no
-   link between components is lost, and a large group of near copies isn't expanded into all its pairs.
+   links have merged components, sets in other components than a signature's next centre, by hash, are compared
+   with that; and after ``ROUNDS`` of these, all pairs of a signature in different components. So no link
+   between components is lost, and a large group of near copies isn't expanded into all its pairs.
 5. Candidates pass a lower bound of their difference (parities of hashed elements), then the exact test.
 
 Rows of one doc_id are one node. Null doc_id: component null. Null texts are empty. Other columns pass unused.
@@ -36,6 +37,8 @@ from . import common
 #: Cost model: pairs of unrelated sets share this part of their elements; cost of a chance pair in signatures.
 SHARED_PART, PAIR_COST = 0.02, 4.0
 ROWS = 500_000
+#: Parity buckets an element, and rounds of comparing with further centres.
+BUCKETS, ROUNDS = 4, 2
 
 
 def shingles(text: bytes, k: int) -> np.ndarray:
@@ -113,8 +116,8 @@ class Plan:
 
 
 def parities(s: np.ndarray) -> bytes:
-    """Parities of the numbers of elements by hash bucket, at least as many buckets as elements."""
-    bits = max(64, 1 << (len(s) - 1).bit_length()) if len(s) else 64
+    """Parities of the numbers of elements by hash bucket, at least BUCKETS buckets an element."""
+    bits = max(64, 1 << (BUCKETS * len(s) - 1).bit_length()) if len(s) else 64
     odd = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
@@ -348,15 +351,35 @@ def classes(docs: DataFrame, k: int = 3, percent: int = 90, pair_cost: float = P
     links = common.materialize(verified(docs, near, k, percent), "join-links")
     merged = common.components(links, "join-components", "a", "b")
 
-    # what the first sets' links have not merged
-    where = node.join(merged, node["rep"] == merged["id"], "left").select(node["id"], "rep", "n", "odd", F.coalesce("component", "rep").alias("comp"))
-    placed = members.where("id <> first").join(where, "id")
-    open_ = placed.groupBy("sig").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("sig")
-    rest = placed.join(open_, "sig", "left_semi").select("sig", "rep", "comp", "n", "odd")
-    more = common.materialize(rest.repartition("sig").sortWithinPartitions("sig", "rep").mapInArrow(_across(percent), "a long, b long").distinct(), "join-more")
-    if more.take(1):
-        links = links.union(common.materialize(verified(docs, more, k, percent), "join-more-links"))
-        merged = common.components(links, "join-components", "a", "b")
+    def undecided(merged: DataFrame, members: DataFrame) -> DataFrame:
+        """Members with their components, of signatures that more than one component shares."""
+        where = node.join(merged, node["rep"] == merged["id"], "left").select(node["id"], "rep", "n", "odd", F.coalesce("component", "rep").alias("comp"))
+        placed = members.join(where, "id")
+        open_ = placed.groupBy("sig").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("sig")
+        return placed.join(open_, "sig", "left_semi").select("sig", "id", "rep", "comp", "n", "odd")
+
+    def joined(more: DataFrame, links: DataFrame, name: str) -> tuple[DataFrame, DataFrame] | None:
+        """The links with those of the pairs that are verified, and their components; none if there are no pairs."""
+        more = common.materialize(more, name)
+        if not more.take(1):
+            return None
+        links = links.union(common.materialize(verified(docs, more, k, percent), f"{name}-links"))
+        return links, common.components(links, f"{name}-components", "a", "b")
+
+    rest = members.where("id <> first").select("sig", "id")
+    for turn in range(ROUNDS):
+        own = common.materialize(undecided(merged, rest), f"join-open-{turn}")
+        centre = own.groupBy("sig").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "rep").alias("h"), "id", "rep", "comp", "n", "odd")).alias("c"))
+        pairs = own.join(centre, "sig").where(F.col("comp") != F.col("c.comp"))
+        pairs = pairs.select(F.col("c.rep").alias("a"), F.col("rep").alias("b"), F.col("c.n").alias("na"), F.col("n").alias("nb"), F.col("c.odd").alias("oa"), F.col("odd").alias("ob"))
+        found = joined(pairs.mapInArrow(_near(percent), "a long, b long").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), links, f"join-more-{turn}")
+        if found is None:
+            break
+        links, merged = found
+        rest = own.join(centre.select("sig", F.col("c.id").alias("id")), ["sig", "id"], "left_anti").select("sig", "id")
+    last = undecided(merged, rest).select("sig", "rep", "comp", "n", "odd")
+    across = last.repartition("sig").sortWithinPartitions("sig", "rep").mapInArrow(_across(percent), "a long, b long").distinct()
+    links, merged = joined(across, links, "join-across") or (links, merged)
     comp = merged.select(F.col("id").alias("rep"), "component")
     own = reps.join(comp, "rep", "left").select(*(F.col(c).alias(f"_{c}") for c in ("n", "d1", "d2")), F.coalesce("component", "rep").alias("_comp"))
     same = (profile["n"] == own["_n"]) & (profile["d1"] == own["_d1"]) & (profile["d2"] == own["_d2"])
