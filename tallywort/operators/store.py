@@ -72,3 +72,32 @@ def _digest(path: str) -> str:
                 while piece := f.read(2**20):
                     h.update(piece)
     return h.hexdigest()
+
+
+def restore(spark: SparkSession, backup: str, target: str) -> Store:
+    """Copy a verified store to a folder that doesn't exist yet; nothing is ever overwritten."""
+    import shutil
+
+    wrong = Store(spark, backup).verify()
+    if wrong:
+        raise ValueError("the backup is damaged: " + ", ".join(wrong))
+    if os.path.exists(target):
+        raise ValueError("the target exists")
+    shutil.copytree(backup, f"{target}.new")
+    os.rename(f"{target}.new", target)
+    return Store(spark, target)
+
+
+def bundle(events: DataFrame, path: str, limit: int = 5_000) -> None:
+    """A zip of the newest log events, redacted on the executors; at most limit short rows reach the driver."""
+    import zipfile
+
+    from pyspark.sql import functions as F
+
+    from tallywort.functions.urls import redacted, sanitized_json
+
+    rows = events.orderBy(F.desc("id")).limit(limit).select("id", "level", redacted(F.col("message")).alias("message"), sanitized_json(F.col("details")).alias("details"))
+    lines = [json.dumps(r.asDict(), sort_keys=True) for r in rows.collect()]
+    with zipfile.ZipFile(path, "x", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("events.jsonl", "\n".join(reversed(lines)))
+        z.writestr("summary.json", json.dumps({"events": len(lines)}))
