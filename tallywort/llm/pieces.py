@@ -7,11 +7,12 @@ pieces, at a penalty below every score. Of equal sums the one whose last piece i
 of each settled stretch backwards. Pieces that the model reserves (control, unknown, user-defined) are never
 produced from text.
 
-The search keeps a window of as many positions as the longest piece has characters. When the best paths of
-all positions that a later piece can still start from run through one boundary, ids up to it are final and
-are emitted, so memory is bounded for texts of any length. Where no piece spans a place, such as in front
-of a word's space, all paths meet at once; stretches between such places are searched once and remembered
-in a bounded cache.
+The search keeps a window of a few times as many positions as the longest piece has characters. When the best
+paths of all positions that a later piece can still start from run through one boundary, ids up to it are
+final and are emitted, so memory is bounded for texts of any length. Where no piece spans a place, such as in
+front of a word's space or around a line break, all paths meet at once. Stretches between such places recur:
+each is searched once and remembered in a bounded table, those short enough to fit the window whole by the
+thousand, one vector operation for all stretches of a length.
 
 Decoding joins pieces, turns byte pieces back into UTF-8 and removes the dummy space. The round trip gives
 back every text except one with U+2581 in it, which decodes as a space. Null and empty texts have no ids.
@@ -24,15 +25,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Piece types of the model format.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-#: Stretches that a worker remembers, and their greatest length.
-CACHE, CACHE_CHARS = 400_000, 64
+#: Stretches that a worker remembers, and characters of those that are searched together.
+CACHE, TOGETHER = 1_000_000, 32
+#: Texts that are encoded together, in characters.
+CHUNK_CHARS = 4_000_000
+_BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _varint(data: bytes, at: int) -> tuple[int, int]:
@@ -79,6 +82,19 @@ def read_model(data: bytes) -> list[tuple[str, float, int]]:
     return out
 
 
+class _Numbered(dict):
+    """Numbers its keys in the order they are asked for."""
+
+    def __init__(self):
+        super().__init__()
+        self.fresh: list[str] = []
+
+    def __missing__(self, key: str) -> int:
+        n = self[key] = len(self)
+        self.fresh.append(key)
+        return n
+
+
 class Codec:
     """Encoder and decoder of a vocabulary."""
 
@@ -94,8 +110,41 @@ class Codec:
         self.penalty = min(self.scores.values(), default=0.0) - 10.0
         # in front of a space after another character no piece spans the place, unless one holds such a pair
         self.splits = not any(SPACE in p.lstrip(SPACE) for p in self.ids)
-        self.cache: dict[str, tuple[int, ...]] = {}
+        # line breaks split stretches too where no piece holds one; NUL then stands for one in keys
+        self.breaks = self.splits and not any("\n" in p or "\0" in p for p in self.ids)
         self.widest = 0
+        self.spelt = [
+            bytes([int(p[3:5], 16)]) if kind == BYTE else b"" if kind in (CONTROL, UNKNOWN) else p.replace(SPACE, " ").encode()
+            for p, _, kind in pieces
+        ]
+        self._index()
+        self._forget()
+
+    def _index(self) -> None:
+        """Pieces by hash, for searching many stretches at once."""
+        names = list(self.ids)
+        hashes = np.zeros(len(names), np.uint64)
+        for i, p in enumerate(names):
+            hashes[i] = self._hash(np.frombuffer(p.encode("utf-32-le"), "<u4"))
+        order = np.argsort(hashes)
+        self.hashes = hashes[order]
+        self.hash_ids = np.array([self.ids[names[i]] for i in order], np.int32)
+        self.hash_scores = np.array([self.scores[names[i]] for i in order], np.float64)
+        self.maybe = np.zeros(2**20, bool)
+        self.maybe[(self.hashes >> np.uint64(44)).astype(np.int64)] = True
+
+    @staticmethod
+    def _hash(chars: np.ndarray) -> np.uint64:
+        h = np.zeros(1, np.uint64)
+        for c in chars:
+            h = h * _BASE + np.uint64(int(c) + 1)
+        return h[0]
+
+    def _forget(self) -> None:
+        """Empty the table of stretches."""
+        self.numbers = _Numbered()
+        self.ends = np.zeros(1, np.int64)
+        self.flat = np.empty(0, np.int32)
 
     def stream(self, chars: Iterator[str] | str) -> Iterator[tuple[int, ...]]:
         """Ids of a stretch of normalised text, as they become final."""
@@ -141,44 +190,122 @@ class Codec:
             end = start
         return tuple(reversed(out))
 
-    def _stretches(self, text: str) -> Iterator[str]:
-        """Parts of a normalised text between places that no piece spans."""
+    def _keys(self, text: str) -> list[str]:
+        """The stretches of a text under short names: without their first space, or with NUL for a first line break."""
+        marked = text.replace(" ", SPACE)
+        if self.breaks and "\0" not in marked:
+            broken = (SPACE + marked).replace("\n", SPACE + "\0")
+            if SPACE + SPACE not in broken:
+                return broken.split(SPACE)[1:]
         if not self.splits:
-            yield text
-            return
-        parts = text.split(SPACE)
-        spaces = 0
-        for i, part in enumerate(parts):
-            if i:
-                spaces += 1
+            return [marked]
+        out, spaces = [], 0
+        for part in (SPACE + marked).split(SPACE)[1:]:
+            spaces += 1
             if part:
-                yield SPACE * spaces + part
+                out.append(SPACE * (spaces - 1) + part)
                 spaces = 0
-        if spaces:
-            yield SPACE * spaces
+        return out + [SPACE * (spaces - 1)] * (spaces > 0)
+
+    def _stretch(self, key: str) -> str:
+        return "\n" + key[1:] if self.breaks and key.startswith("\0") else SPACE + key
+
+    def _together(self, stretches: list[str], size: int) -> list[np.ndarray]:
+        """Ids of stretches of one length; out-of-vocabulary characters as -1 - code point."""
+        n = len(stretches)
+        chars = np.frombuffer("".join(stretches).encode("utf-32-le", "surrogatepass"), "<u4").reshape(n, size)
+        prefix = np.zeros((size + 1, n), np.uint64)
+        power = [np.ones(1, np.uint64)]
+        for i in range(size):
+            prefix[i + 1] = prefix[i] * _BASE + (chars[:, i].astype(np.uint64) + np.uint64(1))
+            power.append(power[-1] * _BASE)
+        best = np.zeros((size + 1, n))
+        back = np.zeros((size + 1, n), np.int16)
+        piece = np.zeros((size + 1, n), np.int64)
+        for end in range(1, size + 1):
+            best[end] = best[end - 1] + self.penalty
+            back[end] = end - 1
+            piece[end] = -1 - chars[:, end - 1].astype(np.int64)
+            for k in range(1, min(self.longest, end) + 1):
+                h = prefix[end] - prefix[end - k] * power[k]
+                at = np.flatnonzero(self.maybe[(h >> np.uint64(44)).astype(np.int64)])
+                if not len(at):
+                    continue
+                found = np.minimum(np.searchsorted(self.hashes, h[at]), len(self.hashes) - 1)
+                hit = self.hashes[found] == h[at]
+                at, found = at[hit], found[hit]
+                total = best[end - k, at] + self.hash_scores[found]
+                better = (total >= best[end, at]) | (k == 1)
+                at, found = at[better], found[better]
+                best[end, at], back[end, at], piece[end, at] = total[better], end - k, self.hash_ids[found]
+        out = np.zeros((n, size), np.int64)
+        place, at, rows = np.full(n, size), np.full(n, size), np.arange(n)
+        while len(rows):
+            place[rows] -= 1
+            out[rows, place[rows]] = piece[at[rows], rows]
+            at[rows] = back[at[rows], rows]
+            rows = rows[at[rows] > 0]
+        return [out[i, place[i] :] for i in range(n)]
+
+    def _learn(self) -> None:
+        """Search the stretches that are new."""
+        keys = self.numbers.fresh
+        found: list[np.ndarray | None] = [None] * len(keys)
+        by_size: dict[int, list[int]] = {}
+        whole = [self._stretch(k) for k in keys]
+        for i, s in enumerate(whole):
+            if len(s) <= TOGETHER:
+                by_size.setdefault(len(s), []).append(i)
+            else:
+                found[i] = np.array([x for part in self.stream(s) for x in part], np.int64)
+        for size, members in by_size.items():
+            for i, ids in zip(members, self._together([whole[i] for i in members], size), strict=True):
+                if len(ids) and ids.min() < 0:
+                    ids = np.array([y for x in ids.tolist() for y in ([x] if x >= 0 else [self.bytes[b] for b in chr(-1 - x).encode("utf-8", "surrogatepass")])], np.int64)
+                found[i] = ids
+        if found:
+            self.flat = np.concatenate([self.flat, *found]).astype(np.int32)
+            self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum([len(x) for x in found])])
+        self.numbers.fresh = []
+
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text."""
+        if len(self.numbers) > CACHE:
+            self._forget()
+        number = self.numbers.__getitem__
+        lists = []
+        for text in texts:
+            if "\0" in text:  # NUL itself, not a line break: ids at once, told by their sign
+                lists.append(-1 - np.array([x for s in self._plain(text) for part in self.stream(s) for x in part], np.int64))
+            else:
+                keys = self._keys(text) if text else []
+                lists.append(np.fromiter(map(number, keys), np.int64, len(keys)))
+        self._learn()
+        out = []
+        for refs in lists:
+            if len(refs) and refs[0] < 0:
+                out.append((-1 - refs).astype(np.int32))
+                continue
+            start, stop = self.ends[refs], self.ends[refs + 1]
+            size = stop - start
+            total = int(size.sum())
+            shift = np.repeat(start - (np.cumsum(size) - size), size)
+            out.append(self.flat[np.arange(total) + shift])
+        return out
+
+    def _plain(self, text: str) -> list[str]:
+        """A text's stretches themselves, split at spaces only."""
+        held, self.breaks = self.breaks, False
+        try:
+            return [SPACE + k for k in self._keys(text)]
+        finally:
+            self.breaks = held
 
     def encode(self, text: str) -> list[int]:
-        out: list[int] = []
-        if not text:
-            return out
-        cache = self.cache
-        for stretch in self._stretches(SPACE + text.replace(" ", SPACE)):
-            got = cache.get(stretch)
-            if got is None:
-                got = tuple(x for part in self.stream(stretch) for x in part)
-                if len(stretch) <= CACHE_CHARS:
-                    if len(cache) >= CACHE:
-                        cache.clear()
-                    cache[stretch] = got
-            out.extend(got)
-        return out
+        return self.encode_all([text])[0].tolist()
 
     def decode(self, ids: list[int]) -> str:
-        table = self.__dict__.setdefault("table", [
-            bytes([int(p[3:5], 16)]) if kind == BYTE else b"" if kind in (CONTROL, UNKNOWN) else p.replace(SPACE, " ").encode()
-            for p, _, kind in self.pieces
-        ])
-        text = b"".join(map(table.__getitem__, ids)).decode("utf-8", "replace")
+        text = b"".join(map(self.spelt.__getitem__, ids)).decode("utf-8", "replace")
         return text[1:] if text.startswith(" ") else text
 
 
@@ -211,16 +338,19 @@ def encoded(docs: DataFrame, path: str = MODEL) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(model.value)
         for batch in batches:
-            flat, ends, same = [], [0], []
-            for text in batch.column(place):
-                text = text.as_py() or ""
-                ids = codec.encode(text)
-                same.append(codec.decode(ids) == text.replace(SPACE, " "))
-                flat.append(np.array(ids, np.int32))
-                ends.append(ends[-1] + len(ids))
+            flat, same, held, size = [], [], [], 0
+            for i, text in enumerate(batch.column(place)):
+                held.append(text.as_py() or "")
+                size += len(held[-1])
+                if size >= CHUNK_CHARS or i == batch.num_rows - 1:
+                    ids = codec.encode_all(held)
+                    same += [codec.decode(x.tolist()) == t.replace(SPACE, " ") for x, t in zip(ids, held, strict=True)]
+                    flat += ids
+                    held, size = [], 0
+            ends = np.concatenate([[0], np.cumsum([len(x) for x in flat])]).astype(np.int32)
             values = np.concatenate(flat) if flat else np.empty(0, np.int32)
             ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, pa.int32()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, ids, pa.array(np.diff(ends), pa.int64()), pa.array(same, pa.bool_())], [*batch.schema.names, *NEW])
+            yield pa.RecordBatch.from_arrays([*batch.columns, ids, pa.array(np.diff(ends).astype(np.int64), pa.int64()), pa.array(same, pa.bool_())], [*batch.schema.names, *NEW])
 
     schema = T.StructType([*docs.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_ids", T.LongType()), T.StructField("round_trip", T.BooleanType())])
     return docs.mapInArrow(run, schema)
@@ -239,8 +369,3 @@ def decoded(encodings: DataFrame, path: str = MODEL) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], [*batch.schema.names, "decoded"])
 
     return rest.mapInArrow(run, T.StructType([*rest.schema.fields, T.StructField("decoded", T.StringType())]))
-
-
-def digest(ids):
-    """SHA-256 of the ids in decimal, joined by commas."""
-    return F.sha2(F.array_join(F.transform(ids, lambda x: x.cast("string")), ","), 256)
