@@ -344,23 +344,30 @@ def classes(docs: DataFrame, k: int = 3, percent: int = 90, pair_cost: float = P
         .repartition("sig").sortWithinPartitions("sig", "id").mapInArrow(_runs, "sig long, id long, first long"),
         "join-members",
     )
-    node = reps.select(F.col("d1").alias("id"), "rep", "n", "odd")
-    star = members.where("id <> first").select(F.greatest("id", "first").alias("ia"), F.least("id", "first").alias("ib")).distinct()
-    a, b = (node.select(F.col("id").alias(f"i{c}"), F.col("rep").alias(c), F.col("n").alias(f"n{c}"), F.col("odd").alias(f"o{c}")) for c in "ab")
-    near = common.materialize(star.join(a, "ia").join(b, "ib").select("a", "b", "na", "nb", "oa", "ob").mapInArrow(_near(percent), "a long, b long").distinct(), "join-near")
-    links = common.materialize(verified(docs, near, k, percent), "join-links")
+    node = reps.select(F.col("d1").alias("id"), "rep")
+    facts = reps.select("rep", "n", "odd")
+
+    def near(pairs: DataFrame, name: str) -> DataFrame:
+        """Distinct pairs (a, b) of documents that pass the bound; their parities join once a pair."""
+        pairs = pairs.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+        for c in "ab":
+            pairs = pairs.join(facts.select(F.col("rep").alias(c), F.col("n").alias(f"n{c}"), F.col("odd").alias(f"o{c}")), c)
+        return common.materialize(pairs.select("a", "b", "na", "nb", "oa", "ob").mapInArrow(_near(percent), "a long, b long").distinct(), name)
+
+    star = members.where("id <> first").select("id", "first").distinct()
+    star = star.join(node.withColumnRenamed("rep", "a"), "id").join(node.select(F.col("id").alias("first"), F.col("rep").alias("b")), "first")
+    links = common.materialize(verified(docs, near(star, "join-near"), k, percent), "join-links")
     merged = common.components(links, "join-components", "a", "b")
 
     def undecided(merged: DataFrame, members: DataFrame) -> DataFrame:
         """Members with their components, of signatures that more than one component shares."""
-        where = node.join(merged, node["rep"] == merged["id"], "left").select(node["id"], "rep", "n", "odd", F.coalesce("component", "rep").alias("comp"))
+        where = node.join(merged, node["rep"] == merged["id"], "left").select(node["id"], "rep", F.coalesce("component", "rep").alias("comp"))
         placed = members.join(where, "id")
         open_ = placed.groupBy("sig").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("sig")
-        return placed.join(open_, "sig", "left_semi").select("sig", "id", "rep", "comp", "n", "odd")
+        return placed.join(open_, "sig", "left_semi").select("sig", "id", "rep", "comp")
 
     def joined(more: DataFrame, links: DataFrame, name: str) -> tuple[DataFrame, DataFrame] | None:
         """The links with those of the pairs that are verified, and their components; none if there are no pairs."""
-        more = common.materialize(more, name)
         if not more.take(1):
             return None
         links = links.union(common.materialize(verified(docs, more, k, percent), f"{name}-links"))
@@ -369,16 +376,15 @@ def classes(docs: DataFrame, k: int = 3, percent: int = 90, pair_cost: float = P
     rest = members.where("id <> first").select("sig", "id")
     for turn in range(ROUNDS):
         own = common.materialize(undecided(merged, rest), f"join-open-{turn}")
-        centre = own.groupBy("sig").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "rep").alias("h"), "id", "rep", "comp", "n", "odd")).alias("c"))
-        pairs = own.join(centre, "sig").where(F.col("comp") != F.col("c.comp"))
-        pairs = pairs.select(F.col("c.rep").alias("a"), F.col("rep").alias("b"), F.col("c.n").alias("na"), F.col("n").alias("nb"), F.col("c.odd").alias("oa"), F.col("odd").alias("ob"))
-        found = joined(pairs.mapInArrow(_near(percent), "a long, b long").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), links, f"join-more-{turn}")
+        centre = own.groupBy("sig").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "rep").alias("h"), "id", "rep", "comp")).alias("c"))
+        pairs = own.join(centre, "sig").where(F.col("comp") != F.col("c.comp")).select(F.col("c.rep").alias("a"), F.col("rep").alias("b"))
+        found = joined(near(pairs, f"join-more-{turn}"), links, f"join-turn-{turn}")
         if found is None:
             break
         links, merged = found
         rest = own.join(centre.select("sig", F.col("c.id").alias("id")), ["sig", "id"], "left_anti").select("sig", "id")
-    last = undecided(merged, rest).select("sig", "rep", "comp", "n", "odd")
-    across = last.repartition("sig").sortWithinPartitions("sig", "rep").mapInArrow(_across(percent), "a long, b long").distinct()
+    last = undecided(merged, rest).join(facts, "rep").select("sig", "rep", "comp", "n", "odd")
+    across = common.materialize(last.repartition("sig").sortWithinPartitions("sig", "rep").mapInArrow(_across(percent), "a long, b long").distinct(), "join-last")
     links, merged = joined(across, links, "join-across") or (links, merged)
     comp = merged.select(F.col("id").alias("rep"), "component")
     own = reps.join(comp, "rep", "left").select(*(F.col(c).alias(f"_{c}") for c in ("n", "d1", "d2")), F.coalesce("component", "rep").alias("_comp"))
