@@ -140,9 +140,11 @@ def disclosing(docs: DataFrame, base: DataFrame) -> DataFrame:
     empty = "doc_id long, key long, terms " + SPAN
     if not wanted.take(1):
         return docs.sparkSession.createDataFrame([], empty)
-    every = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"\p{L}++"), F.lit(0)))).alias("word"))
-    held = common.join_by_id(every, wanted, F.col("word") == F.col("term"), "left_semi")
-    in_docs = held.groupBy(F.col("word").alias("term")).agg(F.count("*").alias("n_t"))
+    # counted for all words and then joined (inner: a semi join would be pushed below the count), so that frequent
+    # terms enter the join as one row each
+    words = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"\p{L}++"), F.lit(0))
+    every = docs.select(F.explode(F.array_distinct(F.filter(words, lambda w: F.length(w) >= MIN_TERM_CHARS))).alias("term"))
+    in_docs = every.groupBy("term").agg(F.count("*").alias("n_t")).join(wanted, "term")
     n = F.lit(float(max(1, n_docs)))
     pmi = F.log2(F.col("n_te") * n / (F.col("n_t") * F.col("n_e")))
     worth = F.log2(n / F.col("n_e"))
