@@ -8,8 +8,11 @@ non-finite component link with nothing.
    (``SAMPLE`` classes in hash order); their product is a grid of K * K cells. Every class is indexed in the cell
    of its nearest words.
 3. A vector's search visits cells by the multi-sequence algorithm, nearest sum of half distances first. The
-   number of cells visited is the smallest that reaches ``RECALL`` for linked pairs of the sample.
-4. A cell's members and visitors meet in blocks of bounded size; cosines are computed exactly, in double precision.
+   number of cells visited is the smallest at which either search finds ``RECALL`` of the links of ``QUERIES``
+   classes, compared exactly with all classes, in each of ``BANDS`` bands of cosine between the threshold and 1, and
+   of links planted at the threshold, one for each of these classes. A group of near copies weighs as much as a pair.
+4. Neighbouring cells make up regions, so that a vector is sent once to a region and not to each of its cells. A
+   region's members and visitors meet in blocks of bounded size; cosines are computed exactly, in double precision.
    A pair counts for both vectors whichever finds it. Blocks return counts and, of their links, a spanning
    forest, so a dense group isn't expanded into pairs.
 
@@ -29,9 +32,11 @@ from pyspark.sql import functions as F
 from . import common
 
 SAMPLE, QUERIES, RECALL = 20_000, 2_000, 0.995
+#: Bands of cosine that each must reach RECALL, links ranked for a query in a batch, and the step between ranks told apart.
+BANDS, LINKS, STEP = 4, 16, 1.1
 MAX_WORDS, PER_CELL = 512, 32
-MEMBERS, VISITORS = 2_000, 8_000
-MAX_CELLS = 256
+#: Rows of a block; regions are of that size, or smaller where that leaves fewer than REGIONS.
+MEMBERS, VISITORS, REGIONS = 8_000, 8_000, 8
 
 
 def codebook(x: np.ndarray, k: int, rounds: int = 12, seed: int = 7) -> np.ndarray:
@@ -68,36 +73,105 @@ def multi_sequence(a: np.ndarray, b: np.ndarray, cells: int) -> list[tuple[int,
 
 
 class Index:
-    """Codebooks and the number of cells that a search visits."""
+    """Codebooks, the regions of cells, and the number of cells that a search visits."""
 
-    def __init__(self, sample: np.ndarray, classes: int, threshold: float):
-        half = sample.shape[1] // 2
-        self.half = half
+    def __init__(self, sample: np.ndarray, classes: int):
+        self.half = sample.shape[1] // 2
         k = max(1, min(MAX_WORDS, len(sample) // 8, int(np.sqrt(classes / PER_CELL))))
-        self.books = codebook(sample[:, :half], k), codebook(sample[:, half:], k)
+        self.books = tuple(self._in_line(codebook(x, k)) for x in (sample[:, : self.half], sample[:, self.half :]))
         self.k = len(self.books[0])
-        a, b = distances(sample[:, :half], self.books[0]), distances(sample[:, half:], self.books[1])
-        home_a, home_b = a.argmin(1), b.argmin(1)
-        ranks = []
-        for at in range(0, min(QUERIES, len(sample)), 500):
-            cos = sample[at : min(at + 500, QUERIES)] @ sample.T
-            for i, row in enumerate(cos):
-                near = np.flatnonzero(row >= threshold)
-                for j in near[near != at + i][:50]:
-                    # cells that the search ranks before the neighbour's
-                    target = a[at + i, home_a[j]] + b[at + i, home_b[j]]
-                    sums = np.sort(b[at + i])
-                    ranks.append(int(np.searchsorted(sums, target - a[at + i], side="right").sum()))
-        want = int(np.quantile(ranks, RECALL, method="higher")) if ranks else 8
-        self.cells = max(2, min(MAX_CELLS, self.k * self.k, want))
-
-    def cells_of(self, x: np.ndarray) -> Iterator[list[int]]:
-        """The cells that each vector visits, its own first."""
-        a, b = distances(x[:, : self.half], self.books[0]), distances(x[:, self.half :], self.books[1])
-        for p, q in zip(a, b, strict=True):
-            own = int(p.argmin()) * self.k + int(q.argmin())
-            seen = [i * self.k + j for i, j in multi_sequence(p, q, self.cells)]
-            yield [own, *(c for c in seen if c != own)]
+        a, b = self.halves(sample)
+        size = np.bincount(a.argmin(1) * self.k + b.argmin(1), minlength=self.k**2) * (classes / len(sample))
+        self.regions = ((np.cumsum(size) - size) // min(MEMBERS, max(1, classes / REGIONS))).astype(np.int32)
+        self.cells = self.k**2
+
+    @staticmethod
+    def _in_line(book: np.ndarray) -> np.ndarray:
+        """The words by their place on the widest axis, so that neighbouring cells tend to be close."""
+        if not book.shape[1]:
+            return book
+        centred = book - book.mean(0)
+        return book[np.argsort(centred @ np.linalg.svd(centred, full_matrices=False)[2][0], kind="stable")]
+
+    def halves(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Distances of both halves to their codebooks."""
+        return distances(x[:, : self.half], self.books[0]), distances(x[:, self.half :], self.books[1])
+
+    def visits(self, x: np.ndarray) -> Iterator[list[int]]:
+        """The regions that each vector visits, its own first."""
+        a, b = self.halves(x)
+        own = self.regions[a.argmin(1) * self.k + b.argmin(1)].tolist()
+        grid, rows = self.k**2, max(1, 4_000_000 // self.k**2)
+        whole = grid <= 4096 or self.cells > grid // 16
+        for at in range(0, len(x), rows):
+            p, q = a[at : at + rows], b[at : at + rows]
+            if whole:
+                cells = np.argpartition((p[:, :, None] + q[:, None, :]).reshape(len(p), grid), self.cells - 1, axis=1)[:, : self.cells]
+            else:
+                cells = [[i * self.k + j for i, j in multi_sequence(u, v, self.cells)] for u, v in zip(p, q, strict=True)]
+            for home, c in zip(own[at : at + rows], cells, strict=True):
+                yield [home, *(r for r in np.unique(self.regions[c]).tolist() if r != home)]
+
+
+def rank(a: np.ndarray, b: np.ndarray, cell: tuple[int, int]) -> int:
+    """How many cells a search visits, at most, until it comes to a cell; a and b are its half distances."""
+    return int(np.searchsorted(np.sort(b), a[cell[0]] + b[cell[1]] - a + 1e-12, side="right").sum())
+
+
+def link_rank(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray]) -> int:
+    """How many cells either vector's search visits until one comes to the other's cell."""
+    home, other = ((int(a.argmin()), int(b.argmin())) for a, b in (x, y))
+    return 1 if home == other else min(rank(*x, other), rank(*y, home))
+
+
+def planted_cells(index: Index, queries: np.ndarray, threshold: float, seed: int = 11) -> int:
+    """Cells that find RECALL of links at the threshold, one in a random direction from each vector."""
+    away = np.random.default_rng(seed).normal(size=queries.shape)
+    away -= (away * queries).sum(1)[:, None] * queries
+    away /= np.maximum(np.sqrt((away * away).sum(1)), 1e-300)[:, None]
+    other = threshold * queries + np.sqrt(max(0.0, 1 - threshold**2)) * away
+    x, y = index.halves(queries), index.halves(other)
+    ranks = [link_rank((x[0][i], x[1][i]), (y[0][i], y[1][i])) for i in range(len(queries))]
+    return int(np.quantile(ranks, RECALL, method="higher"))
+
+
+def linked_cells(index: Index, queries: np.ndarray, reps: np.ndarray, classes: DataFrame, threshold: float) -> int:
+    """Cells that find RECALL of the vectors' links with all classes, in each band; 1 if they have none."""
+    shared = classes.sparkSession.sparkContext.broadcast((index, queries, reps))
+
+    def ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index, queries, reps = shared.value
+        qa, qb = index.halves(queries)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.float64).reshape(batch.num_rows, -1)
+            rep, (a, b), out = batch.column(0).to_numpy(), index.halves(x), []
+            for at in range(0, len(queries), 250):
+                for i, cos in enumerate(queries[at : at + 250] @ x.T, at):
+                    near = np.flatnonzero((cos >= threshold) & (rep != reps[i]))
+                    band = np.clip((cos[near] - threshold) / max(1e-12, 1 - threshold) * BANDS, 0, BANDS - 1).astype(int)
+                    for k in np.unique(band).tolist():
+                        some = near[band == k]
+                        some = some[np.argsort(cos[some], kind="stable")]
+                        taken = some[np.unique(np.linspace(0, len(some) - 1, LINKS).astype(int))]
+                        for j in taken.tolist():
+                            r = link_rank((qa[i], qb[i]), (a[j], b[j]))
+                            out.append((i, k, int(np.ceil(np.log(r) / np.log(STEP))), len(some) / len(taken)))
+            cols = zip(*out, strict=True) if out else [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.int32(), pa.float64()), strict=True)], ["q", "band", "step", "n"])
+
+    links = common.materialize(classes.select("rep", "unit").mapInArrow(ranked, "q int, band int, step int, n double").groupBy("q", "band", "step").agg(F.sum("n").alias("n")), "vec-ranks")
+    # a group of m is drawn m times as often as a single vector and each of its members has m links
+    weight = links.join(links.groupBy("q").agg(F.sum("n").alias("all")), "q").groupBy("band", "step").agg(F.sum(F.col("n") / F.col("all") ** 2).alias("w"))
+    bands: dict[int, list[tuple[int, float]]] = {}
+    for r in weight.orderBy("band", "step").collect():
+        bands.setdefault(r.band, []).append((r.step, r.w))
+    steps = [0]
+    for found in bands.values():
+        reached = np.cumsum([w for _, w in found])
+        steps.append(found[int(np.searchsorted(reached, RECALL * reached[-1] * (1 - 1e-9)))][0])
+    return int(np.ceil(STEP ** max(steps)))
 
 
 def _unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,31 +254,36 @@ def linked(vectors: DataFrame, threshold: float = 0.9) -> DataFrame:
         "vec-classes",
     )
     n = classes.count()
-    rows = classes.select("unit").orderBy(F.xxhash64("d1", "d2"), "d1", "d2").limit(SAMPLE).collect()
+    rows = classes.select("rep", "unit").orderBy(F.xxhash64("d1", "d2"), "d1", "d2").limit(SAMPLE + QUERIES).collect()
     comp = counts = None
     if rows:
         widest = max(len(r.unit) for r in rows)
-        sample = np.array([np.frombuffer(r.unit, np.float64) for r in rows if len(r.unit) == widest])
-        index = spark.sparkContext.broadcast(Index(sample, n, threshold))
+        rows = [r for r in rows if len(r.unit) == widest]
+        # the last rows, which the codebooks haven't seen unless they have seen nearly all
+        sample, queries = (np.array([np.frombuffer(r.unit, np.float64) for r in x]) for x in (rows[:SAMPLE], rows[-QUERIES:]))
+        reps = np.array([r.rep for r in rows[-QUERIES:]])
+        same = classes.where(F.length("unit") == widest).select("rep", "mult", "unit")
+        fitted = Index(sample, n)
+        fitted.cells = min(fitted.k**2, max(planted_cells(fitted, queries, threshold), linked_cells(fitted, queries, reps, same, threshold)))
+        index = spark.sparkContext.broadcast(fitted)
 
         def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                x = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.float64).reshape(batch.num_rows, -1)
-                visits = list(index.value.cells_of(x)) if batch.num_rows else []
+                x = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.float64).reshape(batch.num_rows, -1) if batch.num_rows else None
+                visits = list(index.value.visits(x)) if batch.num_rows else []
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([v[0] for v in visits], pa.int32()), pa.array(visits, pa.list_(pa.int32()))], ["rep", "mult", "unit", "home", "visits"])
 
-        same = classes.where(F.length("unit") == widest).select("rep", "mult", "unit")
         placed = common.materialize(same.mapInArrow(place, "rep long, mult long, unit binary, home int, visits array<int>"), "vec-cells")
-        visiting = placed.select("rep", "mult", "unit", "home", F.explode("visits").alias("cell"))
-        members = placed.groupBy(F.col("home").alias("cell")).agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("m_blocks"))
-        visitors = visiting.groupBy("cell").agg(F.ceil(F.count("*") / VISITORS).cast("int").alias("v_blocks"))
-        sizes = common.materialize(members.join(visitors, "cell"), "vec-cell-sizes")
+        visiting = placed.select("rep", "mult", "unit", "home", F.explode("visits").alias("region"))
+        members = placed.groupBy(F.col("home").alias("region")).agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("m_blocks"))
+        visitors = visiting.groupBy("region").agg(F.ceil(F.count("*") / VISITORS).cast("int").alias("v_blocks"))
+        sizes = common.materialize(members.join(visitors, "region"), "vec-region-sizes")
         salt = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
         spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-        here = placed.withColumn("cell", F.col("home")).join(sizes, "cell").withColumn("m", salt("m_blocks")).withColumn("v", spread("v_blocks")).withColumn("visitor", F.lit(False))
-        there = visiting.join(sizes, "cell").withColumn("v", salt("v_blocks")).withColumn("m", spread("m_blocks")).withColumn("visitor", F.lit(True)).withColumn("visits", F.lit(None).cast("array<int>"))
-        cols = ["cell", "m", "v", "rep", "mult", "unit", "home", "visits", "visitor"]
-        met = common.materialize(here.select(cols).union(there.select(cols)).groupBy("cell", "m", "v").applyInArrow(_meet(threshold), "a long, b long, n long"), "vec-links")
+        here = placed.withColumn("region", F.col("home")).join(sizes, "region").withColumn("m", salt("m_blocks")).withColumn("v", spread("v_blocks")).withColumn("visitor", F.lit(False))
+        there = visiting.join(sizes, "region").withColumn("v", salt("v_blocks")).withColumn("m", spread("m_blocks")).withColumn("visitor", F.lit(True)).withColumn("visits", F.lit(None).cast("array<int>"))
+        cols = ["region", "m", "v", "rep", "mult", "unit", "home", "visits", "visitor"]
+        met = common.materialize(here.select(cols).union(there.select(cols)).groupBy("region", "m", "v").applyInArrow(_meet(threshold), "a long, b long, n long"), "vec-links")
         counts = met.where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
         comp = common.components(met.where("b is not null").select("a", "b"), "vec-components", "a", "b").select(F.col("id").alias("rep"), "component")
     own = classes.select("d1", "d2", "rep", "mult")

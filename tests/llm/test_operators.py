@@ -224,6 +224,26 @@ def test_embedding_links(spark):
     assert all(out[i]["kept"] == (i == out[i]["component_id"]) for i in ids)
 
 
+@pytest.mark.parametrize("sample", [20_000, 200])
+def test_embedding_links_near_the_threshold(spark, monkeypatch, sample):
+    """Pairs between the threshold and 1 beside tight groups, which mustn't set the number of cells alone."""
+    monkeypatch.setattr(neardup, "SAMPLE", sample)
+    r = np.random.default_rng(8)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    x = unit(r.normal(size=(1500, 64)))
+    away = r.normal(size=x.shape)
+    away = unit(away - (away * x).sum(1)[:, None] * x)
+    cos = r.uniform(0.9005, 1, size=(len(x), 1))
+    groups = unit(np.repeat(unit(r.normal(size=(20, 64))), 75, axis=0) + 0.005 * r.normal(size=(1500, 64)))
+    rows = [(i, v.tolist()) for i, v in enumerate(np.concatenate([x, cos * x + np.sqrt(1 - cos**2) * away, groups]))]
+    out = {y["vec_id"]: y for y in neardup.linked(table(spark, rows, "vec_id long, embedding array<double>"), 0.9).collect()}
+    found = [out[i]["component_id"] == out[1500 + i]["component_id"] for i in range(1500)]
+    assert np.mean(found) >= 0.99
+    near = np.array([v for _, v in rows]) @ np.array([v for _, v in rows]).T >= 0.9
+    got, want = np.array([out[i]["n_links"] for i, _ in rows]), near.sum(1) - 1
+    assert (got <= want).all() and got.sum() >= 0.995 * want.sum()
+
+
 def test_multi_sequence_order():
     r = np.random.default_rng(1)
     a, b = r.random(7), r.random(9)
