@@ -4,15 +4,17 @@ All steps are DataFrame expressions. Four kinds are matched by pattern, leftmost
 each kind, and dropped if they fail their test: email; ip, with parts of at most 255; card, 12 to 19 digits that
 pass Luhn's test; phone, 9 to 15 digits. The patterns are written so that matching is linear in the text.
 
-The information-theoretic step then looks for terms that disclose an entity even when it is masked. From the
-words around every match, over the whole corpus:
+The information-theoretic step then looks for terms that disclose an entity even when it is masked. Probabilities
+are shares of the different texts of the corpus, each taken whole, base spans left out:
 
-* p(e): share of documents with entity e; IC(e) = -log2 p(e) is what knowing e is worth
-* PMI(t; e) = log2(p(t, e) / (p(t) p(e))): what term t says of e, with p(t) over all documents
+* p(e): texts with entity e; IC(e) = -log2 p(e) is what knowing e is worth
+* PMI(t; e) = log2(p(t, e) / (p(t) p(e))): what term t says of e
 
-A term discloses e if PMI reaches ``DISCLOSURE`` of IC(e) and ``MIN_CONTEXTS`` different surroundings of e hold it;
-equal surroundings, as in copies, count once. Such terms near e become spans of kind ``term``. Masking
-generalises them to ``<term>`` below full disclosure and removes them at it; base spans become ``<kind>``.
+An entity is a value or, where fewer than ``MIN_TEXTS`` texts hold the value, its class (the domain of an email, the
+network of an ip, the leading digits of a card or phone) and, where that is as rare, its kind. A term discloses
+e if PMI reaches ``DISCLOSURE`` of IC(e) and ``MIN_TEXTS`` texts hold both. Every occurrence of such a term in
+the texts of e becomes a span of kind ``term``. Masking generalises it to ``<term>`` below full disclosure and
+removes it at it; base spans become ``<kind>``.
 
 Null and empty texts have no spans. Rows are told apart by doc_id and text; positions are code points.
 """
@@ -34,10 +36,10 @@ PATTERNS = {
 }
 #: What a text must hold to have a match of a kind.
 HINTS = {"email": "@", "ip": r"[0-9]\.[0-9]++\.[0-9]++\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){11}", "phone": "+"}
-AROUND = 80
 MIN_TERM_CHARS = 4
-MIN_CONTEXTS, DISCLOSURE = 3, 0.8
-SPAN = "array<struct<start:int,rank:int,stop:int,kind:string,value:string,before:string,after:string>>"
+MIN_TEXTS, DISCLOSURE = 3, 0.8
+WORDS = r"\p{L}++"
+SPAN = "array<struct<start:int,rank:int,stop:int,kind:string,value:string>>"
 
 
 def _digits(x: Column) -> Column:
@@ -67,7 +69,7 @@ def _valid(kind: str, x: Column) -> Column:
 
 
 def spans(text: Column, kind: str) -> Column:
-    """The matches of a kind, as array of (start, rank, stop, kind, value, before, after)."""
+    """The matches of a kind, as array of (start, rank, stop, kind, value)."""
     pattern, rank = PATTERNS[kind], KINDS.index(kind)
     gaps, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     empty = F.array().cast("array<struct<start:int,value:string>>")
@@ -82,84 +84,104 @@ def spans(text: Column, kind: str) -> Column:
 
     def whole(x: Column) -> Column:
         stop = x["start"] + F.length(x["value"])
-        before = F.substring(text, F.greatest(x["start"] - AROUND, F.lit(0)) + 1, F.least(x["start"], F.lit(AROUND)))
-        return F.struct(
-            x["start"].alias("start"), F.lit(rank).alias("rank"), stop.alias("stop"), F.lit(kind).alias("kind"), x["value"].alias("value"),
-            before.alias("before"), F.substring(text, stop + 1, F.lit(AROUND)).alias("after"),
-        )
+        return F.struct(x["start"].alias("start"), F.lit(rank).alias("rank"), stop.alias("stop"), F.lit(kind).alias("kind"), x["value"].alias("value"))
 
     hint = text.contains(HINTS[kind]) if kind in ("email", "phone") else text.rlike(HINTS[kind])
     return F.when(hint, F.transform(placed, whole)).otherwise(F.array().cast(SPAN)).cast(SPAN)
 
 
-def found(docs: DataFrame) -> DataFrame:
-    """(doc_id, key, spans) for every document: base spans by start, then kind."""
-    text = F.coalesce("text", F.lit(""))
-    each = docs.select("doc_id", F.xxhash64("text").alias("key"), *(spans(text, k).alias(k) for k in KINDS))
-    return common.materialize(each.select("doc_id", "key", F.array_sort(F.concat(*KINDS)).alias("spans")), "pii-base")
-
-
-def _words_around(s: Column) -> Column:
-    """Words before and after a span, as array of (start, value); those that the window may cut are left out."""
-    def words(part: Column, offset: Column, cut_first: Column, cut_last: Column) -> Column:
-        pattern = r"\p{L}++"
-        gaps, hits = F.split(part, pattern, -1), F.regexp_extract_all(part, F.lit(pattern), F.lit(0))
-        empty = F.array().cast("array<struct<start:int,value:string>>")
+def blanked(text: Column, spans_: Column) -> Column:
+    """The text with spaces in place of its spans, which are ordered by start."""
+    def step(acc: Column, s: Column) -> Column:
+        start, stop = F.greatest(s["start"], acc["at"]), F.greatest(s["stop"], acc["at"])
+        return F.struct(stop.alias("at"), F.concat(acc["out"], F.substring(text, acc["at"] + 1, start - acc["at"]), F.repeat(F.lit(" "), stop - start)).alias("out"))
 
-        def step(acc: Column, x: Column) -> Column:
-            start = acc["at"] + F.length(x["gap"])
-            stop = start + F.coalesce(F.length(x["value"]), F.lit(0))
-            whole = x["value"].isNotNull() & (F.length(x["value"]) >= MIN_TERM_CHARS) & ~(cut_first & (start == 0)) & ~(cut_last & (stop == F.length(part)))
-            here = F.when(whole, F.array(F.struct((offset + start).cast("int").alias("start"), x["value"].alias("value")))).otherwise(empty)
-            return F.struct(stop.alias("at"), F.concat(acc["out"], here).alias("out"))
+    whole = F.aggregate(spans_, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
+    return F.when(F.size(spans_) > 0, whole).otherwise(text)
 
-        return F.aggregate(F.arrays_zip(gaps.alias("gap"), hits.alias("value")), F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda a: a["out"])
 
-    full = F.lit(AROUND)
-    left = words(s["before"], s["start"] - F.length(s["before"]), F.length(s["before"]) == full, F.lit(True))
-    right = words(s["after"], s["stop"], F.lit(True), F.length(s["after"]) == full)
-    return F.concat(left, right)
+def found(docs: DataFrame) -> DataFrame:
+    """(doc_id, key, spans, words) for every document: base spans by start, then kind, and the different terms outside them."""
+    text = F.coalesce("text", F.lit(""))
+    each = docs.select("doc_id", text.alias("text"), F.xxhash64("text").alias("key"), *(spans(text, k).alias(k) for k in KINDS))
+    each = each.select("doc_id", "key", "text", F.array_sort(F.concat(*KINDS)).alias("spans"))
+    hits = F.regexp_extract_all(blanked(F.col("text"), F.col("spans")), F.lit(WORDS), F.lit(0))
+    words = F.array_distinct(F.transform(F.filter(hits, lambda w: F.length(w) >= MIN_TERM_CHARS), F.lower))
+    return common.materialize(each.select("doc_id", "key", "spans", words.alias("words")), "pii-base")
+
+
+def _entities(s: Column) -> Column:
+    """A span's value, class and kind, finest first."""
+    value, digits = F.lower(s["value"]), _digits(s["value"])
+    group = (
+        F.when(s["kind"] == "email", F.regexp_extract(value, "@.*", 0)).when(s["kind"] == "ip", F.regexp_extract(value, r"^(.*\.)[0-9]+$", 1))
+        .when(s["kind"] == "card", F.concat(F.substring(digits, 1, 6), F.lit("*"))).otherwise(F.concat(F.lit("+"), F.substring(digits, 1, 4), F.lit("*")))
+    )
+    same = F.when(s["kind"].isin("card", "phone"), digits).otherwise(value)
+    return F.array(F.concat_ws(":", s["kind"], same), F.concat_ws(":", s["kind"], group), s["kind"])
 
 
 def disclosing(docs: DataFrame, base: DataFrame) -> DataFrame:
     """(doc_id, key, terms): spans of the terms that disclose an entity of the document."""
-    near = base.where(F.size("spans") > 0).select("doc_id", "key", F.explode("spans").alias("s"))
-    near = common.materialize(
-        near.select(
-            "doc_id", "key", F.concat_ws(":", "s.kind", F.lower("s.value")).alias("entity"),
-            F.xxhash64("s.before", "s.value", "s.after").alias("context"), _words_around(F.col("s")).alias("words"),
-        ),
-        "pii-near",
-    )
-    n_docs = base.count()
-    terms = near.select("entity", "context", F.explode(F.transform("words", lambda w: F.lower(w["value"]))).alias("term")).distinct()
-    pairs = terms.groupBy("entity", "term").agg(F.count("*").alias("n_te")).where(F.col("n_te") >= MIN_CONTEXTS)
-    pairs = common.materialize(pairs, "pii-pairs")
-    entities = near.select("entity", "context").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
-    wanted = common.materialize(pairs.select("term").distinct(), "pii-terms")
-    empty = "doc_id long, key long, terms " + SPAN
-    if not wanted.take(1):
-        return docs.sparkSession.createDataFrame([], empty)
-    # counted for all words and then joined (inner: a semi join would be pushed below the count), so that frequent
-    # terms enter the join as one row each
-    words = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"\p{L}++"), F.lit(0))
-    every = docs.select(F.explode(F.array_distinct(F.filter(words, lambda w: F.length(w) >= MIN_TERM_CHARS))).alias("term"))
-    in_docs = every.groupBy("term").agg(F.count("*").alias("n_t")).join(wanted, "term")
-    n = F.lit(float(max(1, n_docs)))
+    n_texts = base.select("key").distinct().count()
+    n = F.lit(float(max(1, n_texts)))
+    empty = docs.sparkSession.createDataFrame([], "doc_id long, key long, terms " + SPAN)
+    holding = common.materialize(base.where(F.size("spans") > 0).dropDuplicates(["key"]).select("key", "spans", "words"), "pii-holding")
+    spans_ = holding.select("key", F.explode(F.array_distinct(F.transform("spans", _entities))).alias("levels"))
+    held = spans_.select("key", F.explode("levels").alias("entity")).distinct()
+    counts = common.materialize(held.groupBy("entity").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= MIN_TEXTS), "pii-entities")
+    least = counts.agg(F.min("n_e")).first()[0]
+    if least is None or not n_texts:
+        return empty
+    # an entity's probability where a term is found, p(e|t), must reach p(e) ** (1 - DISCLOSURE), and no entity's is
+    # above that of holding any: terms short of it for the rarest entity can't pass and aren't paired
+    copies = common.materialize(base.groupBy("key").agg(F.count("*").alias("copies")).where("copies > 1"), "pii-copies")
+    weighed = common.join_by_id(base.select(F.col("key").alias("_key"), "spans", "words"), copies, F.col("_key") == F.col("key"), "left")
+    weight = F.lit(1.0) / F.coalesce("copies", F.lit(1))
+    every = weighed.select(weight.alias("w"), F.when(F.size("spans") > 0, weight).otherwise(0.0).alias("h"), F.explode("words").alias("term"))
+    terms = every.groupBy("term").agg(F.round(F.sum("w"), 3).alias("n_t"), F.round(F.sum("h"), 3).alias("n_h"))
+    floor = (least / n_texts) ** (1 - DISCLOSURE) * (1 - 1e-9)
+    terms = common.materialize(terms.where((F.col("n_h") >= MIN_TEXTS) & (F.col("n_h") >= F.col("n_t") * floor)), "pii-terms")
+    # the finest entity of each span that enough texts hold
+    finest = spans_.select("key", F.posexplode("levels").alias("level", "entity"), F.xxhash64("levels").alias("span")).join(counts.select("entity"), "entity")
+    used = common.materialize(finest.groupBy("key", "span").agg(F.min_by("entity", "level").alias("entity")).select("key", "entity").distinct(), "pii-used")
+    events = held.join(used.select("entity").distinct(), "entity")
+    word = common.materialize(holding.select("key", F.explode("words").alias("term")).join(terms.select("term"), "term"), "pii-words")
+    pairs = word.join(events, "key").groupBy("entity", "term").agg(F.count("*").alias("n_te")).where(F.col("n_te") >= MIN_TEXTS)
     pmi = F.log2(F.col("n_te") * n / (F.col("n_t") * F.col("n_e")))
     worth = F.log2(n / F.col("n_e"))
     telling = common.materialize(
-        pairs.join(in_docs, "term").join(entities, "entity").withColumn("share", pmi / worth)
+        pairs.join(terms, "term").join(counts, "entity").withColumn("share", pmi / worth)
         .where((worth > 0) & (F.col("share") >= DISCLOSURE)).select("entity", "term", "share"),
         "pii-telling",
     )
-    words = near.select("doc_id", "key", "entity", F.explode("words").alias("w"))
-    hits = words.join(telling, (words["entity"] == telling["entity"]) & (F.lower("w.value") == telling["term"]))
-    span = F.struct(
-        F.col("w.start").alias("start"), F.lit(len(KINDS)).alias("rank"), (F.col("w.start") + F.length("w.value")).alias("stop"), F.lit("term").alias("kind"),
-        F.when(F.col("share") >= 1, "").otherwise("<term>").alias("value"), F.lit("").alias("before"), F.lit("").alias("after"),
-    ).cast(SPAN.removeprefix("array<").removesuffix(">"))
-    return hits.select("doc_id", "key", span.alias("t")).groupBy("doc_id", "key").agg(F.collect_set("t").alias("terms"))
+    if not telling.take(1):
+        return empty
+    shares = word.join(used, "key").join(telling, ["entity", "term"]).groupBy("key", "term").agg(F.max("share").alias("share"))
+    shares = shares.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("term", "share"))).alias("shares"))
+    # by rows of the base table, which hold the spans to blank; documents without disclosing terms fall away first
+    there = base.where(F.size("spans") > 0).select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), "spans").dropDuplicates(["_id", "_key"])
+    there = common.materialize(there.join(shares.withColumnRenamed("key", "_of"), F.col("_key") == F.col("_of")).drop("_of"), "pii-shares")
+    mine = docs.select("doc_id", "text", F.xxhash64("text").alias("key"))
+    hits = common.join_by_id(mine, there, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key")), "inner")
+    hits = hits.select("doc_id", "key", "shares", blanked(F.coalesce("text", F.lit("")), F.col("spans")).alias("text"))
+    return hits.select("doc_id", "key", _occurrences(F.col("text"), F.col("shares")).alias("terms"))
+
+
+def _occurrences(text: Column, shares: Column) -> Column:
+    """Spans of the words that shares names."""
+    gaps, hits = F.split(text, WORDS, -1), F.regexp_extract_all(text, F.lit(WORDS), F.lit(0))
+    none = F.array().cast(SPAN)
+
+    def step(acc: Column, x: Column) -> Column:
+        start = acc["at"] + F.length(x["gap"])
+        stop = start + F.coalesce(F.length(x["value"]), F.lit(0))
+        share = F.try_element_at(shares, F.lower(x["value"]))
+        value = F.when(share >= 1 - 1e-9, "").otherwise("<term>")
+        span = F.struct(start.alias("start"), F.lit(len(KINDS)).alias("rank"), stop.alias("stop"), F.lit("term").alias("kind"), value.alias("value"))
+        return F.struct(stop.alias("at"), F.concat(acc["out"], F.when(share.isNotNull(), F.array(span)).otherwise(none)).cast(SPAN).alias("out"))
+
+    return F.aggregate(F.arrays_zip(gaps.alias("gap"), hits.alias("value")), F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda a: a["out"])
 
 
 def _listed(spans_: Column) -> Column:
@@ -167,20 +189,20 @@ def _listed(spans_: Column) -> Column:
 
 
 def detected(docs: DataFrame) -> DataFrame:
-    """(doc_id, key, base, spans): base spans, and all spans by start, then kind; terms that touch a base span are left out."""
+    """(doc_id, key, base, spans): base spans, and all spans by start, then kind."""
     base = found(docs)
     terms = disclosing(docs, base).dropDuplicates(["doc_id", "key"])
     both = base.join(terms, base["doc_id"].eqNullSafe(terms["doc_id"]) & (base["key"] == terms["key"]), "left")
-    clear = F.filter("terms", lambda t: ~F.exists(base["spans"], lambda s: (s["start"] < t["stop"]) & (t["start"] < s["stop"])))
-    every = F.array_sort(F.concat(base["spans"], F.coalesce(clear, F.array().cast(SPAN))))
+    every = F.array_sort(F.concat(base["spans"], F.coalesce("terms", F.array().cast(SPAN))))
     return both.select(base["doc_id"], base["key"], base["spans"].alias("base"), every.alias("spans"))
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """Counts by kind, digest of the base spans, and all spans as text, for every document."""
+    """Counts by kind and of flagged terms, digest of the base spans, and all spans as text, for every document."""
     d = detected(docs)
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
-    return d.select("doc_id", *map(count, KINDS), F.sha2(_listed(F.col("base")), 256).alias("base_sha256"), _listed(F.col("spans")).alias("spans"))
+    n_terms = (F.size("spans") - F.size("base")).cast("long").alias("n_terms")
+    return d.select("doc_id", *map(count, KINDS), n_terms, F.sha2(_listed(F.col("base")), 256).alias("base_sha256"), _listed(F.col("spans")).alias("spans"))
 
 
 def sanitised(docs: DataFrame) -> DataFrame:

@@ -373,6 +373,22 @@ def test_pii_terms_that_disclose(spark):
     assert masked[3] == rows[3][1]
 
 
+def test_pii_terms_of_rare_entities_and_far_words(spark):
+    """Different addresses of one domain, each in one text, and a term far from them."""
+    r = random.Random(6)
+    words = ["alpha", "bravo", "delta", "gamma", "kappa", "sigma", "theta", "omega"]
+    far = lambda: " ".join(r.choices(words, k=40))
+    rows = [(i, far()) for i in range(200)] + [(1000 + i, f"Zanzibar {far()} user{i}@corp.example {far()} zanzibar") for i in range(6)]
+    rows += [(2000, f"{far()} solo@only.example {far()} unique")]
+    df = table(spark, rows + rows[-2:-1], "doc_id long, text string")
+    out = {x["doc_id"]: x for x in pii.report(df).collect()}
+    for i, text in rows:
+        want = [m.span() for m in re.finditer("(?i)zanzibar", text)]
+        assert out[i]["n_terms"] == len(want) == (2 if 1000 <= i < 2000 else 0)
+        assert [tuple(map(int, s.split(":")[1:])) for s in out[i]["spans"].split(",") if s.startswith("term")] == want
+    assert "anzibar" not in " ".join(x["text"] for x in pii.sanitised(df).collect())
+
+
 def test_pieces_match_a_whole_search(spark):
     codec = pieces.Codec(pieces.read_model(pieces.model_bytes()))
 
