@@ -174,7 +174,7 @@ def test_ngram_join_matches_brute_force(spark, k, percent, cost):
 def test_ngram_plans_find_every_close_pair():
     r = np.random.default_rng(4)
     for low, high, percent, cost in ((8, 10, 90, 4.0), (80, 100, 80, 1e12), (90, 100, 90, 1e12), (20, 25, 80, 4.0)):
-        plan = ngramjoin.Plan(3, low, high, 10**6, percent, cost)
+        plan = ngramjoin.Plan(3, low, high, 10**6, percent, 0.02, cost)
         for _ in range(60):
             n = int(r.integers(low, high + 1))
             a = np.unique(r.integers(0, 2**63, n).astype(np.uint64) * np.uint64(2))
