@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -15,16 +16,31 @@ SPACE = r"\x20\x09-\x0D"
 WORD = rf"[^{SPACE}]+"
 SPACE_BYTES = b" \t\n\x0b\x0c\r"
 
+#: Rows of a batch of texts in a Python worker, where the session doesn't set a number of its own.
+TEXT_ROWS = 1_000
+_ROWS_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def bound_batches(df: DataFrame) -> None:
+    """Make the session hand texts to Python workers in batches of TEXT_ROWS, since ten thousand long ones would
+    fill a worker's memory. A number that the session sets itself stays."""
+    conf = df.sparkSession.conf
+    if conf.get(_ROWS_SETTING) == "10000":
+        conf.set(_ROWS_SETTING, str(TEXT_ROWS))
+
+
 _own_folders: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """Folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a local session, which is one
+    process, gets a folder of its own; on a cluster it would be each machine's own disk, so there it is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         app = spark.sparkContext.applicationId
-        folder = _own_folders.setdefault(app, "") or tempfile.mkdtemp(prefix="tallywort-")
-        _own_folders[app] = folder
+        folder = _own_folders[app] = _own_folders.get(app) or tempfile.mkdtemp(prefix="tallywort-")
     return folder.rstrip("/")
 
 

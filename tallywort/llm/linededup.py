@@ -158,6 +158,7 @@ NEW = ["n_lines", "n_dropped"]
 def deduplicated(docs: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
     """The documents without repeated lines, with n_lines (before) and n_dropped. A null text stays null if
     nothing is dropped from it; a document that loses every line has an empty text."""
+    common.bound_batches(docs)
     docs = docs.drop(*(c for c in (*NEW, "_drop") if c in docs.columns))
     lost = common.materialize(repeats(docs, bits).select(F.col("doc_id").alias("_doc_id"), F.col("drop").alias("_drop")), "line-drops")
     rows = lost.agg(F.sum(F.size("_drop"))).first()[0] or 0

@@ -161,6 +161,7 @@ def applied(docs: DataFrame, block_words: int = BLOCK_WORDS, shard_words: int =
     and once more with the words of the blocks that are taken again, a line break between stretches that
     don't touch. A document of which nothing is taken, such as an empty one, is left out; so are rows of
     null doc_id, which can't be told apart. Repeated rows of a doc_id share one place in the stream."""
+    common.bound_batches(docs)
     plan = common.materialize(
         _placed(docs, block_words, shard_words, seed).where("doc_id is not null and (base > 0 or rest > 0)")
         .dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("_id"), "start", "base", "rest", "turn", "blocks"),

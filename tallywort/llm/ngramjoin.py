@@ -40,7 +40,7 @@ from . import common
 #: the parities of one of its sets. How much unrelated sets share is measured on SAMPLE sets, of which about SAMPLE_ELEMENTS elements are looked at.
 SIGNATURE_BYTES, PAIR_BYTES, PARITY_BYTES, SAMPLE, SAMPLE_ELEMENTS = 6.0, 48.0, 0.375, 500, 200_000
 #: Signatures that a task holds before it packs and emits them, and signatures of a range of the exchange.
-CHUNK, RANGE = 1_500_000, 2_000_000
+CHUNK, RANGE = 500_000, 1_500_000
 #: Bits of a signature and of a set's code beyond those that tell all apart on average.
 SIGNATURE_SPARE, CODE_SPARE = 8, 5
 #: Sets of a block of the last comparison of all pairs.
@@ -191,7 +191,7 @@ class Layout:
     def pack(self, sig: np.ndarray, *codes: np.ndarray) -> tuple[int, bytes, bytes, list[bytes]]:
         """Sorted signatures of a range as counts by bucket and low bytes of as many bytes as take least; the codes cut to their width."""
         room = (self.width - 1).bit_length()
-        low = min(range(1, 8), key=lambda b: len(sig) * b + 4 * (1 << max(0, room - 8 * b)))
+        low = min(range(1, 8), key=lambda b: len(sig) * b + 2 * (1 << max(0, room - 8 * b)))
         local = sig % self.width
         counts = np.bincount(local >> 8 * low, minlength=1 << max(0, room - 8 * low)).astype("<u4")
         cut = lambda x, n: np.ascontiguousarray(x.astype("<i8")).view(np.uint8).reshape(-1, 8)[:, :n].tobytes()
@@ -419,6 +419,7 @@ def shared_part(docs: DataFrame, reps: DataFrame, k: int, percent: int) -> float
 def classes(docs: DataFrame, k: int = 3, percent: int = 90, pair_bytes: float = PAIR_BYTES) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of documents."""
     spark = docs.sparkSession
+    common.bound_batches(docs)
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     profile = common.materialize(slim.mapInArrow(_profile(k), "doc_id long, n long, d1 long, d2 long, odd binary"), "join-profile")
     reps = common.materialize(

@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from . import common
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Piece types of the model format.
@@ -332,6 +334,7 @@ NEW = ["ids", "n_ids", "round_trip"]
 def encoded(docs: DataFrame, path: str = MODEL) -> DataFrame:
     """The documents with ids (array of int), n_ids, and round_trip: whether the ids decode to the text."""
     model = docs.sparkSession.sparkContext.broadcast(model_bytes(path))
+    common.bound_batches(docs)
     docs = docs.drop(*(c for c in NEW if c in docs.columns))
     place = docs.columns.index("text")
 

@@ -115,7 +115,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             c.update(text.lower().split())
             for k, n in enumerate(histogram(text).astype(int).tolist()):
                 c[b" %d" % k] += n
-        if sum(map(len, counts.values())) > 200_000:
+        if sum(map(len, counts.values())) > 100_000:
             yield flush(counts)
             counts = {}
     if counts:
@@ -163,6 +163,7 @@ def judged(docs: DataFrame) -> DataFrame:
     """The documents with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, char_distance,
     word_distance, base_failed and kept. A document is kept if it passes the base rule and neither of its
     histograms, where it is long enough to have one, is further from its language's than the threshold."""
+    common.bound_batches(docs)
     refs = docs.sparkSession.sparkContext.broadcast(references(docs))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
