@@ -1,26 +1,27 @@
 """SentencePiece encoding and decoding by a streaming Viterbi search.
 
-The vocabulary and its scores are read from a SentencePiece model file. A text is normalised as the model
-asks where this is the identity: a dummy space in front, spaces as U+2581. Its encoding is the segmentation
-into pieces with the highest sum of scores; characters outside the vocabulary become their UTF-8 byte
-pieces, at a penalty below every score. Of equal sums the one whose last piece is longer wins, from the end
-of each settled stretch backwards. Pieces that the model reserves (control, unknown, user-defined) are never
-produced from text.
-
-The search keeps a window of a few times as many positions as the longest piece has characters. When the best
-paths of all positions that a later piece can still start from run through one boundary, ids up to it are
-final and are emitted, so memory is bounded for texts of any length. Where no piece spans a place, such as in
-front of a word's space or around a line break, all paths meet at once. Stretches between such places recur:
-each is searched once and remembered in a bounded table, those short enough to fit the window whole by the
-thousand, one vector operation for all stretches of a length.
+The vocabulary, its scores and the normaliser's settings are read from a SentencePiece model file. A text is
+normalised as the model asks: a dummy space in front where it wants one, spaces as U+2581. Models with a character
+map, with white space squeezed or as suffix aren't supported and are refused. A text's encoding is the segmentation
+into pieces with the highest sum of scores; characters outside the vocabulary become their UTF-8 byte pieces, or the
+unknown piece where the model has none, at a penalty below every score. Of equal sums the one whose last piece is
+longer wins. Control and unknown pieces are never produced from text; user-defined pieces score above all others.
+
+The search runs over characters as they come and keeps a window of boundaries. When the best paths of all boundaries
+that a later piece can still start from, a piece's greatest length back, run through one boundary, ids up to it are
+final: they are emitted and the window begins there, so memory is bounded for texts of any length. Where no piece
+spans a place, such as in front of a word's space or around a line break, all paths meet at once, so a text falls into
+stretches there; a stretch that recurs is searched once while a bounded table remembers its ids.
 
 Decoding joins pieces, turns byte pieces back into UTF-8 and removes the dummy space. The round trip gives
-back every text except one with U+2581 in it, which decodes as a space. Null and empty texts have no ids.
+back every text except one with U+2581 in it, which decodes as a space. Null and empty texts have no ids. Repeated
+rows are encoded alike, other columns pass, and columns named as the new ones are replaced.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -33,11 +34,10 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Piece types of the model format.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-#: Stretches that a worker remembers, and characters of those that are searched together.
-CACHE, TOGETHER = 1_000_000, 32
+#: Stretches that a worker remembers, and their ids.
+CACHE, CACHE_IDS = 300_000, 3_000_000
 #: Texts that are encoded together, in characters.
-CHUNK_CHARS = 4_000_000
-_BASE = np.uint64(0x9E3779B97F4A7C15)
+CHUNK_CHARS = 2_000_000
 
 
 def _varint(data: bytes, at: int) -> tuple[int, int]:
@@ -67,9 +67,15 @@ def _fields(data: bytes) -> Iterator[tuple[int, int, bytes | int]]:
         yield number, wire, value
 
 
-def read_model(data: bytes) -> list[tuple[str, float, int]]:
-    """(piece, score, type) of every id."""
-    out = []
+@dataclass
+class Model:
+    pieces: list[tuple[str, float, int]]  # (piece, score, type) of every id
+    dummy_space: bool = True
+
+
+def read_model(data: bytes) -> Model:
+    """Pieces and settings of a model file."""
+    pieces, dummy, squeeze, escape = [], 1, 1, 1
     for number, _, value in _fields(data):
         if number == 1:
             piece, score, kind = "", 0.0, NORMAL
@@ -80,8 +86,17 @@ def read_model(data: bytes) -> list[tuple[str, float, int]]:
                     score = float(np.frombuffer(v, "<f4")[0])
                 elif n == 3:
                     kind = v
-            out.append((piece, score, kind))
-    return out
+            pieces.append((piece, score, kind))
+        elif number == 2 and any(n == 24 and v for n, _, v in _fields(value)):
+            raise ValueError("models with white space as suffix aren't supported")
+        elif number == 3:
+            for n, _, v in _fields(value):
+                if n == 2 and v:
+                    raise ValueError("models that map characters aren't supported")
+                dummy, squeeze, escape = (v if n == k else old for k, old in ((3, dummy), (4, squeeze), (5, escape)))
+    if squeeze or not escape:
+        raise ValueError("models that squeeze white space, or keep it as it is, aren't supported")
+    return Model(pieces, bool(dummy))
 
 
 class _Numbered(dict):
@@ -100,16 +115,20 @@ class _Numbered(dict):
 class Codec:
     """Encoder and decoder of a vocabulary."""
 
-    def __init__(self, pieces: list[tuple[str, float, int]]):
-        self.pieces = pieces
-        self.ids = {p: i for i, (p, _, kind) in enumerate(pieces) if kind == NORMAL}
-        self.scores = {p: pieces[i][1] for p, i in self.ids.items()}
-        self.longest = max(map(len, self.ids), default=1)
-        self.bytes = [0] * 256
-        for i, (p, _, kind) in enumerate(pieces):
-            if kind == BYTE:
+    def __init__(self, model: Model):
+        self.dummy = model.dummy_space
+        normal = [score for _, score, kind in model.pieces if kind == NORMAL]
+        self.ids, self.scores = {}, {}
+        self.bytes: list[int] | None = [0] * 256 if any(kind == BYTE for *_, kind in model.pieces) else None
+        self.unknown = next((i for i, (*_, kind) in enumerate(model.pieces) if kind == UNKNOWN), 0)
+        for i, (p, score, kind) in enumerate(model.pieces):
+            if kind in (NORMAL, USER):
+                self.ids[p] = i
+                self.scores[p] = len(p) * max(normal, default=0.0) - 0.1 if kind == USER else score
+            elif kind == BYTE:
                 self.bytes[int(p[3:5], 16)] = i
-        self.penalty = min(self.scores.values(), default=0.0) - 10.0
+        self.longest = max(map(len, self.ids), default=1)
+        self.penalty = min(normal, default=0.0) - 10.0
         # in front of a space after another character no piece spans the place, unless one holds such a pair
         self.splits = not any(SPACE in p.lstrip(SPACE) for p in self.ids)
         # line breaks split stretches too where no piece holds one; NUL then stands for one in keys
@@ -117,31 +136,10 @@ class Codec:
         self.widest = 0
         self.spelt = [
             bytes([int(p[3:5], 16)]) if kind == BYTE else b"" if kind in (CONTROL, UNKNOWN) else p.replace(SPACE, " ").encode()
-            for p, _, kind in pieces
+            for p, _, kind in model.pieces
         ]
-        self._index()
         self._forget()
 
-    def _index(self) -> None:
-        """Pieces by hash, for searching many stretches at once."""
-        names = list(self.ids)
-        hashes = np.zeros(len(names), np.uint64)
-        for i, p in enumerate(names):
-            hashes[i] = self._hash(np.frombuffer(p.encode("utf-32-le"), "<u4"))
-        order = np.argsort(hashes)
-        self.hashes = hashes[order]
-        self.hash_ids = np.array([self.ids[names[i]] for i in order], np.int32)
-        self.hash_scores = np.array([self.scores[names[i]] for i in order], np.float64)
-        self.maybe = np.zeros(2**20, bool)
-        self.maybe[(self.hashes >> np.uint64(44)).astype(np.int64)] = True
-
-    @staticmethod
-    def _hash(chars: np.ndarray) -> np.uint64:
-        h = np.zeros(1, np.uint64)
-        for c in chars:
-            h = h * _BASE + np.uint64(int(c) + 1)
-        return h[0]
-
     def _forget(self) -> None:
         """Empty the table of stretches."""
         self.numbers = _Numbered()
@@ -187,6 +185,8 @@ class Codec:
             piece = window[start:end]
             if piece in self.ids:
                 out.append(self.ids[piece])
+            elif self.bytes is None:
+                out.append(self.unknown)
             else:
                 out.extend(self.bytes[b] for b in reversed(piece.encode("utf-8", "surrogatepass")))
             end = start
@@ -212,72 +212,27 @@ class Codec:
     def _stretch(self, key: str) -> str:
         return "\n" + key[1:] if self.breaks and key.startswith("\0") else SPACE + key
 
-    def _together(self, stretches: list[str], size: int) -> list[np.ndarray]:
-        """Ids of stretches of one length; out-of-vocabulary characters as -1 - code point."""
-        n = len(stretches)
-        chars = np.frombuffer("".join(stretches).encode("utf-32-le", "surrogatepass"), "<u4").reshape(n, size)
-        prefix = np.zeros((size + 1, n), np.uint64)
-        power = [np.ones(1, np.uint64)]
-        for i in range(size):
-            prefix[i + 1] = prefix[i] * _BASE + (chars[:, i].astype(np.uint64) + np.uint64(1))
-            power.append(power[-1] * _BASE)
-        best = np.zeros((size + 1, n))
-        back = np.zeros((size + 1, n), np.int16)
-        piece = np.zeros((size + 1, n), np.int64)
-        for end in range(1, size + 1):
-            best[end] = best[end - 1] + self.penalty
-            back[end] = end - 1
-            piece[end] = -1 - chars[:, end - 1].astype(np.int64)
-            for k in range(1, min(self.longest, end) + 1):
-                h = prefix[end] - prefix[end - k] * power[k]
-                at = np.flatnonzero(self.maybe[(h >> np.uint64(44)).astype(np.int64)])
-                if not len(at):
-                    continue
-                found = np.minimum(np.searchsorted(self.hashes, h[at]), len(self.hashes) - 1)
-                hit = self.hashes[found] == h[at]
-                at, found = at[hit], found[hit]
-                total = best[end - k, at] + self.hash_scores[found]
-                better = (total >= best[end, at]) | (k == 1)
-                at, found = at[better], found[better]
-                best[end, at], back[end, at], piece[end, at] = total[better], end - k, self.hash_ids[found]
-        out = np.zeros((n, size), np.int64)
-        place, at, rows = np.full(n, size), np.full(n, size), np.arange(n)
-        while len(rows):
-            place[rows] -= 1
-            out[rows, place[rows]] = piece[at[rows], rows]
-            at[rows] = back[at[rows], rows]
-            rows = rows[at[rows] > 0]
-        return [out[i, place[i] :] for i in range(n)]
-
     def _learn(self) -> None:
         """Search the stretches that are new."""
-        keys = self.numbers.fresh
-        found: list[np.ndarray | None] = [None] * len(keys)
-        by_size: dict[int, list[int]] = {}
-        whole = [self._stretch(k) for k in keys]
-        for i, s in enumerate(whole):
-            if len(s) <= TOGETHER:
-                by_size.setdefault(len(s), []).append(i)
-            else:
-                found[i] = np.array([x for part in self.stream(s) for x in part], np.int64)
-        for size, members in by_size.items():
-            for i, ids in zip(members, self._together([whole[i] for i in members], size), strict=True):
-                if len(ids) and ids.min() < 0:
-                    ids = np.array([y for x in ids.tolist() for y in ([x] if x >= 0 else [self.bytes[b] for b in chr(-1 - x).encode("utf-8", "surrogatepass")])], np.int64)
-                found[i] = ids
-        if found:
-            self.flat = np.concatenate([self.flat, *found]).astype(np.int32)
-            self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum([len(x) for x in found])])
+        flat: list[int] = []
+        ends: list[int] = []
+        for key in self.numbers.fresh:
+            for final in self.stream(self._stretch(key)):
+                flat += final
+            ends.append(len(flat))
+        if ends:
+            self.flat = np.concatenate([self.flat, np.array(flat, np.int32)])
+            self.ends = np.concatenate([self.ends, self.ends[-1] + np.array(ends, np.int64)])
         self.numbers.fresh = []
 
     def encode_all(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text."""
-        if len(self.numbers) > CACHE:
+        if len(self.numbers) > CACHE or len(self.flat) > CACHE_IDS:
             self._forget()
         number = self.numbers.__getitem__
         lists = []
         for text in texts:
-            if "\0" in text:  # NUL itself, not a line break: ids at once, told by their sign
+            if "\0" in text or not self.dummy:  # NUL itself, not a line break: ids at once, told by their sign
                 lists.append(-1 - np.array([x for s in self._plain(text) for part in self.stream(s) for x in part], np.int64))
             else:
                 keys = self._keys(text) if text else []
@@ -296,7 +251,9 @@ class Codec:
         return out
 
     def _plain(self, text: str) -> list[str]:
-        """A text's stretches themselves, split at spaces only."""
+        """A text's stretches themselves, split at spaces only, or the text where no space is put in front of it."""
+        if not self.dummy:
+            return [text.replace(" ", SPACE)] if text else []
         held, self.breaks = self.breaks, False
         try:
             return [SPACE + k for k in self._keys(text)]
@@ -308,7 +265,7 @@ class Codec:
 
     def decode(self, ids: list[int]) -> str:
         text = b"".join(map(self.spelt.__getitem__, ids)).decode("utf-8", "replace")
-        return text[1:] if text.startswith(" ") else text
+        return text[1:] if self.dummy and text.startswith(" ") else text
 
 
 _codecs: dict[int, Codec] = {}

@@ -420,18 +420,62 @@ def test_pieces_match_a_whole_search(spark):
     long = DOCS[-2][1]
     assert [x for p in slow.stream(pieces.SPACE + long.replace(" ", pieces.SPACE)) for x in p] == codec.encode(long)
     assert 0 < slow.widest <= 4 * slow.longest
+    whole_run = "x" * 300_000
+    assert codec.decode(codec.encode(whole_run)) == whole_run and codec.widest <= 4 * codec.longest
     out = pieces.encoded(table(spark, DOCS, SCHEMA))
     assert all(r["round_trip"] for r in out.collect())
     back = {(r["doc_id"], r["decoded"]) for r in pieces.decoded(out).collect()}
     assert back == {(i, t or "") for i, t, _, _ in DOCS}
 
 
-def test_agrees_with_the_library_in_unigram_mode():
+def model_field(number, value):
+    """A field of a protocol buffer message: a number or bytes."""
+    def varint(x):
+        out = b""
+        while x > 127:
+            out, x = out + bytes([x & 127 | 128]), x >> 7
+        return out + bytes([x])
+
+    return varint(number << 3) + varint(value) if isinstance(value, int) else varint(number << 3 | 2) + varint(len(value)) + value
+
+
+def as_unigram(data, **normaliser):
+    """The model file with unigram as its type, and other settings of its normaliser. Scores that the library's single
+    precision can't add up exactly are raised."""
+    out = b""
+    for n, _, v in pieces._fields(data):
+        if n == 1:
+            f = {k: x for k, _, x in pieces._fields(v)}
+            score = np.array([max(-40_000.0, np.frombuffer(f.get(2, b"\0\0\0\0"), "<f4")[0])], "<f4").tobytes()
+            out += model_field(1, model_field(1, f[1]) + b"\x15" + score + model_field(3, f.get(3, 1)))
+    settings = {"name": b"identity", "map": b"", "dummy": 1, "squeeze": 0, "escape": 1} | normaliser
+    return out + model_field(2, model_field(3, 1) + model_field(35, 1)) + model_field(3, b"".join(model_field(i, v) for i, v in enumerate(settings.values(), 1)))
+
+
+@pytest.mark.parametrize("dummy", [1, 0])
+def test_agrees_with_the_library_in_unigram_mode(dummy):
+    """Ids equal the library's where it searches the same scores for the highest sum."""
     sentencepiece = pytest.importorskip("sentencepiece")
-    codec = pieces.Codec(pieces.read_model(pieces.model_bytes()))
-    lib = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
-    text = "hello world, this is a test"
-    assert lib.decode(codec.encode(text)) == text
+    data = as_unigram(pieces.model_bytes(), dummy=dummy)
+    lib, codec = sentencepiece.SentencePieceProcessor(model_proto=data), pieces.Codec(pieces.read_model(data))
+    r = random.Random(8)
+    texts = ["hello world, this is a test", "a  b   c ", "nospace" * 30, "\n\nx\n y", "Übermaß ☃ 中文字符"]
+    texts += ["".join(r.choices("aab  then in\n\tÉ☃1.", k=r.randint(1, 120))) for _ in range(300)] + [t for _, t, _, _ in DOCS if t]
+    for text, ids in zip(texts, codec.encode_all(texts), strict=True):
+        assert ids.tolist() == lib.encode(text)
+        assert codec.decode(ids.tolist()) == text
+
+
+def test_models_that_are_refused():
+    for setting in ({"map": b"x"}, {"squeeze": 1}, {"escape": 0}):
+        with pytest.raises(ValueError, match="supported"):
+            pieces.read_model(as_unigram(pieces.model_bytes(), **setting))
+
+
+def test_user_defined_and_unknown_pieces():
+    model = pieces.Model([("<unk>", 0.0, pieces.UNKNOWN), ("▁", -1.0, 1), ("a", -2.0, 1), ("ab", -9.0, 1), ("<x>", 0.0, pieces.USER)])
+    codec = pieces.Codec(model)
+    assert codec.encode("a<x>a") == [1, 2, 4, 2] and codec.encode("aba?") == [1, 3, 2, 0]
 
 
 def test_extra_and_clashing_columns(spark):
