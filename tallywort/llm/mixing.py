@@ -12,9 +12,10 @@
    quota div blocks times, and quota mod blocks of them, spread evenly from a seeded start, once more.
    The words that a document gives are a closed form of its place in the stream.
 
-Nothing but sums leaves the executors, and the slim table (id, source, size) is all that shuffles. Null
-and empty texts have size 0 and give nothing; a source of size 0 has target 0. Repeated rows are separate
-documents. An empty table gives an empty mix. Results depend on the rows alone, so reruns agree.
+Nothing but sums leaves the executors, and the slim table (id, source, digest, size) is all that shuffles. Null
+and empty texts have size 0 and give nothing; a source of size 0 has target 0. Repeated rows, and rows of one
+doc_id or of none, are separate documents. An empty table gives an empty mix. Results depend on the rows alone, so
+reruns agree.
 """
 
 from __future__ import annotations
@@ -108,15 +109,14 @@ def apportioned(shards: DataFrame, blocks: int) -> DataFrame:
 
 def _placed(docs: DataFrame, block_words: int, shard_words: int, seed: int) -> DataFrame:
     """Each document's place in its shard's stream, and its shard's quota of blocks."""
-    slim = common.materialize(
-        docs.select("doc_id", "source", common.word_count(F.col("text")).alias("size")), "mix-sizes"
-    )
+    digests = [F.xxhash64(F.lit(k), "text").alias(f"d{k}") for k in (1, 2)]
+    slim = common.materialize(docs.select("doc_id", "source", *digests, common.word_count(F.col("text")).alias("size")), "mix-sizes")
     goal = common.materialize(targets(ranked_sources(slim)), "mix-targets")
     n_shards = F.ceil(F.greatest("source_size", F.lit(1)) / shard_words).cast("long")
     placed = (
         slim.join(goal, slim["source"].eqNullSafe(goal["source"])).drop(goal["source"])
-        .withColumn("order", F.xxhash64(F.lit(seed), "doc_id", "size"))
-        .withColumn("shard", F.xxhash64("source", F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id"), n_shards)))
+        .withColumn("order", F.xxhash64(F.lit(seed), "doc_id", "d1"))
+        .withColumn("shard", F.xxhash64("source", F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id", "d1"), n_shards)))
     )
     own = placed.groupBy("shard").agg(F.sum("size").alias("words"), F.first("target").alias("target"), F.first("source_size").alias("source_size"))
     shards = common.materialize(
@@ -126,9 +126,9 @@ def _placed(docs: DataFrame, block_words: int, shard_words: int, seed: int) -> D
         .select("shard", "words", "votes", "n_blocks", "most"),
         "mix-shards",
     )
-    total = shards.agg(F.sum("votes")).first()[0] or 0.0
-    quotas = apportioned(shards, round(total / block_words)).select("shard", "n_blocks", "quota")
-    stream = Window.partitionBy("shard").orderBy("order", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    total = shards.agg(F.sum(F.col("votes").cast("decimal(38,6)"))).first()[0] or 0  # exact in any order
+    quotas = apportioned(shards, round(float(total) / block_words)).select("shard", "n_blocks", "quota")
+    stream = Window.partitionBy("shard").orderBy("order", "doc_id", "d1", "d2", "size").rowsBetween(Window.unboundedPreceding, 0)
     blocks = F.greatest("n_blocks", F.lit(1))
     base = F.floor(F.col("quota") / blocks).cast("long")
     return (
@@ -159,15 +159,28 @@ def mixed(docs: DataFrame, block_words: int = BLOCK_WORDS, shard_words: int = SH
 def applied(docs: DataFrame, block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS, seed: int = SEED) -> DataFrame:
     """The mix itself, with the columns of the documents: a document whole for each full turn of its shard,
     and once more with the words of the blocks that are taken again, a line break between stretches that
-    don't touch. A document of which nothing is taken, such as an empty one, is left out; so are rows of
-    null doc_id, which can't be told apart. Repeated rows of a doc_id share one place in the stream."""
+    don't touch. A document of which nothing is taken, such as an empty one, is left out. Rows that agree in doc_id,
+    source and text lie side by side in the stream; one of them, the least in its other columns, stands for all."""
     common.bound_batches(docs)
+    key = ["id", "source_", "one", "two"]
+    id_, source_, one, two, copies, start_, base_, rest_, turn_, blocks_ = new = common.unused(docs.columns, *key, "copies", "start", "base", "rest", "turn", "blocks")
+    keys = ["doc_id", "source", "d1", "d2"]
     plan = common.materialize(
-        _placed(docs, block_words, shard_words, seed).where("doc_id is not null and (base > 0 or rest > 0)")
-        .dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("_id"), "start", "base", "rest", "turn", "blocks"),
+        _placed(docs.select("doc_id", "source", "text"), block_words, shard_words, seed).where("size > 0 and (base > 0 or rest > 0)")
+        .groupBy(*keys, "base", "rest", "turn", "blocks").agg(F.count("*").alias("copies"), F.min("start").alias("start"))
+        .select(*(F.col(a).alias(b) for a, b in zip([*keys, "copies", "start", "base", "rest", "turn", "blocks"], new, strict=True))),
         "mix-plan",
     )
-    both = common.join_by_id(docs, plan, F.col("doc_id") == F.col("_id"), "inner").drop("_id")
+    same = F.col("doc_id").eqNullSafe(F.col(id_)) & F.col("source").eqNullSafe(F.col(source_)) & (F.xxhash64(F.lit(1), "text") == F.col(one)) & (F.xxhash64(F.lit(2), "text") == F.col(two))
+    both = common.join_by_id(docs, plan, same, "inner").drop(id_, source_)
+    if plan.where(F.col(copies) > 1).take(1):
+        # only rows that have equals are grouped; of each group a task sends on one row
+        row = F.struct(*(F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)))
+        grouped = [copies, start_, base_, rest_, turn_, blocks_]
+        twins = both.where(F.col(copies) > 1).withColumn("row", row).groupBy("doc_id", "source", one, two, *grouped).agg(F.min("row").alias("row"))
+        twins = twins.select(*(F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns)), one, two, *grouped)
+        both = both.where(F.col(copies) == 1).union(twins)
+    both = both.drop(one, two)
     names = docs.columns
     place = names.index("text")
 
@@ -177,23 +190,22 @@ def applied(docs: DataFrame, block_words: int = BLOCK_WORDS, shard_words: int =
             more = [batch.column(i).to_pylist() for i in range(len(names), batch.num_columns)]
             for i, text in enumerate(batch.column(place)):
                 text = text.as_py() or ""
-                start, base, rest, turn, blocks = (c[i] for c in more)
+                copies, first, base, rest, turn, blocks = (c[i] for c in more)
                 words = [m.span() for m in _WORD.finditer(text)]
-                if not words:
-                    continue
-                rows += [i] * base
-                texts += [text] * base
-                parts: list[list[int]] = []
-                for j in range(start // block_words, (start + len(words) - 1) // block_words + 1):
-                    if ((j + 1) * rest + turn) // blocks > (j * rest + turn) // blocks:
-                        a, b = max(0, j * block_words - start), min(len(words), (j + 1) * block_words - start)
-                        if parts and parts[-1][1] == a:
-                            parts[-1][1] = b
-                        else:
-                            parts.append([a, b])
-                if parts:
-                    rows.append(i)
-                    texts.append(text if parts == [[0, len(words)]] else "\n".join(text[words[a][0] : words[b - 1][1]] for a, b in parts))
+                rows += [i] * base * copies
+                texts += [text] * base * copies
+                for start in range(first, first + copies * len(words), len(words)):
+                    parts: list[list[int]] = []
+                    for j in range(start // block_words, (start + len(words) - 1) // block_words + 1):
+                        if ((j + 1) * rest + turn) // blocks > (j * rest + turn) // blocks:
+                            a, b = max(0, j * block_words - start), min(len(words), (j + 1) * block_words - start)
+                            if parts and parts[-1][1] == a:
+                                parts[-1][1] = b
+                            else:
+                                parts.append([a, b])
+                    if parts:
+                        rows.append(i)
+                        texts.append(text if parts == [[0, len(words)]] else "\n".join(text[words[a][0] : words[b - 1][1]] for a, b in parts))
             out = batch.select(list(range(len(names)))).take(pa.array(rows, pa.int64()))
             cols = out.columns
             cols[place] = pa.array(texts, pa.string())

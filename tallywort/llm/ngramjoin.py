@@ -509,6 +509,7 @@ def classes(docs: DataFrame, k: int = 3, percent: int = 90, pair_bytes: float =
 def representatives(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """The documents without those of a component with a smaller doc_id. Documents without words and rows of
     null doc_id stay; repeated rows of a doc_id are one document and stay together."""
-    found = classes(docs, k, percent)
-    gone = common.materialize(found.where("component_id < doc_id").select(F.col("doc_id").alias("_id")).distinct(), "join-gone")
-    return common.join_by_id(docs, gone, F.col("doc_id").cast("long") == F.col("_id"), "left_anti")
+    found = classes(docs.select("doc_id", "text"), k, percent)
+    (own,) = common.unused(docs.columns, "gone_id")
+    gone = common.materialize(found.where("component_id < doc_id").select(F.col("doc_id").alias(own)).distinct(), "join-gone")
+    return common.join_by_id(docs, gone, F.col("doc_id").cast("long") == F.col(own), "left_anti")

@@ -6,18 +6,20 @@ Two histograms are compared with a reference by Jensen-Shannon distance (base 2,
   marks, symbols, other ASCII, non-ASCII characters;
 * common words: the ``TOP_WORDS`` most frequent lower-cased words of the language, and the rest.
 
-A language's reference sums the histograms of all its documents. References are kept for the
-``MAX_LANGUAGES`` languages with most words, a fixed budget; other languages, and null, use the sum of
-all. A text shorter than the guards is never judged by a distance, since its histogram is mostly noise.
+A language's reference sums the histograms of all its documents; documents of null language use the sum of all.
+References go to the tasks as a broadcast while there are at most ``HELD`` languages, else with their documents by
+a join, with the same result. A text shorter than the guards is never judged by a distance, since its histogram is mostly noise.
 
 Null and empty texts have no words, all counts 0, and fail the base rule. Rows are judged one by one, so
-repeated rows get equal verdicts, and other columns of the table, whatever their names, pass unused.
+repeated rows get equal verdicts. Other columns pass; those named as the new ones are replaced. An empty table
+gives an empty table.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +38,9 @@ SHOUTING = b"!"
 SYMBOLS = b"#*$%&|<>"
 
 TOP_WORDS = 64
-MAX_LANGUAGES = 256
+HELD = 1_000
+#: Parts in which a language's words are ranked before their best are ranked together.
+PARTS = 16
 MIN_WORDS = 30
 MIN_CHARS = 150
 MAX_CHAR_DISTANCE = 0.24
@@ -122,9 +126,9 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush(counts)
 
 
-def references(docs: DataFrame) -> dict[str | None, tuple[np.ndarray, dict[bytes, int], np.ndarray]]:
-    """By language: character-class counts, the common words' places, and their counts (last: all others).
-    The entry of None sums all languages. At most MAX_LANGUAGES + 1 entries of TOP_WORDS words."""
+def references(docs: DataFrame) -> DataFrame:
+    """A row by language, and one of null that sums all: (lang, chars, words, counts), character-class counts, the common
+    words by rank, and their counts (last: all others)."""
     by_lang = (
         docs.select("lang", F.col("text").cast("binary").alias("text"))
         .mapInArrow(_counted, "lang string, key binary, n long")
@@ -133,30 +137,53 @@ def references(docs: DataFrame) -> dict[str | None, tuple[np.ndarray, dict[bytes
     )
     counts = common.materialize(by_lang, "word-counts")
     is_class = F.substring("key", 1, 1) == F.lit(b" ")
-    totals = counts.where(~is_class).groupBy("lang").agg(F.sum("n").alias("total"))
-    langs = [r.lang for r in totals.where("lang is not null").orderBy(F.desc("total"), "lang").limit(MAX_LANGUAGES).collect()]
-    every = counts.where(~is_class).groupBy("key").agg(F.sum("n").alias("n")).select(F.lit(None).cast("string").alias("lang"), "key", "n")
-    own = counts.where(~is_class & F.col("lang").isin(langs)).select("lang", "key", "n")
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "key"))
-    top = own.withColumn("r", rank).where(F.col("r") <= TOP_WORDS).union(every.orderBy(F.desc("n"), "key").limit(TOP_WORDS).withColumn("r", F.lit(0)))
-    classes = counts.where(is_class)
-    classes = classes.where(F.col("lang").isin(langs)).select("lang", "key", "n").union(
-        classes.groupBy("key").agg(F.sum("n").alias("n")).select(F.lit(None).cast("string"), "key", "n")
+    every = counts.groupBy("key").agg(F.sum("n").alias("n")).select(F.lit(None).cast("string").alias("lang"), "key", "n")
+    both = counts.where("lang is not null").select("lang", "key", "n").union(every)
+    best = Window.partitionBy("lang", F.pmod(F.xxhash64("key"), F.lit(PARTS))).orderBy(F.desc("n"), "key")
+    top = both.where(~is_class).withColumn("r", F.row_number().over(best)).where(F.col("r") <= TOP_WORDS)
+    top = top.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "key"))).where(F.col("r") <= TOP_WORDS)
+    words = top.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("r", "key", "n"))).alias("top"))
+    totals = both.groupBy("lang").agg(
+        F.sum(F.when(~is_class, F.col("n")).otherwise(0)).alias("total"),
+        *(F.sum(F.when(F.col("key") == F.lit(b" %d" % k), F.col("n")).otherwise(0)).alias(f"c{k}") for k in range(N_CLASSES)),
     )
-    words: dict = {x: Counter() for x in (*langs, None)}
-    chars: dict = {x: np.zeros(N_CLASSES) for x in (*langs, None)}
-    for r in top.select("lang", "key", "n").collect():
-        words[r.lang][bytes(r.key)] += r.n
-    for r in classes.collect():
-        chars[r.lang][int(bytes(r.key))] += r.n
-    sums = {r.lang: r.total for r in totals.where(F.col("lang").isin(langs)).collect()}
-    sums[None] = totals.agg(F.sum("total")).first()[0] or 0
-    out = {}
-    for lang, c in words.items():
-        order = sorted(c, key=lambda w: (-c[w], w))[:TOP_WORDS]
-        n = [c[w] for w in order]
-        out[lang] = (chars[lang], {w: i for i, w in enumerate(order)}, np.array([*n, sums[lang] - sum(n)], float))
-    return out
+    n = F.coalesce(F.transform("top", lambda x: x["n"]), F.array().cast("array<long>"))
+    rest = F.col("total") - F.aggregate(n, F.lit(0).cast("long"), lambda a, x: a + x)
+    placed = totals.alias("t").join(words.alias("w"), F.col("t.lang").eqNullSafe(F.col("w.lang")), "left")
+    return common.materialize(
+        placed.select(
+            "t.lang", F.array(*(f"c{k}" for k in range(N_CLASSES))).alias("chars"),
+            F.coalesce(F.transform("top", lambda x: x["key"]), F.array().cast("array<binary>")).alias("words"), F.concat(n, F.array(rest)).alias("counts"),
+        ),
+        "word-references",
+    )
+
+
+@dataclass
+class Reference:
+    chars: np.ndarray
+    places: dict[bytes, int]
+    counts: np.ndarray
+
+    @classmethod
+    def of(cls, chars: list, words: list, counts: list) -> Reference:
+        return cls(np.array(chars, float), {bytes(w): i for i, w in enumerate(words)}, np.array(counts, float))
+
+
+def measured(text: bytes, ref: Reference) -> tuple:
+    """The values of NEW for a text."""
+    words = text.split()
+    bytes_ = np.bincount(np.frombuffer(text, np.uint8), minlength=256)
+    classes = (bytes_ @ _BY_CLASS)[:N_CLASSES]
+    near = far = 0.0
+    if len(words) >= MIN_WORDS and classes.sum() >= MIN_CHARS:
+        near = distance(classes, ref.chars)
+        found = np.bincount([ref.places[w] for w in text.lower().split() if w in ref.places], minlength=len(ref.places)).astype(float)
+        far = distance(np.append(found, len(words) - found.sum()), ref.counts)
+    n_repeat = repeated_words(common.word_hashes(words)) if len(words) > WINDOW else 0
+    failed = len(words) < MIN_BASE_WORDS or 100 * n_repeat > MAX_REPEAT_PERCENT * len(words)
+    kept = not failed and near <= MAX_CHAR_DISTANCE and far <= MAX_WORD_DISTANCE
+    return len(words), int(classes.sum() - classes[3]), int(bytes_[list(SYMBOLS)].sum()), repeated_lines(text), n_repeat, near, far, failed, kept
 
 
 def judged(docs: DataFrame) -> DataFrame:
@@ -164,34 +191,36 @@ def judged(docs: DataFrame) -> DataFrame:
     word_distance, base_failed and kept. A document is kept if it passes the base rule and neither of its
     histograms, where it is long enough to have one, is further from its language's than the threshold."""
     common.bound_batches(docs)
-    refs = docs.sparkSession.sparkContext.broadcast(references(docs))
+    plain = docs.drop(*(c for c in NEW if c in docs.columns))
+    table = references(docs.select("lang", "text"))
+    held = None
+    own = common.unused(plain.columns, "ref_lang", "ref_chars", "ref_words", "ref_counts")
+    if table.count() <= HELD:
+        held = docs.sparkSession.sparkContext.broadcast({r["lang"]: Reference.of(*r[1:]) for r in table.collect()})
+        rows = plain
+    else:
+        rows = plain.join(table.toDF(*own), F.col("lang").eqNullSafe(F.col(own[0])), "left").drop(own[0])
+    n = len(plain.columns)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = refs.value
+        known: dict = held.value if held is not None else {}
         for batch in batches:
-            rows: list[tuple] = []
-            for lang, text in zip(batch.column(batch.schema.get_field_index("lang")), batch.column(batch.schema.get_field_index("text")), strict=True):
-                lang, text = lang.as_py(), (text.as_py() or "").encode()
-                words = text.split()
-                bytes_ = np.bincount(np.frombuffer(text, np.uint8), minlength=256)
-                classes = (bytes_ @ _BY_CLASS)[:N_CLASSES]
-                chars, places, common_words = known.get(lang) or known[None]
-                near = far = 0.0
-                if len(words) >= MIN_WORDS and classes.sum() >= MIN_CHARS:
-                    near = distance(classes, chars)
-                    found = np.bincount([places[w] for w in text.lower().split() if w in places], minlength=len(places)).astype(float)
-                    far = distance(np.append(found, len(words) - found.sum()), common_words)
-                n_repeat = repeated_words(common.word_hashes(words)) if len(words) > WINDOW else 0
-                failed = len(words) < MIN_BASE_WORDS or 100 * n_repeat > MAX_REPEAT_PERCENT * len(words)
-                rows.append((len(words), int(classes.sum() - classes[3]), int(bytes_[list(SYMBOLS)].sum()), repeated_lines(text), n_repeat, near, far, failed, not failed and near <= MAX_CHAR_DISTANCE and far <= MAX_WORD_DISTANCE))
-            cols = list(zip(*rows, strict=True)) or [()] * 9
+            out = []
+            for i, (lang, text) in enumerate(zip(batch.column(batch.schema.get_field_index("lang")), batch.column(batch.schema.get_field_index("text")), strict=True)):
+                lang = lang.as_py()
+                if lang not in known:
+                    if len(known) > HELD:
+                        known.clear()
+                    known[lang] = Reference.of(*(batch.column(n + k)[i].as_py() for k in range(3)))
+                out.append(measured((text.as_py() or "").encode(), known[lang]))
+            cols = list(zip(*out, strict=True)) or [()] * 9
             types = [pa.int64()] * 5 + [pa.float64()] * 2 + [pa.bool_()] * 2
-            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], schema=pa.schema([*batch.schema, *(pa.field(n, t) for n, t in zip(NEW, types, strict=True))]))
+            fields = [*list(batch.schema)[:n], *(pa.field(n, t) for n, t in zip(NEW, types, strict=True))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], schema=pa.schema(fields))
 
-    plain = docs.drop(*(c for c in NEW if c in docs.columns))
     kinds = [T.LongType()] * 5 + [T.DoubleType()] * 2 + [T.BooleanType()] * 2
     added = [T.StructField(n, k) for n, k in zip(NEW, kinds, strict=True)]
-    return plain.mapInArrow(measure, T.StructType([*plain.schema.fields, *added]))
+    return rows.mapInArrow(measure, T.StructType([*plain.schema.fields, *added]))
 
 
 NEW = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "char_distance", "word_distance", "base_failed", "kept"]

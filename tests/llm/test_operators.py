@@ -23,6 +23,12 @@ def fold(x):
     return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in x)
 
 
+def odd_columns(df):
+    """The table with columns that helpers might be named like."""
+    names = ["own_id", "drop", "gone_id", "id", "source_", "one", "copies", "start", "_id", "_doc_id", "_spans", "_host", "rep", "key", "order", "shard", "base", "row"]
+    return df.withColumns({n: F.lit(i).cast("long") for i, n in enumerate(names) if n not in df.columns})
+
+
 def make_docs(n=80, seed=3):
     """Documents with copies, near copies, shared lines, nulls, empty and long texts, repeated rows."""
     r = random.Random(seed)
@@ -65,6 +71,19 @@ def test_quality_matches_brute_force(spark):
         assert not (r["base_failed"] and r["kept"])
 
 
+def test_quality_references_by_join(spark, monkeypatch):
+    """More languages than are held give the same rows."""
+    rows = [*DOCS, *((2000 + i, f"{DOCS[i][1]} and more", f"l{i % 7}", "a") for i in range(40))]
+    df = table(spark, rows, SCHEMA).withColumn("ref_lang", F.lit(1))
+    want = quality.judged(df).collect()
+    monkeypatch.setattr(quality, "HELD", 2)
+    assert sorted(map(str, quality.judged(df).collect())) == sorted(map(str, want))
+    refs = {r["lang"]: r for r in quality.references(df).collect()}
+    words = [w for _, t, lang, _ in rows if lang == "l3" for w in fold(t).encode().split()]
+    best = sorted(set(words), key=lambda w: (-words.count(w), w))[: quality.TOP_WORDS]
+    assert [bytes(w) for w in refs["l3"]["words"]] == best and sum(refs["l3"]["counts"]) == len(words)
+
+
 def test_quality_distance():
     p, q = np.array([1.0, 0]), np.array([0, 1.0])
     assert quality.distance(p, q) == 1 and quality.distance(p, p) == 0 and quality.distance(p, 0 * p) == 0
@@ -79,7 +98,7 @@ def test_quality_rejects_other_distributions(spark):
     assert not out.pop(100)
 
 
-@pytest.mark.parametrize("bits", [2**27, 2**6])
+@pytest.mark.parametrize("bits", [None, 2**6, 0])
 def test_line_dedup_matches_brute_force(spark, bits):
     out = {r["doc_id"]: r for r in linededup.deduplicated(table(spark, DOCS, SCHEMA), bits).collect()}
     holders = {}
@@ -146,6 +165,22 @@ def test_mix_applied_takes_what_it_says(spark):
     assert got == {k: v for k, v in said.items() if v}
 
 
+def test_mix_applied_to_rows_without_ids_of_their_own(spark):
+    """Rows of null or repeated doc_id, with equal and with different texts, take their share of words each."""
+    r = random.Random(5)
+    text = lambda n: " ".join(r.choices(["aa", "bb", "cc", "dd"], k=n))
+    rows = [(None, text(40), "a") for _ in range(6)] + [(1, text(30), "a"), (1, text(31), "a"), (2, None, "a"), (None, None, None)]
+    rows += [(3, "x y z " * 7, "b")] * 4 + [(4, text(50), "b"), (5, text(60), None)]
+    df = odd_columns(table(spark, rows, "doc_id long, text string, source string"))
+    said = sum(x["taken"] for x in mixing.mixed(df, 4, 50).collect())
+    out = mixing.applied(df, 4, 50)
+    assert out.columns == df.columns
+    got = out.collect()
+    assert said == sum(len(x["text"].split()) for x in got) > 0
+    assert sorted(map(str, got)) == sorted(map(str, mixing.applied(df.repartition(5), 4, 50).collect()))
+    assert {x["own_id"] for x in got} == {0}
+
+
 @pytest.mark.parametrize(("k", "percent", "cost"), [(3, 90, 4.0), (5, 80, 4.0), (3, 80, 1e9), (2, 60, 1e6)])
 def test_ngram_join_matches_brute_force(spark, k, percent, cost):
     out = {}
@@ -487,6 +522,14 @@ def test_extra_and_clashing_columns(spark):
     assert ngramjoin.classes(df).count() == 1
 
 
+def test_helper_names_do_not_clash(spark):
+    df = odd_columns(table(spark, DOCS, SCHEMA))
+    for f in (linededup.deduplicated, ngramjoin.representatives, mixing.applied, quality.judged, pieces.encoded):
+        out = f(df)
+        assert out.columns[: len(df.columns)] == df.columns
+        assert out.select(*[c for c in df.columns if c not in SCHEMA]).distinct().count() == 1
+
+
 def test_empty_tables(spark):
     docs = table(spark, [], SCHEMA)
     assert quality.judged(docs).count() == ngramjoin.classes(docs).count() == mixing.mixed(docs).count() == pii.report(docs).count() == pieces.encoded(docs).count() == 0
