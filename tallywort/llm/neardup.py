@@ -16,7 +16,9 @@ non-finite component link with nothing.
    A pair counts for both vectors whichever finds it. Blocks return counts and, of their links, a spanning
    forest, so a dense group isn't expanded into pairs.
 
-Components come from the forests' edges. Rows of one vec_id are separate rows with a common component.
+Components come from the forests' edges. Rows of one vec_id are separate rows with a common component. Vectors of
+different lengths don't link; each length has an index of its own. Rows of null vec_id link with nothing. An empty table
+gives an empty table, and other columns pass unused.
 """
 
 from __future__ import annotations
@@ -245,53 +247,58 @@ def _meet(threshold: float):
     return run
 
 
+def _met(classes: DataFrame, n: int, threshold: float) -> DataFrame:
+    """(a, b, n) of the links between n classes of one length: counts by vector (b null) and forests of links."""
+    spark = classes.sparkSession
+    rows = classes.select("rep", "unit").orderBy(F.xxhash64("d1", "d2"), "d1", "d2").limit(SAMPLE + QUERIES).collect()
+    # the last rows, which the codebooks haven't seen unless they have seen nearly all
+    sample, queries = (np.array([np.frombuffer(r.unit, np.float64) for r in x]) for x in (rows[:SAMPLE], rows[-QUERIES:]))
+    reps = np.array([r.rep for r in rows[-QUERIES:]])
+    fitted = Index(sample, n)
+    fitted.cells = min(fitted.k**2, max(planted_cells(fitted, queries, threshold), linked_cells(fitted, queries, reps, classes, threshold)))
+    index = spark.sparkContext.broadcast(fitted)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.float64).reshape(batch.num_rows, -1) if batch.num_rows else None
+            visits = list(index.value.visits(x)) if batch.num_rows else []
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([v[0] for v in visits], pa.int32()), pa.array(visits, pa.list_(pa.int32()))], ["rep", "mult", "unit", "home", "visits"])
+
+    placed = common.materialize(classes.select("rep", "mult", "unit").mapInArrow(place, "rep long, mult long, unit binary, home int, visits array<int>"), "vec-cells")
+    visiting = placed.select("rep", "mult", "unit", "home", F.explode("visits").alias("region"))
+    members = placed.groupBy(F.col("home").alias("region")).agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("m_blocks"))
+    visitors = visiting.groupBy("region").agg(F.ceil(F.count("*") / VISITORS).cast("int").alias("v_blocks"))
+    sizes = common.materialize(members.join(visitors, "region"), "vec-region-sizes")
+    salt = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    here = placed.withColumn("region", F.col("home")).join(sizes, "region").withColumn("m", salt("m_blocks")).withColumn("v", spread("v_blocks")).withColumn("visitor", F.lit(False))
+    there = visiting.join(sizes, "region").withColumn("v", salt("v_blocks")).withColumn("m", spread("m_blocks")).withColumn("visitor", F.lit(True)).withColumn("visits", F.lit(None).cast("array<int>"))
+    cols = ["region", "m", "v", "rep", "mult", "unit", "home", "visits", "visitor"]
+    return common.materialize(here.select(cols).union(there.select(cols)).groupBy("region", "m", "v").applyInArrow(_meet(threshold), "a long, b long, n long"), "vec-links")
+
+
 def linked(vectors: DataFrame, threshold: float = 0.9) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row of (vec_id, embedding)."""
-    spark = vectors.sparkSession
     units = common.materialize(vectors.select("vec_id", "embedding").mapInArrow(_unit, "vec_id long, unit binary, d1 long, d2 long"), "vec-units")
     classes = common.materialize(
         units.where("unit is not null and vec_id is not null").groupBy("d1", "d2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("mult"), F.first("unit").alias("unit")),
         "vec-classes",
     )
-    n = classes.count()
-    rows = classes.select("rep", "unit").orderBy(F.xxhash64("d1", "d2"), "d1", "d2").limit(SAMPLE + QUERIES).collect()
-    comp = counts = None
-    if rows:
-        widest = max(len(r.unit) for r in rows)
-        rows = [r for r in rows if len(r.unit) == widest]
-        # the last rows, which the codebooks haven't seen unless they have seen nearly all
-        sample, queries = (np.array([np.frombuffer(r.unit, np.float64) for r in x]) for x in (rows[:SAMPLE], rows[-QUERIES:]))
-        reps = np.array([r.rep for r in rows[-QUERIES:]])
-        same = classes.where(F.length("unit") == widest).select("rep", "mult", "unit")
-        fitted = Index(sample, n)
-        fitted.cells = min(fitted.k**2, max(planted_cells(fitted, queries, threshold), linked_cells(fitted, queries, reps, same, threshold)))
-        index = spark.sparkContext.broadcast(fitted)
-
-        def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                x = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.float64).reshape(batch.num_rows, -1) if batch.num_rows else None
-                visits = list(index.value.visits(x)) if batch.num_rows else []
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([v[0] for v in visits], pa.int32()), pa.array(visits, pa.list_(pa.int32()))], ["rep", "mult", "unit", "home", "visits"])
-
-        placed = common.materialize(same.mapInArrow(place, "rep long, mult long, unit binary, home int, visits array<int>"), "vec-cells")
-        visiting = placed.select("rep", "mult", "unit", "home", F.explode("visits").alias("region"))
-        members = placed.groupBy(F.col("home").alias("region")).agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("m_blocks"))
-        visitors = visiting.groupBy("region").agg(F.ceil(F.count("*") / VISITORS).cast("int").alias("v_blocks"))
-        sizes = common.materialize(members.join(visitors, "region"), "vec-region-sizes")
-        salt = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
-        spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-        here = placed.withColumn("region", F.col("home")).join(sizes, "region").withColumn("m", salt("m_blocks")).withColumn("v", spread("v_blocks")).withColumn("visitor", F.lit(False))
-        there = visiting.join(sizes, "region").withColumn("v", salt("v_blocks")).withColumn("m", spread("m_blocks")).withColumn("visitor", F.lit(True)).withColumn("visits", F.lit(None).cast("array<int>"))
-        cols = ["region", "m", "v", "rep", "mult", "unit", "home", "visits", "visitor"]
-        met = common.materialize(here.select(cols).union(there.select(cols)).groupBy("region", "m", "v").applyInArrow(_meet(threshold), "a long, b long, n long"), "vec-links")
-        counts = met.where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
-        comp = common.components(met.where("b is not null").select("a", "b"), "vec-components", "a", "b").select(F.col("id").alias("rep"), "component")
+    found: DataFrame | None = None
+    # one index a vector length; a table has few lengths, and vectors of different lengths have no cosine
+    for r in classes.groupBy(F.length("unit").alias("size")).count().where("count > 1").orderBy("size").collect():
+        own = _met(classes.where(F.length("unit") == r["size"]), r["count"], threshold)
+        found = own if found is None else found.union(own)
     own = classes.select("d1", "d2", "rep", "mult")
-    if comp is None:
+    if found is None:
         own = own.withColumn("n", F.lit(0)).withColumn("component", F.col("rep"))
     else:
-        own = own.join(counts, "rep", "left").join(comp, "rep", "left")
-    out = units.drop("unit").join(own, ["d1", "d2"], "left")
+        counts = found.where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
+        comp = common.components(found.where("b is not null").select("a", "b"), "vec-components", "a", "b").select(F.col("id").alias("rep"), "component")
+        own = common.materialize(own.join(counts, "rep", "left").join(comp, "rep", "left"), "vec-placed")
+    # vectors that can't link stay out of the join
+    none = [F.lit(None).cast("long").alias(c) for c in ("rep", "mult", "n", "component")]
+    out = units.where("d1 is not null").join(own, ["d1", "d2"], "left").select("vec_id", "rep", "mult", "n", "component").union(units.where("d1 is null").select("vec_id", *none))
     component = F.coalesce("component", F.when(F.col("vec_id").isNotNull(), F.coalesce("rep", "vec_id")))
     links = F.coalesce(F.col("mult") - 1 + F.coalesce("n", F.lit(0)), F.lit(0)).cast("long")
     return out.select("vec_id", links.alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))

@@ -16,11 +16,14 @@ e if PMI reaches ``DISCLOSURE`` of IC(e) and ``MIN_TEXTS`` texts hold both. Ever
 the texts of e becomes a span of kind ``term``. Masking generalises it to ``<term>`` below full disclosure and
 removes it at it; base spans become ``<kind>``.
 
-Null and empty texts have no spans. Rows are told apart by doc_id and text; positions are code points.
+Null and empty texts have no spans, and an empty table gives an empty table. Rows are told apart by doc_id and text, so
+repeated rows get equal spans; positions are code points. Other columns pass unused.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,6 +40,8 @@ PATTERNS = {
 #: What a text must hold to have a match of a kind.
 HINTS = {"email": "@", "ip": r"[0-9]\.[0-9]++\.[0-9]++\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){11}", "phone": "+"}
 MIN_TERM_CHARS = 4
+#: Items of an array that are walked before their values are put aside.
+BLOCK = 128
 MIN_TEXTS, DISCLOSURE = 3, 0.8
 WORDS = r"\p{L}++"
 SPAN = "array<struct<start:int,rank:int,stop:int,kind:string,value:string>>"
@@ -68,19 +73,38 @@ def _valid(kind: str, x: Column) -> Column:
     return F.lit(True)
 
 
+def _folded(items: Column, kind: str, step: Callable[[Column, Column], tuple[Column, Column]]) -> Column:
+    """Walks an array with a position, from 0: step takes the position and an item and gives the next position and an
+    array of values (null: none). Returns the last position (at) and all values (out). Values are gathered in blocks,
+    so that long arrays aren't copied at each item."""
+    none = F.array().cast(f"array<{kind}>")
+    last = F.greatest(F.size(items) - 1, F.lit(0))
+    blocks = F.transform(F.sequence(F.lit(0), F.floor(last / BLOCK).cast("int")), lambda b: F.slice(items, b * BLOCK + 1, F.lit(BLOCK)))
+
+    def within(acc: Column, x: Column) -> Column:
+        at, out = step(acc["at"], x)
+        return F.struct(at.alias("at"), F.when(out.isNull(), acc["out"]).otherwise(F.concat(acc["out"], out)).cast(f"array<{kind}>").alias("out"))
+
+    def add(done: Column, block: Column) -> Column:
+        begin = F.struct(F.coalesce(F.try_element_at(done, F.lit(-1))["at"], F.lit(0)).alias("at"), none.alias("out"))
+        return F.concat(done, F.array(F.aggregate(block, begin, within)))
+
+    parts = F.aggregate(blocks, F.array().cast(f"array<struct<at:int,out:array<{kind}>>>"), add)
+    return F.transform(F.array(parts), lambda p: F.struct(F.try_element_at(p, F.lit(-1))["at"].alias("at"), F.flatten(F.transform(p, lambda x: x["out"])).alias("out")))[0]
+
+
 def spans(text: Column, kind: str) -> Column:
     """The matches of a kind, as array of (start, rank, stop, kind, value)."""
     pattern, rank = PATTERNS[kind], KINDS.index(kind)
     gaps, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    empty = F.array().cast("array<struct<start:int,value:string>>")
     pairs = F.arrays_zip(gaps.alias("gap"), found.alias("value"))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
-        here = F.when(x["value"].isNotNull() & _valid(kind, x["value"]), F.array(F.struct(start.alias("start"), x["value"].alias("value")))).otherwise(empty)
-        return F.struct((start + F.coalesce(F.length(x["value"]), F.lit(0))).alias("at"), F.concat(acc["out"], here).alias("out"))
+    def step(at: Column, x: Column) -> tuple[Column, Column]:
+        start = at + F.length(x["gap"])
+        here = F.when(x["value"].isNotNull() & _valid(kind, x["value"]), F.array(F.struct(start.alias("start"), x["value"].alias("value"))))
+        return start + F.coalesce(F.length(x["value"]), F.lit(0)), here
 
-    placed = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda acc: acc["out"])
+    placed = _folded(pairs, "struct<start:int,value:string>", step)["out"]
 
     def whole(x: Column) -> Column:
         stop = x["start"] + F.length(x["value"])
@@ -92,12 +116,14 @@ def spans(text: Column, kind: str) -> Column:
 
 def blanked(text: Column, spans_: Column) -> Column:
     """The text with spaces in place of its spans, which are ordered by start."""
-    def step(acc: Column, s: Column) -> Column:
-        start, stop = F.greatest(s["start"], acc["at"]), F.greatest(s["stop"], acc["at"])
-        return F.struct(stop.alias("at"), F.concat(acc["out"], F.substring(text, acc["at"] + 1, start - acc["at"]), F.repeat(F.lit(" "), stop - start)).alias("out"))
+    def step(at: Column, s: Column) -> tuple[Column, Column]:
+        start, stop = F.greatest(s["start"], at), F.greatest(s["stop"], at)
+        return stop, F.array(F.concat(F.substring(text, at + 1, start - at), F.repeat(F.lit(" "), stop - start)))
 
-    whole = F.aggregate(spans_, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
-    return F.when(F.size(spans_) > 0, whole).otherwise(text)
+    def whole(r: Column) -> Column:
+        return F.concat(F.array_join(r["out"], ""), F.substring(text, r["at"] + 1, F.length(text)))
+
+    return F.when(F.size(spans_) > 0, F.transform(F.array(_folded(spans_, "string", step)), whole)[0]).otherwise(text)
 
 
 def found(docs: DataFrame) -> DataFrame:
@@ -171,17 +197,16 @@ def disclosing(docs: DataFrame, base: DataFrame) -> DataFrame:
 def _occurrences(text: Column, shares: Column) -> Column:
     """Spans of the words that shares names."""
     gaps, hits = F.split(text, WORDS, -1), F.regexp_extract_all(text, F.lit(WORDS), F.lit(0))
-    none = F.array().cast(SPAN)
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
+    def step(at: Column, x: Column) -> tuple[Column, Column]:
+        start = at + F.length(x["gap"])
         stop = start + F.coalesce(F.length(x["value"]), F.lit(0))
         share = F.try_element_at(shares, F.lower(x["value"]))
         value = F.when(share >= 1 - 1e-9, "").otherwise("<term>")
         span = F.struct(start.alias("start"), F.lit(len(KINDS)).alias("rank"), stop.alias("stop"), F.lit("term").alias("kind"), value.alias("value"))
-        return F.struct(stop.alias("at"), F.concat(acc["out"], F.when(share.isNotNull(), F.array(span)).otherwise(none)).cast(SPAN).alias("out"))
+        return stop, F.when(share.isNotNull(), F.array(span))
 
-    return F.aggregate(F.arrays_zip(gaps.alias("gap"), hits.alias("value")), F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda a: a["out"])
+    return _folded(F.arrays_zip(gaps.alias("gap"), hits.alias("value")), SPAN[6:-1], step)["out"].cast(SPAN)
 
 
 def _listed(spans_: Column) -> Column:
@@ -207,17 +232,13 @@ def report(docs: DataFrame) -> DataFrame:
 
 def sanitised(docs: DataFrame) -> DataFrame:
     """The documents with their spans masked; overlapping spans are masked as one, by the kind of the first."""
-    d = detected(docs).where(F.size("spans") > 0).dropDuplicates(["doc_id", "key"]).select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), F.col("spans").alias("_spans"))
-    both = docs.join(d, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_key")), "left")
+    id_, key, spans_ = common.unused(docs.columns, "masked_id", "masked_key", "masked_spans")
+    d = detected(docs.select("doc_id", "text")).where(F.size("spans") > 0).dropDuplicates(["doc_id", "key"]).select(F.col("doc_id").alias(id_), F.col("key").alias(key), F.col("spans").alias(spans_))
+    both = docs.join(d, F.col("doc_id").eqNullSafe(F.col(id_)) & (F.xxhash64("text") == F.col(key)), "left")
 
-    def step(acc: Column, s: Column) -> Column:
+    def step(at: Column, s: Column) -> tuple[Column, Column]:
         mask = F.when(s["kind"] == "term", s["value"]).otherwise(F.concat(F.lit("<"), s["kind"], F.lit(">")))
-        apart = s["start"] >= acc["at"]
-        gap = F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"])
-        return F.struct(
-            F.greatest(acc["at"], s["stop"]).alias("at"),
-            F.when(apart, F.concat(acc["out"], gap, mask)).otherwise(acc["out"]).alias("out"),
-        )
-
-    masked = F.aggregate("_spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda a: F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, F.length("text"))))
-    return both.select(*(F.when(F.col("_spans").isNotNull(), masked).otherwise(F.col("text")).alias(c) if c == "text" else F.col(c) for c in docs.columns))
+        return F.greatest(at, s["stop"]), F.when(s["start"] >= at, F.array(F.concat(F.substring(F.col("text"), at + 1, s["start"] - at), mask)))
+
+    masked = F.transform(F.array(_folded(F.col(spans_), "string", step)), lambda r: F.concat(F.array_join(r["out"], ""), F.substring(F.col("text"), r["at"] + 1, F.length("text"))))[0]
+    return both.select(*(F.when(F.col(spans_).isNotNull(), masked).otherwise(F.col("text")).alias(c) if c == "text" else F.col(c) for c in docs.columns))

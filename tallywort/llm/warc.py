@@ -41,6 +41,8 @@ ARC_FIELDS = {
 MIN_REVISIT_BYTES = 1000
 #: Bytes of an archive file before the next one begins.
 FILE_BYTES = 64 * 2**20
+#: Compressed bytes that are read at once.
+PIECE = 2**14
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -144,15 +146,18 @@ def convert(stream, revisits=lambda r: None, extra=lambda r: None) -> Iterator[t
 
 
 def gunzip_members(data: bytes) -> Iterator[bytes]:
-    """The members of a compressed archive, one record each."""
+    """The members of a compressed archive, one record each. Bytes go in by pieces, since what is left over after a
+    member is copied."""
     at = 0
     while at < len(data):
-        d = zlib.decompressobj(31)
-        out = d.decompress(memoryview(data)[at:]) + d.flush()
-        if not d.eof:
-            raise ValueError("a compressed record is cut off")
-        at = len(data) - len(d.unused_data)
-        yield out
+        d, out = zlib.decompressobj(31), []
+        while not d.eof:
+            if at >= len(data):
+                raise ValueError("a compressed record is cut off")
+            out.append(d.decompress(data[at : at + PIECE]))
+            at += PIECE
+        at = min(at, len(data)) - len(d.unused_data)
+        yield b"".join(out)
 
 
 def read_warc_record(data: bytes) -> tuple[dict[str, str], bytes]:
@@ -176,21 +181,28 @@ def _date_of(page_id: int) -> str:
     return f"202401{day + 1:02d}{second // 3600:02d}{second // 60 % 60:02d}{second % 60:02d}"
 
 
-def page_as_arc(page_id: int, url: str, payload: bytes, version: int) -> bytes:
-    """A page as a record of a legacy archive; its id travels in the HTTP header."""
-    head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nX-Page-Id: {page_id}\r\nContent-Length: {len(payload)}\r\n\r\n"
+def page_as_arc(page_id: int | None, url: str, payload: bytes, version: int) -> bytes:
+    """A page as a record of a legacy archive; its id, unless null, travels in the HTTP header."""
+    own = "" if page_id is None else f"X-Page-Id: {page_id}\r\n"
+    head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n{own}Content-Length: {len(payload)}\r\n\r\n"
     body = head.encode() + payload
-    return arc_header(re.sub(r"[\r\n]+", "%0A", url) or "unknown:", "192.0.2.1", _date_of(page_id), "text/html", len(body), version) + body + b"\n"
+    return arc_header(re.sub(r"[\r\n]+", "%0A", url) or "unknown:", "192.0.2.1", _date_of(page_id or 0), "text/html", len(body), version) + body + b"\n"
 
 
 def originals(pages: DataFrame) -> DataFrame:
-    """(page_id, refers_to, refers_url): for pages whose payload of at least MIN_REVISIT_BYTES recurs, the largest
-    page_id with it and its url. Only digests shuffle, one row a digest and task."""
+    """(id, again): for page ids with a payload of at least MIN_REVISIT_BYTES that recurs under a larger one, a map from
+    the payload's digest to the largest page_id with it and its url. Only digests shuffle, one row a digest and task."""
     payload = F.coalesce(F.col("html").cast("binary"), F.lit(b""))
     keys = pages.where("page_id is not null").select("page_id", F.coalesce("url", F.lit("")).alias("url"), F.sha1(payload).alias("digest"), F.length(payload).alias("size")).where(F.col("size") >= MIN_REVISIT_BYTES).drop("size")
     keys = common.materialize(keys, "warc-digests")
-    last = keys.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.min("page_id").alias("first"), F.max_by("url", F.struct("page_id", "url")).alias("refers_url")).where("first < refers_to").drop("first")
-    return keys.join(last, "digest").where("page_id < refers_to").select(F.col("page_id").alias("_id"), "refers_to", "refers_url", F.col("digest").alias("_sha1")).distinct()
+    # a table, so that the join shuffles both sides and a common payload's rows can be split among tasks
+    last = common.materialize(
+        keys.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.min("page_id").alias("first"), F.max_by("url", F.struct("page_id", "url")).alias("refers_url"))
+        .where("first < refers_to").drop("first"),
+        "warc-last",
+    )
+    found = keys.join(last, "digest").where("page_id < refers_to").select("page_id", "digest", F.struct("refers_to", "refers_url").alias("to")).distinct()
+    return found.groupBy(F.col("page_id").alias("id")).agg(F.map_from_entries(F.collect_list(F.struct("digest", "to"))).alias("again"))
 
 
 def _filesystem(folder: str):
@@ -201,9 +213,9 @@ def _filesystem(folder: str):
 
 def written(pages: DataFrame, folder: str) -> DataFrame:
     """Write a record for each page into compressed archives below the folder; returns the manifest (file, records)."""
-    again = common.materialize(originals(pages), "warc-revisits")
+    again = common.materialize(originals(pages.select("page_id", "url", "html")), "warc-revisits")
     slim = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), F.coalesce(F.col("html").cast("binary"), F.lit(b"")).alias("html"))
-    both = common.join_by_id(slim, again, F.col("page_id") == F.col("_id"), "left").drop("_id")
+    both = common.join_by_id(slim, again, F.col("page_id") == F.col("id"), "left").drop("id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = _filesystem(folder)
@@ -211,21 +223,21 @@ def written(pages: DataFrame, folder: str) -> DataFrame:
         out, name, size, records, files = None, "", 0, 0, []
         version = 1
         for batch in batches:
-            for page_id, url, html, refers_to, refers_url, digest in zip(*batch.columns, strict=True):
+            for page_id, url, html, again in zip(*batch.columns, strict=True):
                 if out is None:
                     name, size, records, version = f"{uuid.uuid4().hex}.warc.gz", 0, 0, 3 - version
                     out = store.open_output_stream(f"{root}/{name}", compression=None)
                     first = to_warc(next(read_arc(io.BytesIO(arc_start(name, _date_of(0), version)))))
                     out.write(gzip.compress(first, 1))
-                page_id, refers_to = page_id.as_py(), refers_to.as_py()
-                arc = arc_start(name, _date_of(0), version) + page_as_arc(-1 if page_id is None else page_id, url.as_py(), html.as_py(), version)
-                refers, extra = None, None
-                if refers_to is not None:
-                    label = "sha1:" + base64.b32encode(bytes.fromhex(digest.as_py())).decode()
-                    target = re.sub(r"[\r\n]+", "%0A", refers_url.as_py()) or "unknown:"
-                    refers = record_id(target, _date_of(refers_to), label), target, iso_date(_date_of(refers_to))
-                    extra = {"X-Refers-To-Page": str(refers_to)}
-                extra = {**(extra or {}), "X-Payload-Length": str(len(html.as_py()))}
+                page_id, payload = page_id.as_py(), html.as_py()
+                arc = arc_start(name, _date_of(0), version) + page_as_arc(page_id, url.as_py(), payload, version)
+                refers, extra = None, {}
+                to = dict(again.as_py()).get(digest := hashlib.sha1(payload).hexdigest()) if again.is_valid else None
+                if to is not None:
+                    label = "sha1:" + base64.b32encode(bytes.fromhex(digest)).decode()
+                    target = re.sub(r"[\r\n]+", "%0A", to["refers_url"]) or "unknown:"
+                    refers = record_id(target, _date_of(to["refers_to"]), label), target, iso_date(_date_of(to["refers_to"]))
+                    extra = {"X-Refers-To-Page": str(to["refers_to"]), "X-Payload-Length": str(len(payload))}
                 for r, warc in convert(io.BytesIO(arc), lambda r: None if r.url.startswith("filedesc:") else refers, lambda r: extra):  # noqa: B023
                     if not r.url.startswith("filedesc:"):
                         member = gzip.compress(warc, 1)
@@ -260,10 +272,11 @@ def read_back(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFram
                     http, payload = split_http(block)
                     if kind != "revisit" and sha1_label(payload) != head["WARC-Payload-Digest"]:
                         raise ValueError("a payload doesn't have its declared digest")
-                    page = int(re.search(rb"X-Page-Id: (-?\d+)", http)[1])
+                    page = re.search(rb"\r\nX-Page-Id: (-?\d+)\r\n", http)
+                    size = int(head["X-Payload-Length"]) if kind == "revisit" else len(payload)
                     digest = base64.b32decode(head["WARC-Payload-Digest"].removeprefix("sha1:")).hex()
                     refers = head.get("X-Refers-To-Page")
-                    rows.append((None if page < 0 else page, head["WARC-Target-URI"], head["WARC-Date"], int(head["X-Payload-Length"]), digest, kind, None if refers is None else int(refers)))
+                    rows.append((None if page is None else int(page[1]), head["WARC-Target-URI"], head["WARC-Date"], size, digest, kind, None if refers is None else int(refers)))
                 cols = list(zip(*rows, strict=True)) or [()] * 7
                 types = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["page_id", "url", "date", "payload_bytes", "payload_digest", "record_type", "refers_to"])
@@ -276,6 +289,8 @@ def read_back(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFram
 
 
 def archived(pages: DataFrame) -> DataFrame:
-    """Write all pages as WARC and read them back. Negative page ids read back as null."""
+    """Write all pages as WARC and read them back. Null ids stay null and neither revisit nor are revisited; pages that
+    share an id are told apart by their payloads."""
+    common.bound_batches(pages)
     folder = common.fresh_path(pages.sparkSession, "warc")
     return read_back(pages.sparkSession, folder, written(pages, folder))

@@ -259,6 +259,21 @@ def test_embedding_links(spark):
     assert all(out[i]["kept"] == (i == out[i]["component_id"]) for i in ids)
 
 
+def test_embedding_lengths_and_exact_links(spark):
+    """Vectors of several lengths, in one table, each linked within its length as by brute force."""
+    r = np.random.default_rng(5)
+    rows = []
+    for k, size in enumerate((4, 16, 5)):
+        centres = r.normal(size=(6, size))
+        rows += [(1000 * k + i, (centres[i % 6] + 0.1 * r.normal(size=size)).tolist()) for i in range(60)]
+    rows += [(5000, [1.0] * 7), (5001, []), (None, [1.0] * 4), (5002, None)]
+    out = {x["vec_id"]: x for x in neardup.linked(odd_columns(table(spark, rows, "vec_id long, embedding array<double>")), 0.9).collect()}
+    for size in (4, 16, 5):
+        ids, near = brute_vectors([(i, v) for i, v in rows if i is not None and v is not None and len(v) == size], 0.9)
+        assert [out[i]["n_links"] for i in ids] == (near.sum(1) - 1).tolist()
+    assert all(out[i]["n_links"] == 0 for i in (5000, 5001, 5002, None))
+
+
 @pytest.mark.parametrize("sample", [20_000, 200])
 def test_embedding_links_near_the_threshold(spark, monkeypatch, sample):
     """Pairs between the threshold and 1 beside tight groups, which mustn't set the number of cells alone."""
@@ -313,6 +328,14 @@ def test_warc_round_trip(spark):
     assert warc.archived(table(spark, [], "page_id long, url string, html string")).count() == 0
 
 
+def test_warc_ids(spark):
+    """Negative, null and repeated ids; repeated ids with different payloads."""
+    big, other = "é" * 600, "x" * 1500
+    rows = [(-5, "a", big), (None, "b", big), (3, "c", big), (3, "c", other), (4, "d", other), (3, "c", big)]
+    got = sorted((r["page_id"] or 0, r["payload_bytes"], r["record_type"], r["refers_to"]) for r in warc.archived(odd_columns(table(spark, rows, "page_id long, url string, html string"))).collect())
+    assert got == sorted([(-5, 1200, "revisit", 3), (0, 1200, "response", None), (3, 1200, "response", None), (3, 1500, "revisit", 4), (4, 1500, "response", None), (3, 1200, "response", None)])
+
+
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 
 
@@ -393,6 +416,18 @@ def test_pii_matches_patterns(spark):
         assert [out[i][f"n_{k}"] for k in KINDS] == [sum(x[0] == k for x in want) for k in KINDS]
 
 
+def test_pii_many_matches(spark):
+    """Thousands of matches in one text, in time that grows with their number."""
+    text = " ".join(f"user{i}@corp{i % 7}.example called 10.0.{i % 256}.{i % 99}\n" for i in range(5000))
+    df = odd_columns(table(spark, [(1, text), (2, "x")], "doc_id long, text string"))
+    out = {x["doc_id"]: x for x in pii.report(df).collect()}
+    assert (out[1]["n_email"], out[1]["n_ip"]) == (5000, 5000)
+    want = base_spans(text)
+    assert out[1]["base_sha256"] == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in want).encode()).hexdigest()
+    masked = {x["doc_id"]: x["text"] for x in pii.sanitised(df).collect()}
+    assert masked[1] == " ".join("<email> called <ip>\n" for _ in range(5000)) and pii.sanitised(df).columns == df.columns
+
+
 def test_pii_terms_that_disclose(spark):
     r = random.Random(4)
     words = ["alpha", "bravo", "delta", "gamma", "kappa", "sigma", "theta", "omega"]
