@@ -5,6 +5,7 @@ import html
 import io
 import random
 import re
+import zlib
 
 import numpy as np
 import pytest
@@ -347,15 +348,106 @@ def test_url_rules(spark):
     assert (out[1]["host"], out[6]["host"], out[6]["path"], out[8]["path"], out[9]["host"]) == ("a.example.net", "", "", "", "evil")
 
 
-def test_url_templates(spark):
+def brute_templates(urls):
+    """{(host, form): (template, purity, blocked)} by the documented rules, one host and level at a time."""
+    u = urlfilter
+
+    def form(segment):
+        stem, ext = re.fullmatch(r"(?s)(.*?)(\.[A-Za-z][A-Za-z0-9]{0,4})?", segment).groups(default="")
+        for kind, p in (("<number>", r"[0-9]+"), ("<hex>", r"(?=.*[0-9])[0-9a-fA-F-]{8,}"), ("<code>", r".*[0-9].*")):
+            if re.fullmatch(p, stem):
+                return kind + ext
+        return segment
+
+    def shape(rest):
+        kinds = [m[0] if (m := re.match(r"<[a-z]+>", x)) else "word" for x in rest[: u.SHAPE_DEPTH]]
+        return zlib.crc32("/".join(kinds).encode()) % u.SHAPES
+
+    forms = {}
+    for host, path, label in urls:
+        x = forms.setdefault((host, tuple(form(s) for s in path.split("/") if s)), [0, 0, 0])
+        for i, d in enumerate((1, label is not None, label or 0)):
+            x[i] += d
+    template = {k: k[1] for k in forms}
+    for level in range(max((len(f) for _, f in forms), default=0)):
+        nodes = {}
+        for (host, f), t in template.items():
+            if len(t) > level:
+                nodes.setdefault((host, t[:level]), {}).setdefault(t[level], []).append((host, f))
+        for children in nodes.values():
+            if len(children) < 2:
+                continue
+            facts = {}
+            for segment, keys in children.items():
+                x = facts[segment] = np.zeros(3 + u.SHAPES)
+                for k in keys:
+                    x[:3] += forms[k]
+                    x[3 + shape(template[k][level + 1 :])] += forms[k][0]
+            every = sum(facts.values())
+            rate = (every[2] + 1) / (every[1] + 2)
+            alike = set()
+            for segment, x in facts.items():
+                e = x[0] * every[3:] / every[0]
+                chi, free = sum((o - y) ** 2 / y for o, y in zip(x[3:], e) if y), (every[3:] > 0).sum() - 1
+                z = abs(x[2] / x[1] - rate) / np.sqrt(rate * (1 - rate) / x[1]) if x[1] >= u.MIN_LABELS else 0
+                if chi <= free + u.SHAPE_Z * np.sqrt(2 * free) and z <= u.Z:
+                    alike.add(segment)
+            merge = set(facts) if len(facts) > u.FAN else alike if len(alike) > 1 else set()
+            for segment in merge:
+                for k in children[segment]:
+                    template[k] = (*template[k][:level], "*", *template[k][level + 1 :])
+
+    def smoothed(x, prior):
+        return (x[2] + u.PRIOR * prior) / (x[1] + u.UNLABELLED * (x[0] - x[1]) + u.PRIOR)
+
+    by_host, by_template = {}, {}
+    for k, x in forms.items():
+        for d, key in ((by_host, k[0]), (by_template, (k[0], template[k]))):
+            d[key] = np.array(x) + d.get(key, 0)
+    out = {}
+    for k, t in template.items():
+        p = smoothed(by_template[k[0], t], smoothed(by_host[k[0]], u.PRIOR_BAD))
+        out[k] = t, p, bool(by_host[k[0]][1] >= u.MIN_LABELS and p >= u.PURITY)
+    return out
+
+
+def url_rows():
     urls = [("h", f"/blog/{w}/{i}", None) for i, w in enumerate(["a", "b", "c"] * 30)]
     urls += [("h", f"/spam/{i}.html", 1) for i in range(20)] + [("h", f"/ads/{i}.html", 1) for i in range(20)] + [("h", f"/docs/{i}.html", 0) for i in range(20)]
-    urls += [("g", f"/{''.join(random.Random(i).choices('abcdef', k=6))}/x", i % 2) for i in range(40)] + [("h", "", None)]
-    out = urlfilter.templates(table(spark, urls, "host string, path string, label int")).collect()
+    urls += [("g", f"/{''.join(random.Random(i).choices('abcdef', k=6))}/x", i % 2) for i in range(40)] + [("h", "", None), ("h", "//", None)]
+    urls += [("k", f"/de/{i}", 1) for i in range(30)] + [("k", f"/{x}/{i}", None) for x in ("en", "fr") for i in range(20)] + [("k", "/about", None), ("k", "/about", None)]
+    urls += [("m", f"/de/{i}", 1) for i in range(3)] + [("m", f"/en/{i}", None) for i in range(300)]
+    urls += [("d", "/" + "/".join("abcdefghijklmnopq") + f"/{w}/{i}", i % 3 == 0) for i in range(30) for w in ("x", "y")]
+    r = random.Random(7)
+    urls += [("r", "/" + "/".join(r.choices(["a", "b", "c1", "77", "deadbeef0", "x.html"], k=r.randint(0, 5))), r.choice([0, 1, None, None])) for _ in range(300)]
+    return [(h, p, None if x is None else int(x)) for h, p, x in urls]
+
+
+def test_url_templates_match_brute_force(spark):
+    urls = url_rows()
+    want = brute_templates(urls)
+    got = {(r["host"], tuple(r["form"])): r for r in urlfilter.templates(table(spark, urls, "host string, path string, label int").repartition(5)).collect()}
+    assert set(got) == set(want)
+    for k, (t, purity, blocked) in want.items():
+        assert (tuple(got[k]["template"]), got[k]["blocked"]) == (t, blocked) and got[k]["purity"] == pytest.approx(purity)
+
+
+def test_url_templates(spark):
+    out = urlfilter.templates(table(spark, url_rows(), "host string, path string, label int")).collect()
     by = {(r["host"], tuple(r["form"])): r for r in out}
     assert by["h", ("spam", "<number>.html")]["blocked"] and by["h", ("ads", "<number>.html")]["blocked"]
     assert not by["h", ("docs", "<number>.html")]["blocked"] and not by["h", ("blog", "a", "<number>")]["blocked"]
     assert {tuple(r["template"]) for r in out if r["host"] == "g"} == {("*", "x")}
+    # unlabelled branches like the labelled ones are judged with them, unless they are many times as many
+    assert by["k", ("en", "<number>")]["blocked"] and not by["m", ("en", "<number>")]["blocked"]
+    # however deep
+    assert tuple(by["d", (*"abcdefghijklmnopq", "x", "<number>")]["template"]) == (*"abcdefghijklmnopq", "*", "<number>")
+
+
+def test_url_odd_tables(spark):
+    rows = [(1, None), (1, None), (2, "http://h/" + "a/" * 3000), (3, "http://h/" + "b" * 100_000), (None, "://"), (4, "http://h/a?x")]
+    out = urlfilter.judged(odd_columns(table(spark, rows, "page_id long, url string")), RULES).collect()
+    assert len(out) == len(rows) and {r["verdict"] for r in out} == {"allow"}
 
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><script>var a="<p>no</p>";</script></head><body><div class="cookie-notice">We use cookies</div>
