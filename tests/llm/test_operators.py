@@ -5,6 +5,7 @@ import html
 import io
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -468,7 +469,70 @@ def test_html_extraction(spark):
 def test_html_all_pages_equal(spark):
     rows = [(i, "http://h/", PAGE % (1, 1, 1)) for i in range(12)]
     out = htmltext.extracted(table(spark, rows, "page_id long, url string, html string")).collect()
-    assert {r["text"] for r in out} == {"Title 1\nFirst & bold text more 1\nSecond 1\nShare this page"}
+    assert {r["text"] for r in out} == {"Title 1\nFirst & bold text more 1\nSecond 1"}
+
+
+def words_of(r, n):
+    return " ".join("".join(r.choices("abcdefgh", k=5)) for _ in range(n))
+
+
+def plain_page(r, i, story):
+    """A page whose elements have no telling names: menu, story, teaser, sometimes remarks, and a foot."""
+    remarks = "".join(f"<div class=k><p>{words_of(r, 8)}</p></div>" for _ in range(i % 3))
+    menu = "".join(f"<div class=m1>{x}</div>" for x in ("Home", "News of today", "Sports and more"))
+    return f"<html><body><div class=x1>{menu}</div><div class=x2><h2>{story[0]}</h2><p>Read by many</p><p>{story[1]}</p><p>{story[2]}</p></div><div class=x3><p>{words_of(r, 5)}</p></div>{remarks}<div class=x4>Made by us in the town</div></body></html>"
+
+
+def test_html_template_decides(spark):
+    """Where no name tells, template and masses find the story; without a template the boilerplate stays."""
+    r = random.Random(3)
+    stories = {i: [words_of(r, 4), words_of(r, 60), words_of(r, 40)] for i in range(20)}
+    rows = [(i, f"http://plain/{i}", plain_page(r, i, s)) for i, s in stories.items()] + [(99, "http://other/", plain_page(r, 2, ["only", "a few words", "here"]))]
+    df = odd_columns(table(spark, rows, "page_id long, url string, html string"))
+    out = {x["page_id"]: x["text"] for x in htmltext.extracted(df).collect()}
+    assert all(out[i] == "\n".join(s) for i, s in stories.items())
+    assert "Read by many" in htmltext.main_text(rows[0][2], None)
+
+
+def test_html_names_tip_but_do_not_decide():
+    page = "<article><div id=login-flow><h1>How to log in</h1><p>%s</p></div><p class=ad-hoc>%s</p><div class=share-box>Share it</div><section class=comments><p>%s</p></section><aside>%s</aside></article>"
+    r = random.Random(2)
+    a, b, c = words_of(r, 50), words_of(r, 30), words_of(r, 200)
+    assert htmltext.main_text(page % (a, b, c, c), None) == f"How to log in\n{a}\n{b}"
+
+
+def test_html_classes_match_brute_force(spark):
+    """Fingerprints put tokens into the classes that their whole occurrence vectors do."""
+    r = random.Random(4)
+    sources = [plain_page(r, i, [words_of(r, 2), words_of(r, 9), words_of(r, 3)]) for i in range(14)]
+    vectors = {}
+    for i, source in enumerate(sources):
+        page = htmltext.parse(source)
+        seen = [h for h, e in page.elements.items() for _ in range(e.count)]
+        for b in page.blocks:
+            seen += [htmltext._hash("text", b.path, b.text), *(htmltext._hash("word", b.path, w) for w in b.words[: htmltext.LEAD])]
+        for t in seen:
+            vectors.setdefault(t, [0] * len(sources))[i] += 1
+    sums = {}
+    table_ = table(spark, [(i, "http://h/", s) for i, s in enumerate(sources)], "page_id long, url string, html string").repartition(3)
+    parts = table_.select(F.lit("h").alias("host"), "page_id", "html").mapInArrow(htmltext._counted, "host string, token long, kind int, parent long, told int, " + ", ".join(f"{c} long" for c in htmltext.SUMS))
+    for x in parts.collect():
+        s = sums.setdefault(x["token"], [0, 0, 0, 0])
+        for k, c in enumerate(("one", "two", "pages", "times")):
+            s[k] += x[c]
+    assert set(sums) == set(vectors)
+    group = lambda d: sorted(sorted(k for k in d if d[k] == v) for v in {tuple(x) for x in d.values()})
+    assert group({k: tuple(v[:3]) for k, v in sums.items()}) == group({k: tuple(v) for k, v in vectors.items()})
+    assert all(sums[t][2:] == [sum(map(bool, v)), sum(v)] for t, v in vectors.items())
+
+
+def test_html_deep_and_long_pages():
+    start = time.perf_counter()
+    deep = htmltext.main_text("<div>x" * 20_000, None)
+    assert deep == "\n".join("x" * 20_000) and time.perf_counter() - start < 5
+    start = time.perf_counter()
+    assert htmltext.main_text("<table><tr><td><p>y<li>z" * 20_000, None).count("y") == 20_000 and time.perf_counter() - start < 10
+    assert len(htmltext.main_text("<article><p>" + "word " * 500_000, None)) == 2_499_999
 
 
 def test_nesting():
