@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -12,13 +13,16 @@ _own: dict[str, str] = {}
 
 
 def held(df: DataFrame) -> DataFrame:
-    """A table written to the folder that driver and executors share (spark.checkpoint.dir, else one of our own),
-    and read back: the cut in lineage that iterations need."""
+    """A table written to the folder that driver and executors share (spark.checkpoint.dir) and read back: the cut in
+    lineage that iterations need. Where that is unset, a local session, which is one process, gets a folder of its own;
+    on a cluster that would be each machine's own disk, so there it is an error."""
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = _own.setdefault(spark.sparkContext.applicationId, "") or tempfile.mkdtemp(prefix="tallywort-")
-        _own[spark.sparkContext.applicationId] = folder
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        app = spark.sparkContext.applicationId
+        folder = _own[app] = _own.get(app) or tempfile.mkdtemp(prefix="tallywort-")
     path = f"{folder.rstrip('/')}/tallywort-{uuid.uuid4().hex}"
     jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)

@@ -65,6 +65,23 @@ def location_score(candidate: dict[str, Column], place: dict[str, Column]) -> Co
     return total
 
 
+def location_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Rows of two tables, their columns under l_ and r_, whose locations may agree: by ZIP, or by city or address
+    within a state. Parts (k, state, city, zip, address) are compared by match text; unknown ones join nothing."""
+    def side(df: DataFrame, p: str) -> DataFrame:
+        return df.select(*(F.col(c).alias(f"{p}_{c}") for c in df.columns))
+
+    a, b = side(left, "l"), side(right, "r")
+    out = None
+    for parts in (("zip",), ("state", "city"), ("state", "address")):
+        known = lambda p: [match_text(F.col(f"{p}_{c}")).alias(f"_{p}{i}") for i, c in enumerate(parts)]  # noqa: B023, E731
+        x, y = a.select("*", *known("l")), b.select("*", *known("r"))
+        on = [F.col(f"_l{i}") == F.col(f"_r{i}") for i in range(len(parts))]
+        some = x.where(" and ".join(f"_l{i} <> ''" for i in range(len(parts)))).join(y, on).select(*a.columns, *b.columns)
+        out = some if out is None else out.union(some)
+    return out.distinct()
+
+
 def unique_best(scored: DataFrame, item: str, candidate: str, score: str) -> DataFrame:
     """(item, candidate, score): an item's only candidate, or of several the one with the highest score, if that is
     positive and no other's. Two aggregates, no sort: a hot item pre-aggregates."""
@@ -138,28 +155,36 @@ def plausible(candidates: DataFrame, targets: DataFrame, least: float = 0.84, mi
     """(candidate, target): pairs of distinct names, at least min_length long on the candidate's side, of which one
     holds the other or whose ratio reaches least. candidates has candidate, targets has target.
 
-    No pair is compared that can't qualify. For the ratio, two names must share enough letters: each name is
-    indexed by its letters' counts, of which the rarest ones, as many as must be shared, suffice (prefix filter),
-    and lengths must fit. For containment, targets are looked up by their windows of the candidate's length and
-    vice versa. Candidates meet targets by equal keys only; the UDF sees survivors.
+    No pair is compared that can't qualify. A ratio of r leaves at most (1 - r)(n + k) characters unmatched, so that
+    matching blocks hold (1.5 r - 1)(n + k) - 1 common pairs of neighbouring letters or more. Each name is indexed by its
+    rarest pairs, as many as leave fewer than that (prefix filter), and lengths must fit. For containment, targets are
+    looked up by their windows of the candidate's length and vice versa. Candidates meet targets by equal keys only;
+    the UDF sees survivors.
     """
     c = candidates.select("candidate").where(F.length("candidate") >= min_length).distinct()
     t = targets.select("target").where("target <> ''").distinct()
-    # each character with its number of earlier occurrences is one element of a name's bag
+    # each character, or pair of neighbours, with its number of earlier occurrences is one element of a name's bag
+    def numbered(items: Column) -> Column:
+        ordered = F.array_sort(items)
+        return F.transform(ordered, lambda x, i: F.concat(x, (i - F.array_position(ordered, x) + 1).cast("string")))
+
     def bag(col: str) -> Column:
-        chars = F.array_sort(F.split(F.col(col), ""))
-        return F.transform(chars, lambda x, i: F.concat(x, (i - F.array_position(chars, x) + 1).cast("string")))
+        return numbered(F.split(F.col(col), ""))
+
+    def pairs(col: str) -> Column:
+        n = F.length(col)
+        return numbered(F.when(n > 1, F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.substring(F.col(col), i, F.lit(2)))).otherwise(F.array().cast("array<string>")))
 
     def keyed(df: DataFrame, col: str) -> DataFrame:
-        b = df.select(col, F.explode(bag(col)).alias("element"))
-        return b
+        return df.select(col, F.explode(pairs(col)).alias("element"))
 
     both = keyed(c, "candidate").select("element").union(keyed(t, "target").select("element")).groupBy("element").agg(F.count("*").alias("freq"))
-    # a ratio of r needs 2 m >= r (n + k) shared elements, and so m >= r n / (2 - r) of a name's own n
+    # the other name has r n / (2 - r) characters at least
     def prefix(df: DataFrame, col: str) -> DataFrame:
         ranked = keyed(df, col).join(both, "element").withColumn("r", F.row_number().over(Window.partitionBy(col).orderBy("freq", "element")))
-        need = F.ceil(F.length(col) * least / (2 - least) - 1e-9)
-        return ranked.where(F.col("r") <= F.length(col) - need + 1).select(col, "element")
+        n = F.length(col)
+        need = F.greatest(F.lit(1), F.ceil((1.5 * least - 1) * (n + n * (least / (2 - least))) - 1 - 1e-9))
+        return ranked.where(F.col("r") <= n - 1 - need + 1).select(col, "element")
 
     fits = 2 * F.least(F.length("candidate"), F.length("target")) >= least * (F.length("candidate") + F.length("target"))
     shared = F.size(F.array_intersect(bag("candidate"), bag("target")))
