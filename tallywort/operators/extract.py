@@ -7,6 +7,7 @@ first-wins dedupe and the merging of partial records, is DataFrame work.
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 from urllib.parse import urljoin, urlsplit
@@ -15,25 +16,68 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Labels by field, types of JSON-LD that describe a business or person, and elements without an end.
+from tallywort.functions import text
+
+#: Labels by field. Labels of the master table come before general ones.
+MASTER_LABELS = {
+    "bidder_id": ["id", "bidder id", "contractor id"],
+    "contractor_name": ["contractor_name", "contractor name", "bidder name"],
+    "related_companies": ["related_companies", "related companies", "related company", "affiliated companies"],
+    "address_1": ["address_1", "address 1", "primary address"],
+    "city": ["city"],
+    "state": ["state"],
+    "zip": ["zip", "zip code", "postal code"],
+    "additional_address": ["additional_address", "additional address", "secondary address"],
+    "additional_address_city": ["additional_address_city", "additional address city", "secondary address city"],
+    "additional_address_state": ["additional_address_state", "additional address state", "secondary address state"],
+    "additional_address_zip": ["additional_address_zip", "additional address zip", "secondary address zip"],
+    "dfi": ["dfi", "department of financial institutions", "wisconsin dfi"],
+    "wc": ["wc", "workers comp", "workers compensation", "worker's compensation"],
+    "wc_date": ["wc_date", "wc date", "workers comp date", "workers compensation date"],
+    "osha_severe_violations": ["osha_severe_violations", "osha severe violations", "severe osha violations"],
+    "years": ["years", "year(s)", "violation years"],
+    "osha": ["osha", "osha flag"],
+    "state_federal_debarment": ["state_federal_debarment", "state federal debarment", "state/federal debarment", "debarment"],
+    "mndol_ineligibility": ["mndol_ineligibility", "mndol ineligibility", "mn dol ineligibility", "minnesota dol ineligibility"],
+    "public_works_projects_budget_time_quality_complaint": [
+        "public_works_projects_budget_time_quality_complaint", "public works projects budget time quality complaint", "public works complaint",
+    ],
+    "federal_court": ["federal_court", "federal court"],
+    "circuit_court": ["circuit_court", "circuit court"],
+    "ccap_show150": ["ccap_show150", "ccap show150", "ccap show 150", "ccap"],
+    "environmental_violations": ["environmental_violations", "environmental violations"],
+    "prevailing_wage_violations": ["prevailing_wage_violations", "prevailing wage violations"],
+    "dwd": ["dwd", "department of workforce development", "wisconsin dwd"],
+    "dwd_substance_abuse_plan": ["dwd_substance_abuse_plan", "dwd substance abuse plan", "substance abuse plan"],
+    "better_business_bureau_complaints": ["better_business_bureau_complaints", "better business bureau complaints", "bbb complaints", "bbb"],
+    "misc_violations": ["misc_violations", "misc violations", "miscellaneous violations"],
+    "tax_liability": ["tax_liability", "tax liability"],
+}
 LABELS = {
     "name": ["name", "full name", "person", "person name", "contact", "contact name", "member", "attorney"],
-    "company": ["company", "company name", "business", "business name", "firm", "organization", "contractor name", "bidder name", "contractor_name"],
-    "owner": ["owner", "owner name", "principal"],
-    "phone": ["phone", "telephone", "phone number", "tel"],
-    "address": ["address", "street address", "primary address", "address 1", "address_1"],
-    "date": ["date", "effective date", "inspection date"],
-    "external_id": ["id", "license", "license number", "record id", "case number"],
+    "company": ["company", "company name", "business", "business name", "legal business name", "organization", "organisation", "employer", "firm"],
+    "owner": ["owner", "owner name", "business owner", "business owner name", "name of owner"],
+    "phone": ["phone", "telephone", "tel", "mobile", "cell"],
+    "address": ["address", "street address", "mailing address", "business address", "physical address"],
+    "location": ["location", "business location", "city", "city/state", "city / state", "city, state"],
+    "osha_status": ["osha status", "osha violation status", "osha violations status"],
+    "osha_details": ["osha violations", "open osha violations", "osha details", "osha violation details", "osha findings"],
+    "date": ["date", "updated", "update date", "filed", "filed date", "record date", "created"],
+    "external_id": ["record id", "case id", "license id", "number", "record number"],
 }
+#: Classes of elements that hold one record each, types of JSON-LD that describe a business or person, and
+#: elements without an end.
+RECORD_CLASSES = ["card", "result", "results-item", "listing", "listing-item", "record", "profile", "directory-item"]
 TYPES = ["Person", "Organization", "LocalBusiness", "ProfessionalService", "Attorney"]
 VOID = ["area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"]
-FIELDS = list(LABELS)
-_FIELD_OF = {label: f for f, labels in LABELS.items() for label in labels}
+FIELDS = [*LABELS, *MASTER_LABELS]
+_FIELD_OF = {label: f for table in (LABELS, MASTER_LABELS) for f, labels in table.items() for label in labels}
+MAX_HEADING = 160
 
 
 def field_for(label: str) -> str | None:
     """The field that a header or label names."""
-    return _FIELD_OF.get(" ".join(label.lower().replace(":", " ").split()))
+    return _FIELD_OF.get(" ".join(label.lower().split()).rstrip(":").rstrip())
 
 
 def safe_link(href: str, page: str) -> str:
@@ -48,9 +92,14 @@ def safe_link(href: str, page: str) -> str:
 
 def has_signal(record: dict) -> bool:
     """Whether a record names someone and says something of them."""
-    who = [record.get(f) for f in ("name", "company", "owner")]
-    what = [record.get(f) for f in ("phone", "address", "date", "external_id")]
-    return any(who) and (any(what) or bool(record.get("company") and record.get("owner")))
+    who = ("name", "company", "owner", "contractor_name")
+    what = [f for f in FIELDS if f not in who]
+    return any(record.get(f) for f in who) and (any(record.get(f) for f in what) or bool(record.get("company") and record.get("owner")))
+
+
+#: Least and greatest length of a block that is read as a record, and what is looked for in its text.
+MIN_BLOCK, MAX_BLOCK = 20, 5000
+FINDERS = {"phone": re.compile(text.PHONE_IN), "address": re.compile(text.STREET_IN), "date": re.compile(text.DATE_IN)}
 
 
 class _Reader(HTMLParser):
@@ -69,6 +118,11 @@ class _Reader(HTMLParser):
         self.text: list[str] = []
         self.href = ""
         self.ld = False
+        self.open_blocks: list[tuple[int, int]] = []  # depth, and number of the block
+        self.whole: set[int] = set()  # blocks that hold one record each
+        self.block_texts: dict[int, list[str]] = {}
+        self.block_heads: dict[int, str] = {}
+        self.block_links: dict[int, str] = {}
 
     def handle_starttag(self, tag, attrs):
         a = dict(attrs)
@@ -88,11 +142,16 @@ class _Reader(HTMLParser):
             self.lists.append([])
         if tag in ("article", "section", "li", "div"):
             self.blocks.append([])
+            self.open_blocks.append((len(self.stack), len(self.blocks) - 1))
+            if tag == "article" or set((a.get("class") or "").lower().split()) & set(RECORD_CLASSES):
+                self.whole.add(len(self.blocks) - 1)
         if tag in ("td", "th", "dt", "dd", "p", "h1", "h2", "h3", "h4", "li", "span", "strong"):
             self.text, self.href = [], ""
         if tag == "a" and a.get("href"):
             self.links.append(a["href"])
             self.href = self.href or a["href"]
+            for _, i in self.open_blocks:
+                self.block_links.setdefault(i, a["href"])
         if tag not in VOID:
             self.stack.append(tag)
 
@@ -102,12 +161,17 @@ class _Reader(HTMLParser):
                 self.json[-1] += data
             return
         self.text.append(data)
+        for _, i in self.open_blocks:
+            if i in self.whole:
+                self.block_texts.setdefault(i, []).append(data)
 
     def handle_endtag(self, tag):
         if tag not in self.stack:
             return
         while self.stack and self.stack.pop() != tag:
             pass
+        closed = [i for depth, i in self.open_blocks if depth >= len(self.stack)]
+        self.open_blocks = [x for x in self.open_blocks if x[0] < len(self.stack)]
         value = " ".join("".join(self.text).split())
         if tag in ("td", "th") and self.tables and self.tables[-1]:
             self.tables[-1][-1].append((value, self.href))
@@ -115,8 +179,15 @@ class _Reader(HTMLParser):
             self.lists[-1].append((tag, value))
         elif tag in ("h1", "h2", "h3", "h4"):
             self.heads.append(value)
+            for _, i in self.open_blocks:
+                if 2 <= len(value) <= MAX_HEADING:
+                    self.block_heads.setdefault(i, value)
         elif tag in ("p", "li", "div", "article", "section") and self.blocks and value:
-            self.blocks[-1].append(value)
+            own = closed[-1:] or [i for _, i in self.open_blocks[-1:]] or [len(self.blocks) - 1]
+            self.blocks[own[0]].append(value)
+            for _, i in self.open_blocks:
+                if i != own[0] and i in self.whole:
+                    self.blocks[i].append(value)
             self.text = []
 
 
@@ -164,17 +235,23 @@ def records_of(html: str, url: str) -> list[dict]:
             elif label and label not in rec:
                 rec[label] = t
         out.append({**rec, "source_url": url, "extractor": "list"})
-    for lines in r.blocks:
-        if 20 <= sum(map(len, lines)) <= 5000:
+    for i, lines in enumerate(r.blocks):
+        body = " ".join(" ".join(r.block_texts.get(i, [])).split()) or " ".join(lines)
+        if MIN_BLOCK <= len(body) <= MAX_BLOCK:
             rec = {}
             for line in lines:
                 label, mark, value = line.partition(":")
                 f = field_for(label) if mark else None
                 if f and value.strip():
-                    rec.setdefault(f, value.strip())
-            if rec and "name" not in rec and "company" not in rec and r.heads:
-                rec["name"] = r.heads[0]
-            out.append({**rec, "source_url": url, "extractor": "block"})
+                    rec[f] = value.strip()
+            if i in r.whole:
+                for f, finder in FINDERS.items():
+                    if f not in rec and (m := finder.search(body)):
+                        rec[f] = m[0].strip()
+            if rec and "name" not in rec and "company" not in rec and (head := r.block_heads.get(i) or (r.heads[:1] or [""])[0]):
+                rec["name"] = head
+            link = r.block_links.get(i) if i in r.whole else None
+            out.append({**rec, "source_url": safe_link(link, page) if link else url, "extractor": "block"})
     return [x for x in out if has_signal(x)]
 
 

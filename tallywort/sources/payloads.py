@@ -111,12 +111,13 @@ def complaint_summary(text: Column) -> Column:
 
         def number(i: Column) -> Column:
             back = F.reverse(F.slice(words, F.greatest(i - 3, F.lit(0)) + 1, F.least(i, F.lit(3))))
-            first = F.filter(F.sequence(F.lit(0), F.size(back) - 1), lambda j: back[j].rlike("^[0-9][0-9,]*$"))[0]
+            places = F.sequence(F.lit(0), F.greatest(F.size(back) - 1, F.lit(0)))
+            first = F.get(F.filter(places, lambda j: F.coalesce(F.get(back, j).rlike("^[0-9][0-9,]*$"), F.lit(False))), F.lit(0))
             between = F.slice(back, F.lit(1), first)
             fits = F.forall(between, lambda w: w.isin([*needed, *allowed])) & F.exists(between, lambda w: w.isin("complaint", "complaints"))
             for w in needed:
                 fits = fits & F.array_contains(between, w)
-            return F.when((F.size(back) > 0) & first.isNotNull() & fits, F.translate(back[first], ",", "").try_cast("int"))
+            return F.when(first.isNotNull() & fits, F.translate(F.get(back, first), ",", "").try_cast("int"))
 
         return F.get(F.filter(F.transform(ends, number), lambda x: x.isNotNull()), F.lit(0))
 

@@ -26,6 +26,9 @@ def test_addresses(spark):
     assert tuple(one(spark, profiles.address_in, "At 12 Oak Rd, Madison, WI 53703-1234 now")) == ("12 Oak Rd", "Madison", "WI", "53703-1234")
     assert tuple(one(spark, profiles.address_in, "Madison, WI 53703")) == ("", "Madison", "WI", "53703")
     assert tuple(one(spark, profiles.address_in, None)) == ("", "", "", "")
+    assert tuple(one(spark, profiles.address_in, "Call 5. 100 Main Springfield, IL 62701")) == ("100 Main", "Springfield", "IL", "62701")
+    assert tuple(one(spark, profiles.address_in, "12 Oak Rd Suite 5, St. Paul, MN 55101")) == ("12 Oak Rd Suite 5", "St. Paul", "MN", "55101")
+    assert tuple(one(spark, profiles.address_in, "no address, at all 12345")) == ("", "", "", "")
 
 
 def test_states(spark):

@@ -5,9 +5,10 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
+from tallywort.functions import text
 from tallywort.operators import extract, store
 from tallywort.operators.schema import COLUMNS
-from tallywort.sources import bidder_csv, exclusions, payloads
+from tallywort.sources import bidder_csv, exclusions, minnesota, payloads
 from tallywort.streaming import events
 
 
@@ -68,7 +69,7 @@ def test_payloads(spark):
 
 
 HTML = """<html><head><script type="application/ld+json">{"@graph":[{"@type":"LocalBusiness","name":"Acme","telephone":"608-555-1234","address":{"streetAddress":"1 Oak","addressLocality":"Madison"}}]}</script></head>
-<body><h1>Page</h1><table><tr><th>Company Name:</th><th>Phone</th></tr><tr><td><a href="/b">Beta</a></td><td>555</td></tr></table><dl><dt>Name</dt><dd>Jo</dd><dt>License</dt><dd>77</dd></dl>
+<body><h1>Page</h1><table><tr><th>Company Name:</th><th>Phone</th></tr><tr><td><a href="/b">Beta</a></td><td>555</td></tr></table><dl><dt>Name</dt><dd>Jo</dd><dt>Record ID</dt><dd>77</dd></dl>
 <div><p>Owner: Kim Lee of the firm</p><p>Phone: 608-555-9999</p></div></body></html>"""
 
 
@@ -82,6 +83,55 @@ def test_extraction(spark):
     assert extract.safe_link("https://u:p@y/", "https://x/") == "https://x/" and extract.safe_link("javascript:1", "https://x/") == "https://x/"
 
 
+CARD = """<html><body><div class="listing card"><h3>Gamma Works</h3><a href="/g">more</a><p>12 Long Oak Street, Suite 4</p><p>Call (608) 555-1234 by May 3, 2024</p></div>
+<table><tr><th>Contractor Name</th><th>City</th><th>DFI</th><th>WC:</th></tr><tr><td>Delta</td><td>Madison</td><td>Y</td><td>N</td></tr></table><p>Call 608-555-0000</p></body></html>"""
+
+
+def test_extraction_of_master_fields_and_cards(spark):
+    df = spark.createDataFrame([(1, "https://x/p", CARD)], "page_id long, url string, html string")
+    rows = {r["extractor"]: r for r in extract.extract_records(df).collect()}
+    t, b = rows["table"], rows["block"]
+    assert (t["contractor_name"], t["city"], t["dfi"], t["wc"]) == ("Delta", "Madison", "Y", "N")
+    assert (b["name"], b["phone"], b["address"], b["date"], b["source_url"]) == ("Gamma Works", "(608) 555-1234", "12 Long Oak Street", "May 3, 2024", "https://x/g")
+    assert extract.field_for(" ZIP code: ") == "zip" and extract.field_for("id") == "bidder_id" and extract.field_for("x") is None
+
+
+def test_finders(spark):
+    rows = [("due 2024-05-06 or 5/6/24",), ("on Sept. 3 2021",), ("77 N. 5th Ave. East; x",), ("12345 608.555.1234 1",), (None,)]
+    out = spark.createDataFrame(rows, "t string").select(*(f(F.col("t")).alias(n) for n, f in (("d", text.first_date), ("s", text.first_street), ("p", text.first_phone)))).collect()
+    assert [r["d"] for r in out] == ["2024-05-06", "Sept. 3 2021", "", "", ""]
+    assert [r["s"] for r in out] == ["", "", "77 N. 5th Ave. East", "", ""] and [r["p"] for r in out] == ["", "", "", "608.555.1234", ""]
+
+
+def test_list_readers(spark):
+    wi = spark.createDataFrame([("Acme Co Debarment 1/2/2024 Indefinite Statewide",), ("x acme co, acme co suspended 3/4/2020 5/6/2021 statewide",), ("nothing",)], "text string")
+    al = spark.createDataFrame([(1, "ACME Co"), (2, "Acme Company")], "owner long, alias string")
+    got = {(r["owner"], r["effective"], r["termination"], r["action"]) for r in payloads.wisconsin_hits(wi, al).collect()}
+    assert got == {(1, "1/2/2024", "Indefinite", "Debarment"), (1, "3/4/2020", "5/6/2021", "Suspended")}
+    texts = ["5 complaints, 3 complaints closed in last 12 months", "7 closed complaints in the last 12 months; 1,024 total complaints in the last 3 years", "complaints in the last 3 years", ""]
+    out = spark.createDataFrame([(t,) for t in texts], "t string").select(payloads.complaint_summary(F.col("t")).alias("s")).collect()
+    assert [tuple(x["s"]) for x in out] == [(None, None), (1024, 7), (None, None), (None, None)]
+    with pytest.raises(Exception, match="unreadable"):
+        payloads.illinois_entries(spark.createDataFrame([("A" + payloads.DEBARRED + "soon.",)], "text string")).collect()
+
+
+def mn_page(n, shown):
+    row = '<div class="results"><h2 class="result-link"><a id="v{0}">Vendor {0}, Inc.</a></h2><table><tr><td>{0} Oak Rd</td></tr><tr><td>Saint Paul, MN 55101</td></tr><tr><td>Debarment Date:</td><td>1/2/2024</td></tr><tr><td>Debarment End Date:</td><td>{1}</td></tr></table></div>'
+    return f'<p>Results 1 - {shown} of {shown}</p><div class="search-results">' + "".join(row.format(i, "1/2/2027" if i else "soon") for i in range(n)) + "</div>"
+
+
+def test_minnesota(spark):
+    v = minnesota.listed_vendors(spark.createDataFrame([("https://mn/", mn_page(3, 3))], "url string, html string"))
+    r = v.orderBy("place").collect()
+    assert [(x["name"], x["address"], x["city"], x["state"], x["zip"], x["source_url"]) for x in r][1] == ("Vendor 1, Inc.", "1 Oak Rd", "Saint Paul", "MN", "55101", "https://mn/#v1")
+    act = {x["place"]: x["active"] for x in minnesota.active(v, F.lit("2025-01-01").cast("date")).collect()}
+    assert act == {0: None, 1: True, 2: True}
+    c = spark.createDataFrame([(1, "Vendor 1 LLC", "", "", "saint paul", "MN", ""), (2, "Other", "vendor 2", "", "", "WI", "55101")], "owner long, contractor_name string, related_companies string, address_1 string, city string, state string, zip string")
+    assert sorted((x["owner"], x["place"], x["confirmed"]) for x in minnesota.candidates(v, c).collect()) == [(1, 1, True), (2, 2, False)]
+    with pytest.raises(Exception, match="incomplete"):
+        minnesota.listed_vendors(spark.createDataFrame([("u", mn_page(2, 3))], "url string, html string")).collect()
+
+
 def test_store(spark, tmp_path):
     s = store.Store(spark, str(tmp_path / "s"))
     s.write({"records": spark.range(3).toDF("id")})
