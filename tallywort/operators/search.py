@@ -89,6 +89,12 @@ def retained(events: DataFrame, kept: int = EVENTS_KEPT, key: str = "id") -> Dat
     return events.join(F.broadcast(newest), F.col(key) > F.col("_newest") - kept).drop("_newest")  # one row
 
 
+def changed_within(records: DataFrame, changed: str, interval: str) -> DataFrame:
+    """Records that changed within an interval of the last change of all."""
+    newest = records.agg(F.max(changed).alias("_newest"))
+    return records.join(F.broadcast(newest), F.col(changed) >= F.col("_newest") - F.expr(interval)).drop("_newest")  # one row
+
+
 def latest_per_key(df: DataFrame, key: str, order: str, columns: list[str]) -> DataFrame:
     """A key's row of highest order: one aggregate with partial maxima, no sort."""
     return df.groupBy(key).agg(F.max(F.struct(order, *[c for c in columns if c != order])).alias("_r")).select(key, *(F.col(f"_r.{c}").alias(c) for c in columns))

@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallywort.functions import keys, text, urls
-from tallywort.operators import changes, findings, graph, identity, proposals, runs, schema, search
+from tallywort.operators import changes, extract, findings, graph, identity, joins, proposals, runs, schema, search
+from tallywort.sources import payloads
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -287,17 +288,21 @@ SELECT k AS digest, min(doc_id) AS doc_id, count(*) AS n FROM (SELECT doc_id, sh
 """)
 def dedupe_first_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = _t(spark, sf_dir, "documents").select("doc_id", F.sha2(text.blank(F.col("text")), 256).alias("digest"))
-    return d.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"))
+    n = d.groupBy("digest").agg(F.count("*").alias("n"))
+    return extract.first_wins(d, ["digest"], ["doc_id"]).join(n, "digest")
 
 
-@_query("""
-WITH hits AS (SELECT doc_id, text, strpos(lower(text), 'token') AS at0 FROM documents)
-SELECT doc_id, at0 AS place, substring(text, greatest(at0 - 60, 1), at0 - greatest(at0 - 60, 1)) AS before, substring(text, at0, 120) AS after FROM hits WHERE at0 > 0
+@_query(r"""
+WITH t AS (SELECT doc_id, trim(regexp_replace(regexp_replace(coalesce(text, ''), '[\s\x1C-\x1F\x{85}\p{Z}]+', ' ', 'g'), '^ +| +$', '', 'g')) AS flat FROM documents),
+p AS (SELECT doc_id, flat, string_split(lower(flat), 'token') AS parts FROM t),
+h AS (SELECT doc_id, flat, parts, unnest(range(1, len(parts))) AS i FROM p WHERE len(parts) > 1),
+a AS (SELECT doc_id, flat, (list_sum(list_transform(parts[1:i], lambda x: length(x))) + 5 * (i - 1))::BIGINT AS place FROM h)
+SELECT doc_id, place, substring(flat, greatest(place - 260, 0) + 1, place - greatest(place - 260, 0)) AS before, substring(flat, place + 1, 720) AS after FROM a
 """)
 def context_window_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = _t(spark, sf_dir, "documents").select("doc_id", "text", F.instr(F.lower("text"), F.lit("token")).cast("long").alias("place")).where("place > 0")
-    low = F.greatest(F.col("place") - 60, F.lit(1)).cast("int")
-    return d.select("doc_id", "place", F.substring(F.col("text"), low, (F.col("place") - low).cast("int")).alias("before"), F.substring(F.col("text"), F.col("place").cast("int"), F.lit(120)).alias("after"))
+    d = _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("text_id"), "text")
+    token = spark.range(1).select(F.lit("one").alias("owner"), F.lit("Token").alias("alias"))
+    return payloads.alias_places(d, token).select(F.col("text_id").alias("doc_id"), F.col("at").cast("long").alias("place"), "before", "after")
 
 
 # --- search and paging -------------------------------------------------------------------------------------------
@@ -338,15 +343,14 @@ def retention_5000(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("SELECT event_id FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 1 DAY")
 def changed_24h(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = _t(spark, sf_dir, "events")
-    now = F.lit(e.agg(F.max("ts")).first()[0])
-    return e.where(F.col("ts") >= now - F.expr("INTERVAL 1 DAY")).select("event_id")
+    return search.changed_within(_t(spark, sf_dir, "events"), "ts", "INTERVAL 1 DAY").select("event_id")
 
 
 @_query("SELECT count(*) AS records, count(*) FILTER (event_type <> 'click') AS active, count(*) FILTER (ts >= (SELECT max(ts) FROM events) - INTERVAL 1 DAY) AS changed_24h FROM events")
 def stats_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _t(spark, sf_dir, "events").select((F.col("event_type") != "click").alias("active"), F.col("ts").alias("last_changed"))
-    return runs.statistics(e, F.lit(e.agg(F.max("last_changed")).first()[0]))
+    newest = e.agg(F.max("last_changed").alias("newest"))
+    return runs.statistics(e.join(F.broadcast(newest)), F.col("newest"))  # one row
 
 
 @_query("SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type, arg_max(value, event_id) AS value FROM events GROUP BY user_id")
@@ -363,14 +367,14 @@ def first_error_per_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("SELECT s_suppkey, s_name, coalesce(n_name, 'Unknown source') AS source_name FROM supplier LEFT JOIN (SELECT * FROM nation WHERE n_regionkey <> 2) ON n_nationkey = s_nationkey")
 def left_unknown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = _t(spark, sf_dir, "nation").where("n_regionkey <> 2")
-    return _t(spark, sf_dir, "supplier").join(n, F.col("n_nationkey") == F.col("s_nationkey"), "left").select("s_suppkey", "s_name", F.coalesce("n_name", F.lit("Unknown source")).alias("source_name"))
+    n = _t(spark, sf_dir, "nation").where("n_regionkey <> 2").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"))
+    return joins.with_source_name(_t(spark, sf_dir, "supplier"), n, "s_nationkey").select("s_suppkey", "s_name", "source_name")
 
 
 @_query("SELECT o_orderkey FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')")
 def semi_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
     hit = _t(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
-    return _t(spark, sf_dir, "orders").select("o_orderkey").join(hit, "o_orderkey", "left_semi")
+    return joins.among(_t(spark, sf_dir, "orders").select("o_orderkey"), hit, "o_orderkey")
 
 
 @_query("SELECT o_orderkey, NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey) AS inactive FROM orders")
@@ -383,7 +387,48 @@ def anti_unseen(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("SELECT n_nationkey, n_name FROM nation WHERE NOT EXISTS (SELECT 1 FROM supplier WHERE s_nationkey = n_nationkey AND s_acctbal < 0)")
 def not_exists_child(spark: SparkSession, sf_dir: str) -> DataFrame:
     bad = _t(spark, sf_dir, "supplier").where("s_acctbal < 0").select(F.col("s_nationkey").alias("n_nationkey"))
-    return _t(spark, sf_dir, "nation").join(bad, "n_nationkey", "left_anti").select("n_nationkey", "n_name")
+    return joins.without(_t(spark, sf_dir, "nation"), bad, "n_nationkey").select("n_nationkey", "n_name")
+
+
+@_query("SELECT o_orderkey, o_orderpriority, c_name FROM orders JOIN customer ON c_custkey = o_custkey")
+def rows_with_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = _t(spark, sf_dir, "customer").withColumnRenamed("c_custkey", "id")
+    return joins.with_source(_t(spark, sf_dir, "orders"), c, ["c_name"], "o_custkey").select("o_orderkey", "o_orderpriority", "c_name")
+
+
+@_query("SELECT l_orderkey AS page_id, l_partkey AS record_id, p_name FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) JOIN part ON p_partkey = l_partkey")
+def page_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = _t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("page_id"), F.col("l_partkey").alias("record_id")).distinct()
+    return joins.on_page(lines, _t(spark, sf_dir, "part").withColumnRenamed("p_partkey", "id"), ["p_name"])
+
+
+@_query("SELECT event_id, n_nationkey AS looked FROM events JOIN nation ON n_name = 'NATION_' || user_id")
+def key_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _t(spark, sf_dir, "events").withColumn("n_name", F.concat(F.lit("NATION_"), F.col("user_id")))
+    return joins.looked_up(e, _t(spark, sf_dir, "nation"), "n_name", "looked", "n_nationkey").select("event_id", "looked")
+
+
+@_query("SELECT p_name, p_size, t.owner FROM part JOIN (SELECT DISTINCT p_name AS term, p_brand AS owner FROM part WHERE p_name <> '') t ON t.term = p_name WHERE p_size < 3")
+def term_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _t(spark, sf_dir, "part").withColumnRenamed("p_brand", "owner")
+    answers = p.where("p_size < 3").select(F.col("p_name").alias("term"), "p_name", "p_size")
+    return joins.answered(answers, joins.by_term(p, "owner", "p_name"), "owner").drop("term")
+
+
+@_query("SELECT c_custkey, c_name FROM customer WHERE c_custkey = 17")
+def point_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return joins.point(_t(spark, sf_dir, "customer"), "c_custkey", 17).select("c_custkey", "c_name")
+
+
+@_query("SELECT event_id, event_type FROM events WHERE user_id = 8 ORDER BY event_id DESC LIMIT 10")
+def record_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return joins.history(_t(spark, sf_dir, "events"), "user_id", 8, "event_id", 10).select("event_id", "event_type")
+
+
+@_query("SELECT p_brand, len(l) AS n, l[1] AS first_name FROM (SELECT p_brand, list_sort(list(DISTINCT p_name))[1:8] AS l FROM part GROUP BY p_brand)")
+def evidence_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = joins.evidence(_t(spark, sf_dir, "part"), "p_brand", ["p_name"], 8)
+    return e.select("p_brand", F.size("evidence").cast("long").alias("n"), F.col("evidence")[0]["p_name"].alias("first_name"))
 
 
 @_query("SELECT event_type AS state, count(*) AS n FROM events GROUP BY event_type UNION ALL SELECT NULL, count(*) FROM events")
@@ -428,25 +473,26 @@ def match_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _places(spark: SparkSession, sf_dir: str, name: str, key: str, nation: str) -> DataFrame:
-    """Rows with a made-up location: region as state, nation as city, the key's last digits as ZIP and address."""
+    """Rows with a made-up location: region as state; city, ZIP and address by the key, so that few rows share one."""
     n = _t(spark, sf_dir, "nation").join(_t(spark, sf_dir, "region"), F.col("r_regionkey") == F.col("n_regionkey"))
-    t = _t(spark, sf_dir, name).select(key, nation).join(n, F.col("n_nationkey") == F.col(nation))
-    return t.select(F.col(key).alias("k"), F.col("r_name").alias("state"), F.col("n_name").alias("city"), F.format_string("%05d", F.col(key) % 97).alias("zip"), F.concat((F.col(key) % 13).cast("string"), F.lit(" Oak Rd")).alias("address"))
+    t, k = _t(spark, sf_dir, name).select(key, nation).join(n, F.col("n_nationkey") == F.col(nation)), F.col(key)
+    city, address = F.concat("n_name", F.lit(" "), (k % 211).cast("string")), F.concat((k % 997).cast("string"), F.lit(" Oak Rd"))
+    return t.select(k.alias("k"), F.col("r_name").alias("state"), city.alias("city"), F.format_string("%05d", k % 1009).alias("zip"), address.alias("address"))
 
 
 _PLACES_SQL = """
 WITH n AS (SELECT n_nationkey, n_name, r_name FROM nation JOIN region ON r_regionkey = n_regionkey),
-s AS (SELECT s_suppkey AS k, r_name AS state, n_name AS city, s_suppkey % 97 AS zip, s_suppkey % 13 AS address FROM supplier JOIN n ON n_nationkey = s_nationkey),
-c AS (SELECT c_custkey AS k, r_name AS state, n_name AS city, c_custkey % 97 AS zip, c_custkey % 13 AS address FROM customer JOIN n ON n_nationkey = c_nationkey)
+s AS (SELECT s_suppkey AS k, r_name AS state, n_name || s_suppkey % 211 AS city, s_suppkey % 1009 AS zip, s_suppkey % 997 AS address FROM supplier JOIN n ON n_nationkey = s_nationkey),
+c AS (SELECT c_custkey AS k, r_name AS state, n_name || c_custkey % 211 AS city, c_custkey % 1009 AS zip, c_custkey % 997 AS address FROM customer JOIN n ON n_nationkey = c_nationkey),
+ids AS (SELECT s.k AS supplier, c.k AS customer FROM s JOIN c USING (zip) UNION SELECT s.k, c.k FROM s JOIN c USING (state, city) UNION SELECT s.k, c.k FROM s JOIN c USING (state, address)),
+pairs AS (SELECT supplier, customer, s.state = c.state AS state, s.city = c.city AS city, s.zip = c.zip AS zip, s.address = c.address AS address FROM ids JOIN s ON s.k = supplier JOIN c ON c.k = customer)
 """
 _PARTS = ("state", "city", "zip", "address")
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Suppliers and customers of equal address."""
-    s, c = _places(spark, sf_dir, "supplier", "s_suppkey", "s_nationkey"), _places(spark, sf_dir, "customer", "c_custkey", "c_nationkey")
-    s = s.select(*(F.col(x).alias(f"s_{x}") for x in ("k", *_PARTS)))
-    return s.join(c.select(*(F.col(x).alias(f"c_{x}") for x in ("k", *_PARTS))), F.col("s_address") == F.col("c_address"))
+    """Suppliers and customers whose locations may agree."""
+    return identity.location_pairs(_places(spark, sf_dir, "supplier", "s_suppkey", "s_nationkey"), _places(spark, sf_dir, "customer", "c_custkey", "c_nationkey"))
 
 
 def _side(p: str) -> dict:
@@ -454,20 +500,20 @@ def _side(p: str) -> dict:
 
 
 @_query(_PLACES_SQL + """
-SELECT s.k AS supplier, c.k AS customer FROM s JOIN c USING (address) WHERE s.state = c.state
+SELECT supplier, customer FROM pairs WHERE state AND (zip OR city OR address)
 """)
 def location_corroborate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = _pairs(spark, sf_dir).where(identity.location_corroborates(_side("s"), _side("c")) & (F.col("s_state") == F.col("c_state")))
-    return p.select(F.col("s_k").alias("supplier"), F.col("c_k").alias("customer"))
+    p = _pairs(spark, sf_dir).where(identity.location_corroborates(_side("l"), _side("r")))
+    return p.select(F.col("l_k").alias("supplier"), F.col("r_k").alias("customer"))
 
 
 @_query(_PLACES_SQL + """
-, sc AS (SELECT s.k AS supplier, c.k AS customer, (s.state = c.state)::INT * 4 + (s.city = c.city)::INT * 2 + (s.zip = c.zip)::INT * 3 + 2 AS score FROM s JOIN c USING (address)),
+, sc AS (SELECT supplier, customer, state::INT * 4 + city::INT * 2 + zip::INT * 3 + address::INT * 2 AS score FROM pairs),
 top AS (SELECT supplier, max(score) AS score, count(*) AS n FROM sc GROUP BY supplier)
 SELECT sc.supplier, min(sc.customer) AS customer, top.score AS score FROM top JOIN sc ON sc.supplier = top.supplier AND sc.score = top.score GROUP BY sc.supplier, top.score, top.n HAVING top.n = 1 OR count(*) = 1
 """)
 def location_score_best(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = _pairs(spark, sf_dir).select(F.col("s_k").alias("supplier"), F.col("c_k").alias("customer"), identity.location_score(_side("s"), _side("c")).alias("score"))
+    p = _pairs(spark, sf_dir).select(F.col("l_k").alias("supplier"), F.col("r_k").alias("customer"), identity.location_score(_side("l"), _side("r")).alias("score"))
     return identity.unique_best(p, "supplier", "customer", "score")
 
 
@@ -481,17 +527,17 @@ def cross_claim_ambiguous(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query("""
-WITH i AS (SELECT p_partkey AS item, p_name, p_brand, p_type FROM part WHERE p_partkey % 2 = 1),
-m AS (SELECT * FROM part WHERE p_partkey % 2 = 0),
-hits AS (SELECT item, m.p_partkey AS target, 0 AS rank, 'name' AS basis FROM i JOIN (SELECT * FROM m WHERE p_partkey % 40 = 0) m ON m.p_name = i.p_name
-         UNION ALL SELECT item, m.p_partkey, 1, 'brand' FROM i JOIN (SELECT * FROM m WHERE p_partkey % 100 = 0) m ON m.p_brand = i.p_brand)
+WITH m AS (SELECT c_custkey AS target, c_name AS nm, lower(c_name) AS low, c_acctbal FROM customer),
+i AS (SELECT o_orderkey AS item, 'Customer#' || printf('%09d', o_custkey) AS nm, 'customer#' || printf('%09d', (o_custkey + 1)::BIGINT) AS low FROM orders),
+hits AS (SELECT item, target, 0 AS rank, 'name' AS basis FROM i JOIN m USING (nm) WHERE c_acctbal < 0 UNION ALL SELECT item, target, 1, 'folded' FROM i JOIN m USING (low))
 SELECT DISTINCT item, target, basis FROM hits JOIN (SELECT item, min(rank) AS rank FROM hits GROUP BY item) USING (item, rank)
 """)
 def priority_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = _t(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand")
-    items = p.where("p_partkey % 2 = 1").withColumnRenamed("p_partkey", "item")
-    index = lambda n, c: p.where(F.col("p_partkey") % n == 0).select(c, F.col("p_partkey").alias("target"))
-    return identity.first_index(items, "item", (index(40, "p_name"), "p_name", "name"), (index(100, "p_brand"), "p_brand", "brand"))
+    """Orders by two names that they give: of customers in debt first, else of any, by its folded form."""
+    c = _t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("target"), F.col("c_name").alias("nm"), text.ascii_fold(F.col("c_name")).alias("low"), "c_acctbal")
+    k = F.col("o_custkey")
+    items = _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("item"), F.format_string("Customer#%09d", k).alias("nm"), F.format_string("customer#%09d", k + 1).alias("low"))
+    return identity.first_index(items, "item", (c.where("c_acctbal < 0").select("nm", "target"), "nm", "name"), (c.select("low", "target"), "low", "folded"))
 
 
 @_query(f"""
@@ -506,6 +552,17 @@ def alias_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("conv_id", "turn", F.size("a").cast("long").alias("n"), F.sha2(F.array_join(F.transform("a", lambda x: text.match_text(x)), "|"), 256).alias("digest"))
 
 
+@_query(f"""
+WITH n AS (SELECT DISTINCT regexp_replace({_match_sql('p_name')}, '^(.*)$', '\\1') AS name, p_size FROM part),
+c AS (SELECT DISTINCT name FROM n WHERE p_size <= 25 AND length(name) >= 6), t AS (SELECT DISTINCT name FROM n WHERE p_size > 20 AND name <> '')
+SELECT c.name AS candidate, t.name AS target FROM c, t WHERE contains(c.name, t.name) OR contains(t.name, c.name)
+""")
+def fuzzy_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With a ratio of 1 only names that hold one another are left."""
+    names = _t(spark, sf_dir, "part").select(text.match_text(F.col("p_name")).alias("name"), "p_size")
+    return identity.plausible(names.where("p_size <= 25").select(F.col("name").alias("candidate")), names.where("p_size > 20").select(F.col("name").alias("target")), 1.0)
+
+
 @_query()
 def fuzzy_plausible(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = _t(spark, sf_dir, "part").select(text.company_core(F.col("p_name")).alias("name"), "p_partkey")
@@ -602,13 +659,14 @@ def illegal_transition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query("""
-WITH RECURSIVE e AS (SELECT DISTINCT c_nationkey AS src, (c_nationkey * 3 + c_custkey // 13) % 25 AS dst FROM customer WHERE c_custkey % 13 = 0),
-b AS (SELECT 0 AS node, 0 AS depth UNION SELECT e.dst, b.depth + 1 FROM b JOIN e ON e.src = b.node WHERE b.depth < 4)
+WITH RECURSIVE l AS (SELECT DISTINCT l_partkey * 2 AS a, l_suppkey * 2 + 1 AS b FROM lineitem), e AS (SELECT a AS src, b AS dst FROM l UNION ALL SELECT b, a FROM l),
+b AS (SELECT 0::BIGINT AS node, 0 AS depth UNION SELECT e.dst, b.depth + 1 FROM b JOIN e ON e.src = b.node WHERE b.depth < 4)
 SELECT node::BIGINT AS node, min(depth)::BIGINT AS depth FROM b GROUP BY node
 """)
 def bfs_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = _t(spark, sf_dir, "customer").where("c_custkey % 13 = 0")
-    edges = c.select(F.col("c_nationkey").cast("long").alias("src"), ((F.col("c_nationkey") * 3 + F.floor(F.col("c_custkey") / 13)) % 25).cast("long").alias("dst")).distinct()
+    """Parts and suppliers by their distance from the first part."""
+    pairs = _t(spark, sf_dir, "lineitem").select((F.col("l_partkey") * 2).cast("long").alias("src"), (F.col("l_suppkey") * 2 + 1).cast("long").alias("dst")).distinct()
+    edges = pairs.union(pairs.select("dst", "src"))
     seen, _ = graph.depths(spark.range(1).select(F.col("id").alias("node")), edges, 4)
     return seen.select("node", F.col("depth").cast("long").alias("depth"))
 
@@ -637,3 +695,167 @@ def duplicate_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("SELECT field, sources FROM (VALUES " + ", ".join(f"('{c}', '{','.join(sorted(k for k, (_, f) in schema.OWNERS.items() if c in f))}')" for c in schema.COLUMNS) + ") AS t(field, sources)")
 def field_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     return schema.field_sources(spark).select("field", F.array_join("sources", ",").alias("sources"))
+
+
+# --- runs, pages and fields --------------------------------------------------------------------------------------
+
+_EVENT_TIME = "2024-01-10 00:00:00"
+
+
+@_query("""
+WITH r AS (SELECT doc_id AS id, source, coalesce(lang, '') AS lang, n_chars FROM documents)
+SELECT id, n_chars FROM r WHERE contains(lower(source), '1') OR contains(lower(lang), '1') ORDER BY n_chars DESC, id DESC LIMIT 50 OFFSET 5
+""")
+def records_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), text.blank(F.col("source")).alias("name"), text.blank(F.col("lang")).alias("company"), F.col("n_chars").alias("last_changed"))
+    rest = [c for c in search.RECORD_COLUMNS if c not in ("name", "company")]
+    _, rows = search.search_records(d.withColumns({c: F.lit("") for c in rest}), "1", limit=50, offset=5)
+    return rows.select("id", F.col("last_changed").alias("n_chars"))
+
+
+@_query("SELECT event_id FROM events WHERE event_type = 'error' AND contains(lower(concat_ws(' ', event_type, props, user_id::VARCHAR)), '\"k\": 6')")
+def activity_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _t(spark, sf_dir, "events").select("event_id", F.when(F.col("event_type") == "error", "ERROR").otherwise("INFO").alias("level"), F.col("event_type").alias("message"), F.col("props").alias("details"), F.col("user_id").alias("job_id"))
+    return search.activity(e, "ERROR", '"K": 6').select("event_id")
+
+
+@_query("""
+SELECT o_orderkey AS id, CASE o_orderstatus WHEN 'O' THEN 'completed' WHEN 'F' THEN 'queued' ELSE 'running' END AS state, o_orderstatus = 'F' AS rejected,
+       o_orderstatus <> 'P' AND o_orderstatus = 'O' AS finished FROM orders
+""")
+def moved_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Queued jobs (F) can't complete; running ones (O) can; those in between start."""
+    status, none = F.col("o_orderstatus"), F.lit(None).cast("timestamp")
+    jobs = _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.when(status == "O", "running").otherwise("queued").alias("state"), none.alias("started_at"), none.alias("finished_at"), status)
+    wanted = jobs.select("id", F.when(F.col("o_orderstatus") == "P", "running").otherwise("completed").alias("state"))
+    out = runs.moved(jobs, wanted, F.lit(_EVENT_TIME).cast("timestamp"))
+    return out.select("id", "state", "rejected", F.col("finished_at").isNotNull().alias("finished"))
+
+
+@_query("""
+WITH f AS (SELECT DISTINCT l_suppkey AS job_id, l_partkey AS url FROM lineitem WHERE l_returnflag = 'A'), n AS (SELECT DISTINCT l_suppkey AS job_id, l_partkey AS url FROM lineitem)
+SELECT job_id, url, 'done' AS state FROM f UNION ALL SELECT job_id, url, 'queued' FROM (SELECT * FROM n EXCEPT SELECT * FROM f)
+""")
+def frontier_added(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = _t(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("job_id"), F.col("l_partkey").alias("url"), "l_returnflag")
+    known = lines.where("l_returnflag = 'A'").select("job_id", "url").distinct().withColumn("state", F.lit("done"))
+    return runs.add_to_frontier(known, lines.drop("l_returnflag"))
+
+
+@_query(f"SELECT event_id FROM events WHERE event_id % 7 = 0 OR TIMESTAMP '{_EVENT_TIME}' >= ts + INTERVAL 1 MINUTE * (user_id * 10)")
+def due_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _t(spark, sf_dir, "events").select("event_id", F.when(F.col("event_id") % 7 != 0, F.col("ts")).alias("last_run"), (F.col("user_id") * 10).cast("int").alias("interval_minutes"))
+    return runs.due(e, F.lit(_EVENT_TIME).cast("timestamp")).select("event_id")
+
+
+@_query("SELECT user_id AS source_id, bool_or(event_type = 'error' AND value > 20) AS open FROM events GROUP BY user_id")
+def circuit_open(spark: SparkSession, sf_dir: str) -> DataFrame:
+    code = F.when((F.col("event_type") == "error") & (F.col("value") > 20), 403).when(F.col("event_type") == "error", 503).otherwise(200)
+    return runs.circuit(_t(spark, sf_dir, "events").select(F.col("user_id").alias("source_id"), urls.status_category(code).alias("category")).fillna("none"))
+
+
+@_query("SELECT user_id AS job_id, arg_min(props, event_id) AS message FROM events WHERE event_type = 'error' GROUP BY user_id")
+def first_failure_message(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _t(spark, sf_dir, "events").select(F.col("user_id").alias("job_id"), F.col("event_id").alias("id"), F.col("props").alias("message"), F.when(F.col("event_type") == "error", "ERROR").otherwise("INFO").alias("level"))
+    return runs.first_failure(e)
+
+
+@_query("SELECT s_suppkey FROM supplier WHERE s_nationkey NOT IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1)")
+def deleted_with_children(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = _t(spark, sf_dir, "nation").withColumnRenamed("n_nationkey", "id")
+    return runs.delete_cascade(n, n.where("n_regionkey = 1").select("id"), _t(spark, sf_dir, "supplier").withColumnRenamed("s_nationkey", "source_id"))[1].select("s_suppkey")
+
+
+@_query("""
+SELECT n_nationkey AS id, CASE WHEN n_regionkey = 3 THEN n_name || '!' ELSE n_name END AS name, CASE WHEN n_regionkey = 2 THEN 'create' WHEN n_regionkey = 3 THEN 'update' ELSE 'keep' END AS action FROM nation
+""")
+def ensured_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = _t(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"), "n_regionkey")
+    wanted = n.select("id", F.when(F.col("n_regionkey") == 3, F.concat("name", F.lit("!"))).otherwise(F.col("name")).alias("name"))
+    return runs.ensured(n.where("n_regionkey <> 2").select("id", "name"), wanted, "id")
+
+
+@_query("SELECT coalesce(min(event_id) FILTER (event_type = 'error'), max(event_id) + 1, 0)::BIGINT AS cursor FROM events")
+def contiguous_cursor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.contiguous(_t(spark, sf_dir, "events").withColumn("done", F.col("event_type") != "error"), "event_id", "done").select(F.col("cursor").cast("long").alias("cursor"))
+
+
+@_query("""
+SELECT o_orderkey, CASE WHEN o_orderdate::DATE > DATE '1996-06-30' THEN false WHEN o_orderstatus = 'O' THEN true ELSE DATE '1996-06-30' <= o_orderdate::DATE + 365 END AS active FROM orders
+""")
+def open_ended_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    day = F.to_date("o_orderdate")
+    end = F.when(F.col("o_orderstatus") == "O", "Indefinite").otherwise(F.date_format(F.date_add(day, 365), "M/d/yyyy"))
+    return _t(spark, sf_dir, "orders").select("o_orderkey", findings.open_ended_active(F.date_format(day, "M/d/yyyy"), end, F.lit("1996-06-30").cast("date")).alias("active"))
+
+
+@_query("SELECT o_custkey AS owner, bool_and(o_orderstatus <> 'P' AND o_totalprice < 300000) AS complete FROM orders GROUP BY o_custkey")
+def run_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = _t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("owner"), (F.col("o_orderstatus") == "P").alias("limited"), F.when(F.col("o_totalprice") >= 300000, 1).otherwise(0).alias("errors"))
+    return findings.complete_runs(o)
+
+
+@_query("SELECT l_orderkey AS owner, l_linenumber, l_partkey, CASE WHEN count(*) OVER (PARTITION BY l_orderkey) = 1 THEN 'matched' ELSE 'ambiguous' END AS status FROM lineitem WHERE l_returnflag = 'R'")
+def accepted_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = _t(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("owner"), "l_linenumber", "l_partkey")
+    return identity.single_or_ambiguous(a, "owner").select("owner", "l_linenumber", "l_partkey", "status")
+
+
+@_query("""
+WITH p AS (SELECT DISTINCT l_orderkey AS page, l_partkey AS record FROM lineitem), hit AS (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')
+SELECT page, record, CASE WHEN page IN (SELECT o_orderkey FROM hit) THEN 'now' ELSE 'then' END AS last_job FROM p
+""")
+def lineage_touched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("page"), F.col("l_partkey").alias("record")).distinct().withColumn("last_job", F.lit("then"))
+    cached = _t(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("page"))
+    return changes.touch(p, ["page"], cached, F.lit("now")).select("page", "record", "last_job")
+
+
+@_query("""
+WITH a AS (SELECT DISTINCT l_orderkey AS page, l_partkey AS record FROM lineitem), b AS (SELECT DISTINCT l_orderkey AS page, l_suppkey AS record FROM lineitem WHERE l_returnflag = 'R')
+SELECT * FROM a WHERE page NOT IN (SELECT page FROM b) UNION ALL SELECT * FROM b
+""")
+def lineage_replaced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = _t(spark, sf_dir, "lineitem").withColumnRenamed("l_orderkey", "page")
+    return changes.replace_lineage(lines.select("page", F.col("l_partkey").alias("record")).distinct(), lines.where("l_returnflag = 'R'").select("page", F.col("l_suppkey").alias("record")), ["page"])
+
+
+@_query("""
+WITH c AS (SELECT o_custkey AS source_id, o_orderkey AS url, o_orderstatus AS content_hash, o_orderpriority AS etag FROM orders WHERE o_orderstatus <> 'P'), f AS (SELECT o_custkey AS source_id, o_orderkey AS url, CASE WHEN o_totalprice < 100000 THEN o_orderstatus ELSE 'X' END AS content_hash FROM orders WHERE o_orderstatus <> 'F')
+SELECT coalesce(c.source_id, f.source_id) AS source_id, coalesce(c.url, f.url) AS url, coalesce(f.content_hash, c.content_hash) AS content_hash, etag, CASE WHEN f.url IS NULL THEN 'then' ELSE 'now' END AS last_crawled_at
+FROM c FULL JOIN f ON c.source_id = f.source_id AND c.url = f.url
+""")
+def pages_upserted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = _orders_as_pages(spark, sf_dir)
+    cache = o.where("o_orderstatus <> 'P'").select("source_id", "url", F.col("o_orderstatus").alias("content_hash"), F.col("o_orderpriority").alias("etag"), F.lit("then").alias("last_crawled_at"))
+    return changes.upsert_pages(cache, o.where("o_orderstatus <> 'F'").select("source_id", "url", "content_hash"), F.lit("now"))
+
+
+def _orders_as_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = _t(spark, sf_dir, "orders")
+    return o.withColumns({"source_id": F.col("o_custkey"), "url": F.col("o_orderkey"), "content_hash": F.when(F.col("o_totalprice") < 100000, F.col("o_orderstatus")).otherwise("X"), "status": F.when(F.col("o_orderpriority").startswith("1"), 304).otherwise(200)})
+
+
+@_query("""
+SELECT o_orderkey AS url, CASE WHEN o_orderstatus <> 'P' AND (o_orderpriority LIKE '1%' OR o_totalprice < 100000) THEN 'replay' ELSE 'parse' END AS action FROM orders
+""")
+def pages_by_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = _orders_as_pages(spark, sf_dir)
+    cache = o.where("o_orderstatus <> 'P'").select("source_id", "url", F.col("o_orderstatus").alias("content_hash"))
+    return changes.split_by_hash(cache, o.select("source_id", "url", "status", "content_hash")).select("url", "action")
+
+
+@_query(r"""
+WITH u AS (SELECT page_id, url, lower(regexp_extract(url, '^[a-zA-Z]+://[^/?#]*([^?#]*)', 1)) AS path FROM pages)
+SELECT page_id, CASE WHEN contains(path, 'profile') THEN 'profile' WHEN contains(path, 'complaint') THEN 'complaints' WHEN contains(path, 'search') THEN 'search' WHEN contains(path, 'result') THEN 'results' ELSE 'detail' END AS stage,
+       length(path) < 14 AND page_id % 2 = 0 AS dynamic FROM u
+""")
+def url_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _t(spark, sf_dir, "pages")
+    visible = F.when(F.length(F.lower(F.regexp_extract("url", "^[a-zA-Z]+://[^/?#]*([^?#]*)", 1))) < 14, "short").otherwise(F.repeat(F.lit("long "), 60))
+    return p.select("page_id", urls.stage(F.col("url")).alias("stage"), urls.looks_dynamic(visible, F.col("page_id") % 2 == 0).alias("dynamic"))
+
+
+@_query(f"SELECT DISTINCT p_name, CASE WHEN length({_match_sql('p_name')}) >= 8 OR contains({_match_sql('p_name')}, ' ') THEN {_match_sql('p_name')} ELSE p_name END AS term FROM part")
+def search_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "part").select("p_name", text.search_term(F.col("p_name")).alias("term")).distinct()
