@@ -482,8 +482,8 @@ def _places(spark: SparkSession, sf_dir: str, name: str, key: str, nation: str)
 
 _PLACES_SQL = """
 WITH n AS (SELECT n_nationkey, n_name, r_name FROM nation JOIN region ON r_regionkey = n_regionkey),
-s AS (SELECT s_suppkey AS k, r_name AS state, n_name || s_suppkey % 211 AS city, s_suppkey % 1009 AS zip, s_suppkey % 997 AS address FROM supplier JOIN n ON n_nationkey = s_nationkey),
-c AS (SELECT c_custkey AS k, r_name AS state, n_name || c_custkey % 211 AS city, c_custkey % 1009 AS zip, c_custkey % 997 AS address FROM customer JOIN n ON n_nationkey = c_nationkey),
+s AS (SELECT s_suppkey AS k, r_name AS state, n_name || ' ' || (s_suppkey % 211) AS city, s_suppkey % 1009 AS zip, s_suppkey % 997 AS address FROM supplier JOIN n ON n_nationkey = s_nationkey),
+c AS (SELECT c_custkey AS k, r_name AS state, n_name || ' ' || (c_custkey % 211) AS city, c_custkey % 1009 AS zip, c_custkey % 997 AS address FROM customer JOIN n ON n_nationkey = c_nationkey),
 ids AS (SELECT s.k AS supplier, c.k AS customer FROM s JOIN c USING (zip) UNION SELECT s.k, c.k FROM s JOIN c USING (state, city) UNION SELECT s.k, c.k FROM s JOIN c USING (state, address)),
 pairs AS (SELECT supplier, customer, s.state = c.state AS state, s.city = c.city AS city, s.zip = c.zip AS zip, s.address = c.address AS address FROM ids JOIN s ON s.k = supplier JOIN c ON c.k = customer)
 """
