@@ -52,7 +52,7 @@ STAGES: list[tuple[str, Stage]] = [
     ("sentencepiece_encoding", sentencepiece_encoding),
 ]
 
-#: No stage but the line dedup has a form in SQL, so run() is tested against brute force.
+#: No stage but the line dedup has a form in SQL; tests compare the rows of run() with the five stages by brute force.
 ORACLE_SQL: str | None = None
 
 
