@@ -34,8 +34,8 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Piece types of the model format.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-#: Stretches that a worker remembers, and their ids.
-CACHE, CACHE_IDS = 300_000, 3_000_000
+#: Stretches, and their ids, in each of the two generations that a worker remembers.
+CACHE, CACHE_IDS = 400_000, 4_000_000
 #: Texts that are encoded together, in characters.
 CHUNK_CHARS = 2_000_000
 
@@ -142,21 +142,29 @@ class Codec:
 
     def _forget(self) -> None:
         """Empty the table of stretches."""
+        self.numbers, self.old_numbers = _Numbered(), {}
+        self.ends = self.old_ends = np.zeros(1, np.int64)
+        self.flat = self.old_flat = np.empty(0, np.int32)
+
+    def _age(self) -> None:
+        """Begin a new generation of stretches. What recurs moves from the last one, so that common ones stay."""
+        self.old_numbers, self.old_ends, self.old_flat = dict(self.numbers), self.ends, self.flat
         self.numbers = _Numbered()
-        self.ends = np.zeros(1, np.int64)
-        self.flat = np.empty(0, np.int32)
+        self.ends, self.flat = np.zeros(1, np.int64), np.empty(0, np.int32)
 
     def stream(self, chars: Iterator[str] | str) -> Iterator[tuple[int, ...]]:
         """Ids of a stretch of normalised text, as they become final."""
-        ids, scores, longest = self.ids, self.scores, self.longest
+        get, penalty, longest = self.scores.get, self.penalty, self.longest
         window = ""  # characters from the last settled boundary on
         best, back = [0.0], [0]  # by boundary: best sum, and where its last piece starts
+        end = 0
         for c in chars:
             window += c
-            end = len(window)
-            top, start = best[end - 1] + (scores[c] if c in scores else self.penalty), end - 1
-            for at in range(end - 2, max(-1, end - longest - 1), -1):
-                s = scores.get(window[at:end])
+            start = end
+            end += 1
+            top = best[start] + get(c, penalty)
+            for at in range(start - 1, end - longest - 1 if end > longest else -1, -1):
+                s = get(window[at:])
                 if s is not None and best[at] + s >= top:
                     top, start = best[at] + s, at
             best.append(top)
@@ -172,11 +180,11 @@ class Codec:
                 meet = alive.pop()
                 if meet:
                     yield self._path(window, back, meet)
-                    window, base = window[meet:], best[meet]
+                    window, base, end = window[meet:], best[meet], end - meet
                     best = [x - base for x in best[meet:]]
                     back = [0, *(x - meet for x in back[meet + 1 :])]
         if window:
-            yield self._path(window, back, len(window))
+            yield self._path(window, back, end)
 
     def _path(self, window: str, back: list[int], end: int) -> tuple[int, ...]:
         out: list[int] = []
@@ -216,9 +224,14 @@ class Codec:
         """Search the stretches that are new."""
         flat: list[int] = []
         ends: list[int] = []
+        old = self.old_numbers
         for key in self.numbers.fresh:
-            for final in self.stream(self._stretch(key)):
-                flat += final
+            n = old.get(key)
+            if n is not None:
+                flat += self.old_flat[self.old_ends[n] : self.old_ends[n + 1]].tolist()
+            else:
+                for final in self.stream(self._stretch(key)):
+                    flat += final
             ends.append(len(flat))
         if ends:
             self.flat = np.concatenate([self.flat, np.array(flat, np.int32)])
@@ -228,7 +241,7 @@ class Codec:
     def encode_all(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text."""
         if len(self.numbers) > CACHE or len(self.flat) > CACHE_IDS:
-            self._forget()
+            self._age()
         number = self.numbers.__getitem__
         lists = []
         for text in texts:
