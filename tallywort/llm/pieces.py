@@ -35,7 +35,7 @@ SPACE = "▁"
 #: Piece types of the model format.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Stretches, and their ids, in each of the two generations that a worker remembers.
-CACHE, CACHE_IDS = 400_000, 4_000_000
+CACHE, CACHE_IDS = 200_000, 2_000_000
 #: Texts that are encoded together, in characters.
 CHUNK_CHARS = 2_000_000
 
@@ -148,7 +148,7 @@ class Codec:
 
     def _age(self) -> None:
         """Begin a new generation of stretches. What recurs moves from the last one, so that common ones stay."""
-        self.old_numbers, self.old_ends, self.old_flat = dict(self.numbers), self.ends, self.flat
+        self.old_numbers, self.old_ends, self.old_flat = self.numbers, self.ends, self.flat
         self.numbers = _Numbered()
         self.ends, self.flat = np.zeros(1, np.int64), np.empty(0, np.int32)
 
