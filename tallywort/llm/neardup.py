@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from . import common
 
 SAMPLE, QUERIES, RECALL = 20_000, 2_000, 0.995
-#: Bands of cosine that each must reach RECALL, links ranked for a query in a batch, and the step between ranks told apart.
+#: Bands of cosine that each must reach RECALL, links ranked for a query in a task, and the step between ranks told apart.
 BANDS, LINKS, STEP = 4, 16, 1.1
 MAX_WORDS, PER_CELL = 512, 32
 #: Rows of a block; regions are of that size, or smaller where that leaves fewer than REGIONS.
@@ -137,6 +137,14 @@ def planted_cells(index: Index, queries: np.ndarray, threshold: float, seed: int
     return int(np.quantile(ranks, RECALL, method="higher"))
 
 
+def _mixed(ids: np.ndarray) -> np.ndarray:
+    """The ids in an order without pattern (the finaliser of splitmix64)."""
+    x = ids.astype(np.int64).view(np.uint64) + np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
 def linked_cells(index: Index, queries: np.ndarray, reps: np.ndarray, classes: DataFrame, threshold: float) -> int:
     """Cells that find RECALL of the vectors' links with all classes, in each band; 1 if they have none."""
     shared = classes.sparkSession.sparkContext.broadcast((index, queries, reps))
@@ -144,24 +152,37 @@ def linked_cells(index: Index, queries: np.ndarray, reps: np.ndarray, classes: D
     def ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, queries, reps = shared.value
         qa, qb = index.halves(queries)
+        # for a query and band: links met, and the LINKS of least hash among them, as (hash, step)
+        met: dict[tuple[int, int], int] = {}
+        kept: dict[tuple[int, int], list[tuple[int, int]]] = {}
         for batch in batches:
             if not batch.num_rows:
                 continue
             x = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.float64).reshape(batch.num_rows, -1)
-            rep, (a, b), out = batch.column(0).to_numpy(), index.halves(x), []
+            rep, (a, b) = batch.column(0).to_numpy(), index.halves(x)
+            order = _mixed(rep)
             for at in range(0, len(queries), 250):
-                for i, cos in enumerate(queries[at : at + 250] @ x.T, at):
-                    near = np.flatnonzero((cos >= threshold) & (rep != reps[i]))
-                    band = np.clip((cos[near] - threshold) / max(1e-12, 1 - threshold) * BANDS, 0, BANDS - 1).astype(int)
+                cos = queries[at : at + 250] @ x.T
+                for i in np.flatnonzero((cos >= threshold).any(axis=1)).tolist():
+                    q, row = at + i, cos[i]
+                    near = np.flatnonzero((row >= threshold) & (rep != reps[q]))
+                    band = np.clip((row[near] - threshold) / max(1e-12, 1 - threshold) * BANDS, 0, BANDS - 1).astype(int)
                     for k in np.unique(band).tolist():
-                        some = near[band == k]
-                        some = some[np.argsort(cos[some], kind="stable")]
-                        taken = some[np.unique(np.linspace(0, len(some) - 1, LINKS).astype(int))]
-                        for j in taken.tolist():
-                            r = link_rank((qa[i], qb[i]), (a[j], b[j]))
-                            out.append((i, k, int(np.ceil(np.log(r) / np.log(STEP))), len(some) / len(taken)))
-            cols = zip(*out, strict=True) if out else [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.int32(), pa.float64()), strict=True)], ["q", "band", "step", "n"])
+                        some, best = near[band == k], kept.setdefault((q, k), [])
+                        met[q, k] = met.get((q, k), 0) + len(some)
+                        if len(best) == LINKS:
+                            some = some[order[some] < best[-1][0]]
+                        if len(some) > LINKS:
+                            some = some[np.argpartition(order[some], LINKS)[:LINKS]]
+                        for j in some.tolist():
+                            r = link_rank((qa[q], qb[q]), (a[j], b[j]))
+                            best.append((int(order[j]), int(np.ceil(np.log(r) / np.log(STEP)))))
+                        if len(some):
+                            best.sort()
+                            del best[LINKS:]
+        out = [(q, k, step, met[q, k] / len(best)) for (q, k), best in kept.items() for _, step in best]
+        cols = zip(*out, strict=True) if out else [[]] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.int32(), pa.float64()), strict=True)], ["q", "band", "step", "n"])
 
     links = common.materialize(classes.select("rep", "unit").mapInArrow(ranked, "q int, band int, step int, n double").groupBy("q", "band", "step").agg(F.sum("n").alias("n")), "vec-ranks")
     # a group of m is drawn m times as often as a single vector and each of its members has m links
@@ -214,29 +235,47 @@ def _forest(a: np.ndarray, b: np.ndarray) -> list[int]:
     return out
 
 
+def _spanning(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Positions of links (i, j) that connect whatever all connect: the first of each j, and one of each pair of an i
+    and the i that j was first met by."""
+    if not len(i):
+        return np.zeros(0, np.int64)
+    order = np.lexsort((i, j))
+    _, start, group = np.unique(j[order], return_index=True, return_inverse=True)
+    first = order[start]
+    pair = i[order].astype(np.int64) * (int(i.max()) + 1) + i[first][group]
+    _, one = np.unique(pair, return_index=True)
+    return np.unique(np.concatenate([first, order[one]]))
+
+
 def _meet(threshold: float):
     def run(t: pa.Table) -> pa.Table:
         visitor = t.column("visitor").to_numpy()
         unit = np.frombuffer(b"".join(t.column("unit").to_pylist()), np.float64).reshape(len(visitor), -1)
         rep, mult, home = (t.column(c).to_numpy() for c in ("rep", "mult", "home"))
-        visits = t.column("visits").to_pylist()
         q, m = np.flatnonzero(visitor), np.flatnonzero(~visitor)
         total, credit = np.zeros(len(rep), np.int64), np.zeros(len(rep), np.int64)
-        back = [set(visits[j] or ()) for j in m]
+        # whether a member's own search comes to the home of a visitor
+        homes, at_home = np.unique(home[q], return_inverse=True)
+        visits = t.column("visits").combine_chunks().take(pa.array(m))
+        region = visits.flatten().to_numpy(zero_copy_only=False)
+        owner = np.repeat(np.arange(len(m)), np.diff(visits.offsets.to_numpy()))
+        place = np.minimum(np.searchsorted(homes, region), max(0, len(homes) - 1))
+        known = homes[place] == region if len(homes) else np.zeros(len(region), bool)
+        back = np.zeros((len(m), len(homes)), bool)
+        back[owner[known], place[known]] = True
         edges: list[tuple[int, int]] = []
         for at in range(0, len(q), 500):
             part = q[at : at + 500]
             i, j = np.nonzero(unit[part] @ unit[m].T >= threshold)
-            i, j = part[i], m[j]
-            other = rep[i] != rep[j]
+            other = rep[part[i]] != rep[m[j]]
             i, j = i[other], j[other]
-            np.add.at(total, i, mult[j])
-            place = np.full(len(rep), -1)
-            place[m] = np.arange(len(m))
-            for x, y in zip(i.tolist(), j.tolist(), strict=True):
-                if int(home[x]) not in back[place[y]]:
-                    credit[y] += mult[x]  # the other's search doesn't come here
-            edges += [(int(rep[i[e]]), int(rep[j[e]])) for e in _forest(rep[i], rep[j])]
+            total[part] += np.bincount(i, mult[m[j]], len(part)).astype(np.int64)
+            only = ~back[j, at_home[at + i]]  # the other's search doesn't come here
+            credit[m] += np.bincount(j[only], mult[part[i[only]]], len(m)).astype(np.int64)
+            few = _spanning(i, j)
+            a, b = rep[part[i[few]]], rep[m[j[few]]]
+            edges += [(int(a[e]), int(b[e])) for e in _forest(a, b)]
         n = total + credit
         at = np.flatnonzero(n)
         kept = _forest(*np.array(edges, np.int64).reshape(-1, 2).T) if edges else []
