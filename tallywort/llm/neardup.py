@@ -12,7 +12,8 @@ non-finite component link with nothing.
    classes, compared exactly with all classes, in each of ``BANDS`` bands of cosine between the threshold and 1, and
    of links planted at the threshold, one for each of these classes. A group of near copies weighs as much as a pair.
 4. Neighbouring cells make up regions, so that a vector is sent once to a region and not to each of its cells. A
-   region's members and visitors meet in blocks of bounded size; cosines are computed exactly, in double precision.
+   region's members and visitors meet in blocks of bounded size; cosines count in double precision, single precision only
+   sets aside pairs that are far from the threshold.
    A pair counts for both vectors whichever finds it. Blocks return counts and, of their links, a spanning
    forest, so a dense group isn't expanded into pairs.
 
@@ -248,10 +249,24 @@ def _spanning(i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return np.unique(np.concatenate([first, order[one]]))
 
 
+def _close(x: np.ndarray, y: np.ndarray, x32: np.ndarray, y32: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of rows with a cosine of threshold or more in double precision. Single precision decides where its
+    error, which is bounded by the length of the vectors, can't change the outcome; the rest is computed in double."""
+    margin = 2.0 ** -22 * (x.shape[1] + 4)
+    cos = x32 @ y32.T
+    i, j = np.nonzero(cos >= np.float32(threshold - margin))
+    sure = cos[i, j] >= threshold + margin
+    for at in range(0, len(i), 100_000):
+        some = at + np.flatnonzero(~sure[at : at + 100_000])
+        sure[some] = np.einsum("ij,ij->i", x[i[some]], y[j[some]]) >= threshold
+    return i[sure], j[sure]
+
+
 def _meet(threshold: float):
     def run(t: pa.Table) -> pa.Table:
         visitor = t.column("visitor").to_numpy()
         unit = np.frombuffer(b"".join(t.column("unit").to_pylist()), np.float64).reshape(len(visitor), -1)
+        slim = unit.astype(np.float32)
         rep, mult, home = (t.column(c).to_numpy() for c in ("rep", "mult", "home"))
         q, m = np.flatnonzero(visitor), np.flatnonzero(~visitor)
         total, credit = np.zeros(len(rep), np.int64), np.zeros(len(rep), np.int64)
@@ -267,7 +282,7 @@ def _meet(threshold: float):
         edges: list[tuple[int, int]] = []
         for at in range(0, len(q), 500):
             part = q[at : at + 500]
-            i, j = np.nonzero(unit[part] @ unit[m].T >= threshold)
+            i, j = _close(unit[part], unit[m], slim[part], slim[m], threshold)
             other = rep[part[i]] != rep[m[j]]
             i, j = i[other], j[other]
             total[part] += np.bincount(i, mult[m[j]], len(part)).astype(np.int64)
