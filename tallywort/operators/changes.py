@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from heapq import heappop, heappush
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .graph import components, held
 from .schema import COLUMNS
 
 
@@ -84,8 +87,6 @@ def merge_master(master: DataFrame, rows: DataFrame) -> DataFrame:
     small group is folded in order of line, and new rows get their pk by line after the highest. Most groups are
     one row.
     """
-    from tallywort.operators.graph import components
-
     cols = [c for c in COLUMNS if c != "id"]
     m = master.select(F.lit(0).alias("line"), "pk", F.col("bidder_id").alias("id"), *cols, "contractor_norm", "address_norm")
     r = rows.select("line", F.lit(None).cast("long").alias("pk"), "id", *cols, "contractor_norm", "address_norm")
@@ -99,28 +100,57 @@ def merge_master(master: DataFrame, rows: DataFrame) -> DataFrame:
 
     def fold(group: pd.DataFrame) -> pd.DataFrame:
         order = group.sort_values(["line", "pk"])
-        table = [dict(x, outcome="kept") for x in order[order["line"] == 0].to_dict("records")]
-        for new in order[order["line"] > 0].to_dict("records"):
-            key = new["bidder_id"].strip()
-            hit = next((t for t in table if key and t["bidder_id"] == key), None)
-            if hit is None and new["contractor_norm"]:
-                same = [t for t in table if t["contractor_norm"] == new["contractor_norm"]]
-                if len(same) > 1:
-                    there = [t for t in same if new["address_norm"] and t["address_norm"] == new["address_norm"]]
-                    same = there if len(there) == 1 else []
-                hit = same[0] if len(same) == 1 else None
+        table: list[dict] = []
+        # places in the table by id, first ones on top (left there when an id changes), by name, and by name and address
+        ids: dict[str, list[int]] = {}
+        names: dict[object, set[int]] = {}
+
+        def under(row: dict) -> list:
+            name = row["contractor_norm"]
+            return [name, (name, row["address_norm"])]
+
+        def put(at: int, row: dict) -> None:
+            heappush(ids.setdefault(row["bidder_id"], []), at)
+            for k in under(row):
+                names.setdefault(k, set()).add(at)
+
+        def by_id(key: str) -> int | None:
+            found = ids.get(key, [])
+            while found and table[found[0]]["bidder_id"] != key:
+                heappop(found)
+            return found[0] if key and found else None
+
+        def by_name(row: dict) -> int | None:
+            same, there = (names.get(k, set()) for k in under(row))
+            if len(same) > 1:
+                same = there if row["address_norm"] else set()
+            return next(iter(same)) if row["contractor_norm"] and len(same) == 1 else None
+
+        for row in order.to_dict("records"):
+            hit = None
+            if row["line"] > 0:
+                hit = by_id(row["bidder_id"].strip())
+                hit = by_name(row) if hit is None else hit
             if hit is None:
-                table.append(dict(new, outcome="inserted"))
-            else:
-                changed = any(hit[c] != new[c] for c in ["bidder_id", *cols])
-                hit.update({c: new[c] for c in ["bidder_id", *cols, "contractor_norm", "address_norm"]})
-                if hit["outcome"] != "inserted":
-                    hit["outcome"] = "updated" if changed or hit["outcome"] == "updated" else "unchanged"
+                table.append(dict(row, outcome="inserted" if row["line"] > 0 else "kept"))
+                put(len(table) - 1, row)
+                continue
+            old = table[hit]
+            changed = any(old[c] != row[c] for c in ["bidder_id", *cols])
+            for k in under(old):
+                names[k].discard(hit)
+            old.update({c: row[c] for c in ["bidder_id", *cols, "contractor_norm", "address_norm"]})
+            put(hit, row)
+            if old["outcome"] != "inserted":
+                old["outcome"] = "updated" if changed or old["outcome"] == "updated" else "unchanged"
         return pd.DataFrame(table)[[*group.columns, "outcome"]]
 
-    out = grouped.groupBy("grp").applyInPandas(fold, T.StructType([*grouped.schema.fields, T.StructField("outcome", T.StringType())]))
+    out = held(grouped.groupBy("grp").applyInPandas(fold, T.StructType([*grouped.schema.fields, T.StructField("outcome", T.StringType())])))
     top = master.agg(F.coalesce(F.max("pk"), F.lit(0))).first()[0]
-    added = out.where("pk is null")
-    # numbering new rows takes one ordered pass over their line numbers alone
-    places = added.select("line").withColumn("n", F.row_number().over(Window.orderBy("line")))
+    # new rows are numbered within ranges of lines, which are offset by the counts of the ranges before
+    places = held(out.where("pk is null").select("line").repartitionByRange("line").withColumn("part", F.spark_partition_id()))
+    before = F.sum("count").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = places.groupBy("part").count().select("part", F.coalesce(before, F.lit(0)).alias("before"))
+    n = F.row_number().over(Window.partitionBy("part").orderBy("line")) + F.col("before")
+    places = places.join(offsets, "part").select("line", n.alias("n"))
     return out.join(places, "line", "left").withColumn("pk", F.coalesce("pk", F.col("n") + top)).drop("grp", "line", "n")
