@@ -59,6 +59,7 @@ def _probes(hashes: np.ndarray, bits: int) -> np.ndarray:
 
 def _marks(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.lean_worker()
         def emit(held: list[np.ndarray]) -> pa.RecordBatch:
             seen, n = np.unique(np.concatenate(held), return_counts=True)
             rows = []
@@ -90,6 +91,7 @@ def _merged(bits: int):
     segment = min(SEGMENT_BITS, bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.lean_worker()
         def emit() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([np.packbits(twice).tobytes()], pa.binary())], ["segment", "bits"])
 
@@ -130,6 +132,7 @@ def _keys(text: bytes) -> list[bytes]:
 def _suspects(known, bits: int):
     """Keys that the twice-seen filter knows, whole."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.lean_worker()
         twice = known.value
         for batch in batches:
             ids: list[int] = []
@@ -152,6 +155,7 @@ def _suspects(known, bits: int):
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """All keys, as digests."""
+    common.lean_worker()
     for batch in batches:
         rows = [(doc.as_py(), xxhash.xxh3_64_intdigest(x), xxhash.xxh3_128_digest(x)) for doc, text in zip(*batch.columns, strict=True) if doc.is_valid and text.is_valid for x in _keys(text.as_py())]
         ids, hashes, keys = zip(*rows, strict=True) if rows else ((), (), ())
@@ -190,6 +194,7 @@ def deduplicated(docs: DataFrame, bits: int | None = None) -> DataFrame:
     place = docs.columns.index("text")
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.lean_worker()
         for batch in batches:
             texts, before, gone = [], [], []
             for text, drop in zip(batch.column(place), batch.column(batch.num_columns - 1), strict=True):

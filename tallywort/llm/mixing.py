@@ -185,6 +185,7 @@ def applied(docs: DataFrame, block_words: int = BLOCK_WORDS, shard_words: int =
     place = names.index("text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.lean_worker()
         for batch in batches:
             rows, texts = [], []
             more = [batch.column(i).to_pylist() for i in range(len(names), batch.num_columns)]

@@ -161,6 +161,7 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 def _profile(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.lean_worker()
         import xxhash
 
         for batch in batches:
@@ -235,6 +236,7 @@ def _grouped(sig: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, ...]:
 def _signatures(k: int, percent: int, plans):
     """Signatures by range. Sets of a task that share one whole are linked there with the first of them, which alone goes on."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.lean_worker()
         import xxhash
 
         by_band, lows, layout = plans.value
@@ -290,6 +292,7 @@ def _signatures(k: int, percent: int, plans):
 def _shared(plans):
     """Of the signatures of a range, those that two sets share, one of them whole; with the first whole one."""
     def run(t: pa.Table) -> pa.Table:
+        common.lean_worker()
         layout = plans.value[2]
         out = [[np.empty(0, np.int64)] * 3]
         rows = list(zip(*(t.column(c).to_pylist() for c in ("at", "low", "counts", "lows", "owner", "first")), strict=True))
@@ -308,6 +311,7 @@ def _near(percent: int):
     """Pairs whose difference may be small enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.lean_worker()
         for batch in batches:
             keep = []
             for n, m, a, b in zip(*(batch.column(c) for c in ("na", "nb", "oa", "ob")), strict=True):
@@ -322,6 +326,7 @@ def _across(percent: int):
     """Pairs of a signature in different components that may be near enough, but for those with its first set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.lean_worker()
         def pairs(rows: list[tuple]) -> pa.RecordBatch | None:
             found: list[tuple[int, int]] = []
             rows = list({r[0]: r for r in rows}.values())
@@ -367,11 +372,13 @@ def verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFra
     own = common.join_by_id(slim, ids, F.col("doc_id") == F.col("id"), "left_semi")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.lean_worker()
         for batch in batches:
             out = [shingles(x.as_py() or b"", k).tobytes() for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["id", "s"])
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.lean_worker()
         for batch in batches:
             ok = [linked(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64), percent) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
             yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
@@ -392,6 +399,7 @@ def shared_part(docs: DataFrame, reps: DataFrame, k: int, percent: int) -> float
     limit = np.uint64(min(2**64 - 1, int(part * 2**64)))
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.lean_worker()
         for batch in batches:
             sets = [shingles(x.as_py() or b"", k) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[common.mix64(x) <= limit].tobytes() for x in sets], pa.binary())], ["id", "s"])

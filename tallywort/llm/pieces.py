@@ -309,6 +309,7 @@ def encoded(docs: DataFrame, path: str = MODEL) -> DataFrame:
     place = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.lean_worker()
         codec = _codec(model.value)
         for batch in batches:
             flat, same, held, size = [], [], [], 0
@@ -336,6 +337,7 @@ def decoded(encodings: DataFrame, path: str = MODEL) -> DataFrame:
     place = rest.columns.index("ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.lean_worker()
         codec = _codec(model.value)
         for batch in batches:
             out = [None if x.as_py() is None else codec.decode(x.as_py()) for x in batch.column(place)]

@@ -103,6 +103,7 @@ def distance(p: np.ndarray, q: np.ndarray) -> float:
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Partial counts by language: words, and character classes under names that no word can have."""
+    common.lean_worker()
 
     def flush(counts: dict) -> pa.RecordBatch:
         rows = [(lang, key, n) for lang, c in counts.items() for key, n in c.items()]
@@ -203,6 +204,7 @@ def judged(docs: DataFrame) -> DataFrame:
     n = len(plain.columns)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.lean_worker()
         known: dict = held.value if held is not None else {}
         for batch in batches:
             out = []
