@@ -7,7 +7,6 @@ first-wins dedupe and the merging of partial records, is DataFrame work.
 from __future__ import annotations
 
 import json
-import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 from urllib.parse import urljoin, urlsplit
@@ -16,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallywort.functions import text
+from tallywort.functions import finders
 
 #: Labels by field. Labels of the master table come before general ones.
 MASTER_LABELS = {
@@ -99,7 +98,7 @@ def has_signal(record: dict) -> bool:
 
 #: Least and greatest length of a block that is read as a record, and what is looked for in its text.
 MIN_BLOCK, MAX_BLOCK = 20, 5000
-FINDERS = {"phone": re.compile(text.PHONE_IN), "address": re.compile(text.STREET_IN), "date": re.compile(text.DATE_IN)}
+FINDERS = {"phone": finders.find_phone, "address": finders.find_street, "date": finders.find_date}
 
 
 class _Reader(HTMLParser):
@@ -245,9 +244,9 @@ def records_of(html: str, url: str) -> list[dict]:
                 if f and value.strip():
                     rec[f] = value.strip()
             if i in r.whole:
-                for f, finder in FINDERS.items():
-                    if f not in rec and (m := finder.search(body)):
-                        rec[f] = m[0].strip()
+                for f, find in FINDERS.items():
+                    if f not in rec and (value := find(body)):
+                        rec[f] = value
             if rec and "name" not in rec and "company" not in rec and (head := r.block_heads.get(i) or (r.heads[:1] or [""])[0]):
                 rec["name"] = head
             link = r.block_links.get(i) if i in r.whole else None

@@ -11,9 +11,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallywort.functions import keys, text, urls
+from tallywort.functions import finders, keys, text, urls
 from tallywort.operators import changes, extract, findings, graph, identity, joins, proposals, runs, schema, search
-from tallywort.sources import payloads
+from tallywort.sources import business_search, payloads
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -305,6 +305,140 @@ def context_window_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return payloads.alias_places(d, token).select(F.col("text_id").alias("doc_id"), F.col("at").cast("long").alias("place"), "before", "after")
 
 
+@_query(r"""
+WITH t AS (SELECT doc_id, trim(regexp_replace(coalesce(text, ''), '[\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+', ' ', 'g')) AS flat FROM documents),
+b AS (SELECT item_id, trim(regexp_replace(coalesce(text, ''), '[\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+', ' ', 'g')) AS alias FROM benchmark)
+SELECT doc_id, item_id, ((length(flat) - length(replace(lower(flat), lower(alias), ''))) / length(alias))::BIGINT AS n, (strpos(lower(flat), lower(alias)) - 1)::BIGINT AS first_place
+FROM t JOIN b ON length(alias) >= 4 AND contains(lower(flat), lower(alias))
+""")
+def alias_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole benchmark items as aliases of their owners, in all documents."""
+    d = _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("text_id"), "text")
+    b = _t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("owner"), text.blank(F.col("text")).alias("alias"))
+    hits = payloads.alias_places(d, b)
+    return hits.groupBy(F.col("text_id").alias("doc_id"), F.col("owner").alias("item_id")).agg(F.count("*").alias("n"), F.min("at").cast("long").alias("first_place"))
+
+
+_CARD_SQL = "'No. ' || c_custkey || ': call (608) 555-' || lpad((c_custkey % 10000)::VARCHAR, 4, '0') || ' after May ' || (c_custkey % 28 + 1) || ', 2024; ' || (c_custkey % 900 + 1) || ' ' || c_mktsegment || ' Street, Madison'"
+
+
+@_query(f"""
+SELECT c_custkey, '(608) 555-' || lpad((c_custkey % 10000)::VARCHAR, 4, '0') AS phone, 'May ' || (c_custkey % 28 + 1) || ', 2024' AS day,
+       (c_custkey % 900 + 1) || ' ' || c_mktsegment || ' Street' AS street FROM customer WHERE {_CARD_SQL} <> ''
+""")
+def found_in_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Phone, date and street found again in cards written from the table."""
+    k = F.col("c_custkey")
+    number = lambda c: c.cast("string")
+    card = F.concat(
+        F.lit("No. "), number(k), F.lit(": call (608) 555-"), F.lpad(number(k % 10000), 4, "0"), F.lit(" after May "), number(k % 28 + 1), F.lit(", 2024; "), number(k % 900 + 1),
+        F.lit(" "), F.col("c_mktsegment"), F.lit(" Street, Madison"),
+    )
+    c = _t(spark, sf_dir, "customer").select("c_custkey", card.alias("card"))
+    return c.select("c_custkey", finders.first_phone(F.col("card")).alias("phone"), finders.first_date(F.col("card")).alias("day"), finders.first_street(F.col("card")).alias("street"))
+
+
+#: Result pages written from customers, eight a page: odd pages hold embedded objects, even ones cards with two anchors a
+#: profile, of which the second has the longer name.
+_PAGE_OF = 8
+
+
+def _result_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey")
+    page = F.floor(k / _PAGE_OF).cast("long")
+    letter = F.substring(F.lit("ABCDEFGHIJKLMNOPQRSTUVWXY"), F.col("c_nationkey") + 1, F.lit(1))
+    path = F.concat(F.lit("/us/wi/port/profile/"), F.lower("c_mktsegment"), F.lit("/biz-0694-"), k.cast("string"))
+    street, city = F.concat((k % 900 + 1).cast("string"), F.lit(" Oak Rd")), F.concat(F.lit("Port "), letter)
+    state, zip_code = F.concat(letter, F.lit("I")), F.lpad((k % 100_000).cast("string"), 5, "0")
+    card = F.concat(
+        F.lit('<article><h3><a href="'), path, F.lit('/complaints?x=1">Biz</a></h3><p>'), street, F.lit(", "), city, F.lit(", "), state, F.lit(" "), zip_code, F.lit('</p><a href="'), path, F.lit('">'),
+        F.col("c_name"), F.lit("</a></article>"),
+    )
+    item = F.to_json(F.struct(
+        F.col("c_name").alias("businessName"), F.concat(F.lit("https://x.example"), path).alias("profileUrl"),
+        F.struct(street.alias("streetAddress"), city.alias("addressLocality"), F.lower(state).alias("addressRegion"), zip_code.alias("postalCode")).alias("address"),
+    ))
+    parts = _t(spark, sf_dir, "customer").select(page.alias("page_id"), F.when(page % 2 == 0, card).otherwise(item).alias("part"))
+    joined = parts.groupBy("page_id").agg(F.array_sort(F.collect_list("part")).alias("parts"))  # eight at most
+    cards = F.concat(F.lit("<html><body><main>"), F.array_join("parts", ""), F.lit("</main></body></html>"))
+    items = F.concat(F.lit('<div></div><script type="application/json">{"results":['), F.array_join("parts", ","), F.lit("]}</script>"))
+    return joined.select("page_id", F.lit("https://x.example/search?page=1").alias("url"), F.when(F.col("page_id") % 2 == 0, cards).otherwise(items).alias("html"))
+
+
+@_query(f"""
+SELECT c_custkey // {_PAGE_OF} AS page_id, 'https://x.example/us/wi/port/profile/' || lower(c_mktsegment) || '/biz-0694-' || c_custkey AS profile_url, c_name AS name,
+       (c_custkey % 900 + 1) || ' Oak Rd' AS address, 'Port ' || chr(65 + c_nationkey) AS city, chr(65 + c_nationkey) || 'I' AS state, lpad((c_custkey % 100000)::VARCHAR, 5, '0') AS zip,
+       CASE WHEN c_custkey // {_PAGE_OF} % 2 = 0 THEN 2 ELSE 1 END AS n_mentions FROM customer
+""")
+def business_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = business_search.mentions(_result_pages(spark, sf_dir))
+    return business_search.candidates(found).drop("card_text", "place")
+
+
+@_query(r"""
+WITH a AS (SELECT page_id, url, html, unnest(range(1, len(regexp_extract_all(html, '<a href="(/[^"/?#]+)">[^<]*</a>', 1)) + 1)) AS i,
+                  regexp_extract_all(html, '<a href="(/[^"/?#]+)">[^<]*</a>', 1) AS hrefs, regexp_extract_all(html, '<a href="/[^"/?#]+">([^<]*)</a>', 1) AS names FROM pages)
+SELECT page_id, regexp_extract(url, '^(https?://[^/?#]+)', 1) || hrefs[i] AS profile_url,
+       max_by(trim(replace(names[i], '&amp;', '&')), length(trim(replace(names[i], '&amp;', '&'))) * 100000 - i) AS name, count(*) AS n_mentions
+FROM a GROUP BY page_id, profile_url
+""")
+def page_anchor_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The anchors of all pages that lead to the top of their host, as if they were profiles."""
+    pages = _t(spark, sf_dir, "pages").select("page_id", "url", "html")
+    found = business_search.mentions(pages, profile=r"^https?://[^/?#]+/[^/?#]+$")
+    return business_search.candidates(found).select("page_id", "profile_url", "name", "n_mentions")
+
+
+_CHAIN_SQL = """
+WITH p AS (SELECT conv_id AS q, turn + 1 AS page, length(coalesce(text, '')) AS n FROM conversations),
+r AS (SELECT q, page, CASE WHEN n = 0 THEN 1 WHEN n % 4 = 0 THEN 6 WHEN n % 11 = 0 THEN 2 WHEN n % 13 = 0 THEN 3 WHEN n % 7 = 0 THEN 4 ELSE 5 END AS v FROM p),
+s AS (SELECT q, coalesce(min(v) FILTER (page = 1), 0) AS a, coalesce(min(v) FILTER (page = 2), 0) AS b, coalesce(min(v) FILTER (page = 3), 0) AS c FROM r GROUP BY q),
+t AS (SELECT q, ['missing', 'unknown', 'foreign', 'loop', 'gap', 'next', ''] AS names, a, b, c FROM s)
+SELECT q, CASE WHEN a <> 5 THEN CASE WHEN a = 0 THEN 0 ELSE 1 END WHEN b <> 5 THEN CASE WHEN b = 0 THEN 1 ELSE 2 END WHEN c = 0 THEN 2 ELSE 3 END AS n_pages,
+       CASE WHEN a <> 5 THEN names[a + 1] WHEN b = 0 THEN 'gap' WHEN b <> 5 THEN names[b + 1] WHEN c = 0 THEN 'gap' WHEN c <> 5 THEN names[c + 1] ELSE 'too_long' END AS reason FROM t
+"""
+
+
+def _turn_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as result pages of their conversations, of which some have no next, or lead elsewhere."""
+    n, page = F.length(text.blank(F.col("text"))), F.col("turn") + 1
+    kind = F.when(n % 4 == 0, "end").when(n % 11 == 0, "foreign").when(n % 13 == 0, "loop").when(n % 7 == 0, "gap").otherwise("next")
+    following = F.when(kind == "loop", page).when(kind == "gap", page + 2).when(kind != "end", page + 1)
+    turns = _t(spark, sf_dir, "conversations")
+    pages = turns.select(F.col("conv_id").alias("q"), page.alias("page"), (F.col("conv_id") + F.when(kind == "foreign", 1).otherwise(0)).alias("next_q"), following.alias("next_page"), (n > 0).alias("recognised"))
+    return business_search.page_chains(pages, ["q"])
+
+
+@_query(_CHAIN_SQL)
+def search_page_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _turn_chains(spark, sf_dir).select("q", "n_pages", "reason")
+
+
+@_query(f"""
+SELECT owner, count(*) AS n_queries, count(*) FILTER (reason <> '') AS n_incomplete, count(*) FILTER (reason <> '') = 0 AS complete,
+       coalesce(array_to_string(list_sort(list(DISTINCT reason) FILTER (reason <> '')), ','), '') AS reasons
+FROM (SELECT c_custkey % 50 AS owner, coalesce(reason, 'missing') AS reason FROM customer LEFT JOIN ({_CHAIN_SQL}) ON q = c_custkey) GROUP BY owner
+""")
+def owner_search_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as searches of fifty owners; a search whose pages were never seen makes its owner incomplete."""
+    chains = _turn_chains(spark, sf_dir).select(F.col("q").cast("string").alias("term"), F.lit("").alias("location"), "n_pages", "complete", "reason")
+    asked = _t(spark, sf_dir, "customer").select((F.col("c_custkey") % 50).alias("owner"), F.col("c_custkey").cast("string").alias("term"), F.lit("").alias("location"))
+    return business_search.owner_searches(asked, chains).withColumn("reasons", F.array_join("reasons", ","))
+
+
+@_query("""
+SELECT c_custkey AS owner, 'https://x.example/search?find_country=USA&find_text=' || replace(CASE WHEN part = 1 THEN replace(c_name, '#', ' ') ELSE 'Unit ' || c_mktsegment END, ' ', '+') || '&page=1&find_loc=Port%2C+WI' AS url
+FROM customer, (SELECT unnest([1, 2]) AS part)
+""")
+def compiled_searches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The searches for each customer's name and a related one; its repetition asks for nothing new."""
+    c = _t(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("pk"), F.col("c_name").alias("contractor_name"), F.concat(F.lit("Unit "), F.col("c_mktsegment"), F.lit("; "), F.lower("c_name")).alias("related_companies"),
+        F.lit("Port").alias("city"), F.lit("wi").alias("state"), F.lit("").alias("zip"),
+    )
+    return business_search.searches(c, "pk", "https://x.example/search").select("owner", "url")
+
+
 # --- search and paging -------------------------------------------------------------------------------------------
 
 @_query("SELECT p_partkey, p_name, p_brand FROM part WHERE contains(lower(p_name), 'brand#1') OR contains(lower(p_type), 'brand#1') OR contains(lower(p_brand), 'brand#1')")

@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallywort.functions.text import clean_text
 
@@ -64,25 +70,98 @@ def illinois_entries(texts: DataFrame, text: str = "text") -> DataFrame:
 #: and the actions that a list states.
 BEFORE, AFTER, MIN_ALIAS = 260, 720, 4
 ACTIONS = ["debarment", "debarred", "suspended", "ineligible"]
-
-
-def alias_places(texts: DataFrame, aliases: DataFrame, before: int = BEFORE, after: int = AFTER) -> DataFrame:
+#: Hits that leave a task at once.
+HITS_A_BATCH = 1_000
+
+
+#: Characters of the aliases that one automaton holds.
+AUTOMATON_CHARS = 1 << 21
+_automata: dict[str, ahocorasick.Automaton] = {}
+
+
+def _automaton(key: str, aliases: list[tuple[str, str]]) -> ahocorasick.Automaton:
+    """The automaton of some aliases (alias, cleaned alias), kept in the worker until another one is asked for."""
+    if key not in _automata:
+        _automata.clear()
+        made, by_needle = ahocorasick.Automaton(), {}
+        for alias, clean in aliases:
+            by_needle.setdefault(clean.casefold(), []).append(alias)
+        for needle, names in by_needle.items():
+            if len(needle) >= MIN_ALIAS:
+                made.add_word(needle, (needle, names))
+        if len(made):
+            made.make_automaton()
+        _automata[key] = made
+    return _automata[key]
+
+
+def _folded(text: str) -> tuple[str, list[int] | None]:
+    """The folded text, and the place in the text of each of its characters where folding lengthens it."""
+    low = text.casefold()
+    if len(low) == len(text):
+        return low, None
+    parts = [c.casefold() for c in text]
+    return "".join(parts), [i for i, p in enumerate(parts) for _ in p]
+
+
+def places_in(text: str, automaton: ahocorasick.Automaton) -> Iterator[tuple[list[str], int]]:
+    """(aliases, place) of the needles in a cleaned text, in one pass; places of one needle don't overlap."""
+    if not len(automaton):
+        return
+    low, back = _folded(text)
+    free: dict[str, int] = {}
+    for last, (needle, names) in automaton.iter(low):
+        start = last - len(needle) + 1
+        if start >= free.get(needle, 0):
+            free[needle] = last + 1
+            yield names, start if back is None else back[start]
+
+
+def alias_places(texts: DataFrame, aliases: DataFrame, before: int = BEFORE, after: int = AFTER, chars: int = AUTOMATON_CHARS) -> DataFrame:
     """(text_id, owner, alias, at, before, after): every place of the cleaned texts (text_id, text) that names an alias
-    (owner, alias) in any case, from the left and not overlapping; at counts from 0.
+    (owner, alias) in any case, from the left and not overlapping; at counts from 0. Aliases of fewer than MIN_ALIAS
+    characters are left out.
 
-    Texts and aliases meet by their first MIN_ALIAS characters, never as all pairs; texts travel only to their hits.
+    A text is read once, by an automaton of all aliases, and only its hits leave the task. Aliases are counted first: an
+    automaton holds about `chars` characters, and more aliases are dealt over several automata by their hashes, each with
+    a pass of its own over the texts, so that what is broadcast stays bounded. Owners join the hits by the alias.
     """
-    t = texts.select("text_id", clean_text(F.col("text")).alias("flat"))
-    needle = F.lower(clean_text(F.col("alias")))
-    a = aliases.select("owner", "alias", needle.alias("needle"), F.substring(needle, 1, MIN_ALIAS).alias("gram")).where(F.length("needle") >= MIN_ALIAS)
-    starts = F.regexp_extract_all(F.lower("flat"), F.lit("(?s)(?=(" + "." * MIN_ALIAS + "))"), F.lit(1))
-    grams = t.select("text_id", F.posexplode(starts).alias("at", "gram")).join(a, "gram")
-    hits = grams.join(t, "text_id").where(F.substring(F.lower("flat"), F.col("at") + 1, F.length("needle")) == F.col("needle"))
-    step = lambda acc, x: F.when(x >= F.coalesce(F.try_element_at(acc, F.lit(-1)) + F.length("needle"), F.lit(0)), F.concat(acc, F.array(x))).otherwise(acc)
-    kept = hits.groupBy("text_id", "owner", "alias", "needle").agg(F.array_sort(F.collect_set("at")).alias("all"))
-    kept = kept.select("text_id", "owner", "alias", F.explode(F.aggregate("all", F.array().cast("array<int>"), step)).alias("at"))
-    low = F.greatest(F.col("at") - before, F.lit(0))
-    return kept.join(t, "text_id").select("text_id", "owner", "alias", "at", F.substring(F.col("flat"), low + 1, F.col("at") - low).alias("before"), F.substring(F.col("flat"), F.col("at") + 1, F.lit(after)).alias("after"))
+    spark = texts.sparkSession
+    named = aliases.select("alias", clean_text(F.col("alias")).alias("needle")).where(F.length("needle") > 0).distinct()
+    parts = int(named.agg(F.sum(F.length("needle"))).first()[0] or 0) // chars + 1
+    flat = texts.select("text_id", clean_text(F.col("text")).alias("flat"))
+    schema = T.StructType([texts.schema["text_id"], *(T.StructField(c, T.IntegerType() if c == "at" else T.StringType()) for c in ("alias", "at", "before", "after"))])
+    names = schema.names
+
+    def searcher(held, key: str):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            automaton = _automaton(key, held.value)
+            for batch in batches:
+                rows = []
+                for text_id, text in zip(batch.column(0), batch.column(1), strict=True):
+                    said = text.as_py()
+                    for found, at in places_in(said, automaton):
+                        rows += [(text_id.as_py(), alias, at, said[max(0, at - before) : at], said[at : at + after]) for alias in found]
+                        if len(rows) >= HITS_A_BATCH:
+                            yield _batch(rows, batch.schema.field(0).type, names)
+                            rows = []
+                if rows:
+                    yield _batch(rows, batch.schema.field(0).type, names)
+
+        return run
+
+    hits = None
+    for part in range(parts):
+        own = named if parts == 1 else named.where(F.pmod(F.xxhash64("needle"), F.lit(parts)) == part)
+        held = spark.sparkContext.broadcast([(r["alias"], r["needle"]) for r in own.collect()])
+        found = flat.mapInArrow(searcher(held, uuid.uuid4().hex), schema)
+        hits = found if hits is None else hits.union(found)
+    return hits.join(aliases.select("owner", "alias"), "alias").select("text_id", "owner", "alias", "at", "before", "after")
+
+
+def _batch(rows: list[tuple], id_type: pa.DataType, names: list[str]) -> pa.RecordBatch:
+    kinds = [id_type, pa.string(), pa.int32(), pa.string(), pa.string()]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
 
 def wisconsin_hits(texts: DataFrame, aliases: DataFrame) -> DataFrame:

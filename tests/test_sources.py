@@ -5,7 +5,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from tallywort.functions import text
+from tallywort.functions import finders
 from tallywort.operators import extract, store
 from tallywort.operators.schema import COLUMNS
 from tallywort.sources import bidder_csv, exclusions, minnesota, payloads
@@ -98,7 +98,7 @@ def test_extraction_of_master_fields_and_cards(spark):
 
 def test_finders(spark):
     rows = [("due 2024-05-06 or 5/6/24",), ("on Sept. 3 2021",), ("77 N. 5th Ave. East; x",), ("12345 608.555.1234 1",), (None,)]
-    out = spark.createDataFrame(rows, "t string").select(*(f(F.col("t")).alias(n) for n, f in (("d", text.first_date), ("s", text.first_street), ("p", text.first_phone)))).collect()
+    out = spark.createDataFrame(rows, "t string").select(*(f(F.col("t")).alias(n) for n, f in (("d", finders.first_date), ("s", finders.first_street), ("p", finders.first_phone)))).collect()
     assert [r["d"] for r in out] == ["2024-05-06", "Sept. 3 2021", "", "", ""]
     assert [r["s"] for r in out] == ["", "", "77 N. 5th Ave. East", "", ""] and [r["p"] for r in out] == ["", "", "", "608.555.1234", ""]
 
