@@ -39,6 +39,10 @@ SLOT = np.dtype([("fingerprint", "<u4"), ("count", "<u4"), ("shard", "<u4"), ("r
 REST = np.dtype([("hash", "<u8"), ("null", "<u4"), ("slot", "<u4")])
 #: Characters of texts that are encoded together, remembered chunks of a generation, and a chunk's greatest length.
 ENCODE_CHARS, REMEMBERED, CHUNK_CHARS = 1 << 21, 1 << 18, 48
+#: Marks that end a word, and the last letter whose lower case is one letter whatever stands around it.
+MARKS, LAST_LATIN = ".,;:!?#$%&*()", "\u00ff"
+#: Words that are encoded in one call, and the mark between them.
+TOGETHER, BETWEEN = 64, "|"
 #: Bytes that are read at once, and the gap between records over which reading goes on.
 READ_BYTES, GAP_BYTES = 1 << 22, 1 << 16
 SEED = 42
@@ -46,9 +50,19 @@ SEED = 42
 PLACE = ["key", "shard", "record", "offset", "length", "count"]
 
 
+def _word_and_marks(chunk: str) -> tuple[str, str]:
+    """A chunk as a word and the marks behind it, if both are encoded alike on their own, else as one part. Words of
+    Latin letters lose their capitals."""
+    word = chunk.rstrip(MARKS)
+    if not word or word == chunk and not word.isalpha() or not word[-1].isalpha() or max(word) > LAST_LATIN:
+        return chunk, ""
+    return word.lower() if word.isalpha() else word, chunk[len(word) :]
+
+
 class Encoder:
     """Ids of texts as bytes. With by_chunk, what stands between spaces and line feeds is encoded on its own and
-    remembered, which gives equal ids for tokenizers that end a token at white space and drop it."""
+    remembered, and words apart from the marks behind them and from their capitals. That gives equal ids for tokenizers
+    that fold case, keep letters apart from marks, end a token at white space and drop it; others need by_chunk off."""
 
     def __init__(self, path: str, end_id: int, by_chunk: bool):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -58,30 +72,68 @@ class Encoder:
         self.kind = np.dtype("<u2" if max(self.model.get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4")
         self.end = np.array([end_id], self.kind).tobytes()
         self.by_chunk = by_chunk
+        self.between = self.model.encode(BETWEEN, add_special_tokens=False).ids
         self.recent: dict[str, bytes] = {"": b""}
         self.older: dict[str, bytes] = {}
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, self.kind).tobytes() for x in self.model.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of chunks, many in one call: they are joined by a mark of one id that none of them holds, and the ids are
+        cut at it."""
+        if len(self.between) != 1:
+            return self._whole(words)
+        plain = [w for w in words if BETWEEN not in w and len(w) <= CHUNK_CHARS]
+        glue = f" {BETWEEN} "
+        runs = self.model.encode_batch_fast([glue.join(plain[i : i + TOGETHER]) for i in range(0, len(plain), TOGETHER)], add_special_tokens=False)
+        ids = np.concatenate([np.empty(0, self.kind), *(np.array(r.ids + self.between, self.kind) for r in runs)])
+        ends = np.flatnonzero(ids == self.between[0]) * self.kind.itemsize
+        starts = np.concatenate([[0], ends[:-1] + self.kind.itemsize])[: len(ends)]
+        data = ids.tobytes()
+        coded = dict(zip(plain, (data[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)), strict=True))
+        rest = [w for w in words if w not in coded]
+        coded.update(zip(rest, self._whole(rest), strict=True))
+        return [coded[w] for w in words]
+
+    def _unknown(self, chunks: set[str]) -> set[str]:
+        """The chunks that aren't remembered; what the older generation holds moves to the recent one."""
+        need = chunks.difference(self.recent)
+        for c in need.intersection(self.older):
+            self.recent[c] = self.older[c]
+        return need.difference(self.recent)
+
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.by_chunk:
             return [x + self.end for x in self._whole(texts)]
         chunks = [t.replace("\n", " ").split(" ") for t in texts]
-        need = set().union(*chunks).difference(self.recent)
-        for c in need.intersection(self.older):
-            self.recent[c] = self.older[c]
-        new = sorted(need.difference(self.recent))
-        self.recent.update(zip(new, self._whole(new), strict=True))
+        new = self._unknown(set().union(*chunks))
+        parts = {c: _word_and_marks(c) for c in new}
+        first = sorted(self._unknown({x for pair in parts.values() for x in pair}))
+        self.recent.update(zip(first, self._words(first), strict=True))
+        for c, (word, marks) in parts.items():
+            self.recent[c] = self.recent[word] + self.recent[marks]
         out = [b"".join(map(self.recent.__getitem__, c)) + self.end for c in chunks]
-        for c in new:
+        for c in [*new, *first]:
             if len(c) > CHUNK_CHARS:
-                del self.recent[c]
+                self.recent.pop(c, None)
         if len(self.recent) > REMEMBERED:
             self.older, self.recent = self.recent, {"": b""}
         return out
 
 
+_encoders: dict[tuple, Encoder] = {}
+
+
+def encoder_of(path: str, end_id: int, by_chunk: bool) -> Encoder:
+    """The worker's encoder, kept with its remembered chunks from task to task."""
+    key = path, end_id, by_chunk, REMEMBERED
+    if key not in _encoders:
+        _encoders.clear()
+        _encoders[key] = Encoder(path, end_id, by_chunk)
+    return _encoders[key]
+
+
 def _filesystem(folder: str):
     from pyarrow import fs
 
@@ -247,7 +299,7 @@ def _shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int, by_chunk:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common.lean_worker()
-        encoder = Encoder(tokenizer, end_id, by_chunk)
+        encoder = encoder_of(tokenizer, end_id, by_chunk)
         files, root = _filesystem(folder)
         files.create_dir(root, recursive=True)
         shard = TaskContext.get().partitionId()
