@@ -1,16 +1,9 @@
-"""Change tracking over immutable snapshots: upserts with history, sightings, conflicts, the master import."""
+"""Change tracking over immutable snapshots: upserts with history, sightings, conflicts."""
 
 from __future__ import annotations
 
-from heapq import heappop, heappush
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-from .graph import components, held
-from .schema import COLUMNS
 
 
 def upsert(current: DataFrame, incoming: DataFrame, keys: list[str], now: Column) -> tuple[DataFrame, DataFrame]:
@@ -76,81 +69,3 @@ def split_by_hash(cache: DataFrame, fetched: DataFrame) -> DataFrame:
     j = fetched.join(old, ["source_id", "url"], "left")
     same = (F.col("status") == 304) | (F.col("content_hash") == F.col("_hash"))
     return j.withColumn("action", F.when(F.coalesce(same, F.lit(False)) & F.col("_hash").isNotNull(), "replay").otherwise("parse")).drop("_hash")
-
-
-def merge_master(master: DataFrame, rows: DataFrame) -> DataFrame:
-    """The master after an import, with outcome (inserted, updated, unchanged, kept) and pk. rows has the business
-    columns, line, contractor_norm and address_norm; master also has pk.
-
-    An import is sequential: a row may match one that an earlier row changed or inserted. Rows can only affect
-    each other through equal ids or names, so rows and master are first grouped by connected ids and names, each
-    small group is folded in order of line, and new rows get their pk by line after the highest. Most groups are
-    one row.
-    """
-    cols = [c for c in COLUMNS if c != "id"]
-    m = master.select(F.lit(0).alias("line"), "pk", F.col("bidder_id").alias("id"), *cols, "contractor_norm", "address_norm")
-    r = rows.select("line", F.lit(None).cast("long").alias("pk"), "id", *cols, "contractor_norm", "address_norm")
-    every = m.unionByName(r).withColumn("node", F.xxhash64("line", F.coalesce("pk", F.lit(-1))))
-    keys = every.select("node", F.explode(F.filter(F.array(F.concat(F.lit("i:"), F.trim("id")), F.concat(F.lit("n:"), F.col("contractor_norm"))), lambda k: F.length(k) > 2)).alias("k"))
-    hubs = keys.groupBy("k").agg(F.min("node").alias("hub"))
-    links = keys.join(hubs, "k").select(F.col("node").alias("src"), F.col("hub").alias("dst"))
-    comp = components(links)
-    grouped = every.join(comp, every["node"] == comp["id"], "left").withColumn("grp", F.coalesce("component", "node")).drop(comp["id"])
-    grouped = grouped.select("grp", "line", "pk", F.col("id").alias("bidder_id"), *cols, "contractor_norm", "address_norm")
-
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        order = group.sort_values(["line", "pk"])
-        table: list[dict] = []
-        # places in the table by id, first ones on top (left there when an id changes), by name, and by name and address
-        ids: dict[str, list[int]] = {}
-        names: dict[object, set[int]] = {}
-
-        def under(row: dict) -> list:
-            name = row["contractor_norm"]
-            return [name, (name, row["address_norm"])]
-
-        def put(at: int, row: dict) -> None:
-            heappush(ids.setdefault(row["bidder_id"], []), at)
-            for k in under(row):
-                names.setdefault(k, set()).add(at)
-
-        def by_id(key: str) -> int | None:
-            found = ids.get(key, [])
-            while found and table[found[0]]["bidder_id"] != key:
-                heappop(found)
-            return found[0] if key and found else None
-
-        def by_name(row: dict) -> int | None:
-            same, there = (names.get(k, set()) for k in under(row))
-            if len(same) > 1:
-                same = there if row["address_norm"] else set()
-            return next(iter(same)) if row["contractor_norm"] and len(same) == 1 else None
-
-        for row in order.to_dict("records"):
-            hit = None
-            if row["line"] > 0:
-                hit = by_id(row["bidder_id"].strip())
-                hit = by_name(row) if hit is None else hit
-            if hit is None:
-                table.append(dict(row, outcome="inserted" if row["line"] > 0 else "kept"))
-                put(len(table) - 1, row)
-                continue
-            old = table[hit]
-            changed = any(old[c] != row[c] for c in ["bidder_id", *cols])
-            for k in under(old):
-                names[k].discard(hit)
-            old.update({c: row[c] for c in ["bidder_id", *cols, "contractor_norm", "address_norm"]})
-            put(hit, row)
-            if old["outcome"] != "inserted":
-                old["outcome"] = "updated" if changed or old["outcome"] == "updated" else "unchanged"
-        return pd.DataFrame(table)[[*group.columns, "outcome"]]
-
-    out = held(grouped.groupBy("grp").applyInPandas(fold, T.StructType([*grouped.schema.fields, T.StructField("outcome", T.StringType())])))
-    top = master.agg(F.coalesce(F.max("pk"), F.lit(0))).first()[0]
-    # new rows are numbered within ranges of lines, which are offset by the counts of the ranges before
-    places = held(out.where("pk is null").select("line").repartitionByRange("line").withColumn("part", F.spark_partition_id()))
-    before = F.sum("count").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = places.groupBy("part").count().select("part", F.coalesce(before, F.lit(0)).alias("before"))
-    n = F.row_number().over(Window.partitionBy("part").orderBy("line")) + F.col("before")
-    places = places.join(offsets, "part").select("line", n.alias("n"))
-    return out.join(places, "line", "left").withColumn("pk", F.coalesce("pk", F.col("n") + top)).drop("grp", "line", "n")

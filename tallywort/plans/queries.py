@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallywort.functions import finders, keys, text, urls
-from tallywort.operators import changes, extract, findings, graph, identity, joins, proposals, runs, schema, search
+from tallywort.operators import changes, extract, findings, graph, identity, imports, joins, proposals, runs, schema, search, sitemaps
 from tallywort.sources import business_search, payloads
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -135,6 +135,26 @@ def supersede(spark: SparkSession, sf_dir: str) -> DataFrame:
     return after.groupBy("status").agg(F.count("*").alias("n"))
 
 
+@_query("""
+SELECT c_custkey + 1 AS pk, c_custkey::VARCHAR AS bidder_id, CASE WHEN c_custkey % 3 = 0 THEN 'new' WHEN c_custkey % 5 = 0 THEN 'other' ELSE c_mktsegment END AS city,
+       CASE WHEN c_custkey % 3 = 0 THEN 'inserted' WHEN c_custkey % 7 = 0 THEN 'kept' WHEN c_custkey % 5 = 0 THEN 'updated' ELSE 'unchanged' END AS outcome
+FROM customer WHERE c_custkey % 3 <> 0 AND c_custkey % 7 <> 0
+UNION ALL
+SELECT c_custkey + 1, c_custkey::VARCHAR, c_mktsegment, 'kept' FROM customer WHERE c_custkey % 3 <> 0 AND c_custkey % 7 = 0
+UNION ALL
+SELECT (SELECT max(c_custkey + 1) FROM customer WHERE c_custkey % 3 <> 0) + row_number() OVER (ORDER BY c_custkey), c_custkey::VARCHAR, 'new', 'inserted' FROM customer WHERE c_custkey % 3 = 0 AND c_custkey % 7 <> 0
+""")
+def import_unique_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file of unique ids and names over two thirds of the customers as master: every seventh is absent from the file,
+    every fifth changed, and the rest of the customers are new."""
+    c = _t(spark, sf_dir, "customer").select("c_custkey", F.col("c_custkey").cast("string").alias("key"), "c_name", "c_mktsegment")
+    none = [F.lit("").alias(x) for x in schema.COLUMNS if x not in ("id", "contractor_name", "city")]
+    master = c.where("c_custkey % 3 <> 0").select((F.col("c_custkey") + 1).alias("pk"), F.col("key").alias("bidder_id"), F.col("c_name").alias("contractor_name"), F.col("c_mktsegment").alias("city"), *none)
+    city = F.when(F.col("c_custkey") % 3 == 0, "new").when(F.col("c_custkey") % 5 == 0, "other").otherwise(F.col("c_mktsegment"))
+    file = c.where("c_custkey % 7 <> 0").select((F.col("c_custkey") + 1).alias("line"), F.col("key").alias("id"), F.col("c_name").alias("contractor_name"), city.alias("city"), *none)
+    return imports.merge_master(schema.master_norms(master), schema.master_norms(file)).select("pk", "bidder_id", "city", "outcome")
+
+
 # --- scalars -----------------------------------------------------------------------------------------------------
 
 @_query(f"SELECT doc_id AS id, {_match_sql('text')} AS norm FROM documents UNION ALL SELECT c_custkey + 1000000000, {_match_sql('c_name')} FROM customer")
@@ -581,6 +601,34 @@ def state_inverted_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.groupBy(F.col("r_name").alias("state")).agg(F.array_join(m, ",").alias("members"), F.size(m).cast("long").alias("n"))
 
 
+_INDEX_SQL = """
+SELECT r_name AS index_id, chr(65 + c_nationkey) || 'Z' AS state, 'm' || (c_custkey % 40) AS url FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey
+WHERE c_custkey % 40 < 30
+"""
+
+
+@_query(f"SELECT index_id, state, string_agg(DISTINCT url, ',' ORDER BY url) AS members, count(DISTINCT url) AS n FROM ({_INDEX_SQL}) GROUP BY index_id, state")
+def sitemap_index_kept_up(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index of forty members a region after three overlapping batches, of which the second finds less than there is
+    and the third puts it right; ten members were never parsed."""
+    c, n, r = (_t(spark, sf_dir, x) for x in ("customer", "nation", "region"))
+    j = c.select("c_custkey", "c_nationkey").join(n, F.col("n_nationkey") == F.col("c_nationkey")).join(r, F.col("r_regionkey") == F.col("n_regionkey"))
+    number = F.col("c_custkey") % 40
+    letter = F.substring(F.lit("abcdefghijklmnopqrstuvwxy"), F.col("c_nationkey") + 1, F.lit(1))
+    loc = F.concat(F.lit("https://x.example/us/"), letter, F.lit("z/port/profile/roofing/biz-"), F.col("c_custkey").cast("string"))
+    locs = j.select(F.col("r_name").alias("index_id"), number.cast("int").alias("place"), F.concat(F.lit("m"), number.cast("string")).alias("url"), loc.alias("loc"), "c_custkey")
+    listed = locs.select("index_id", "place", "url", F.lit("").alias("lastmod")).distinct()
+    none = listed.select("*", F.lit(False).alias("parsed"), F.array().cast("array<string>").alias("states")).limit(0)
+    members = graph.held(sitemaps.refreshed(none, listed))
+    index = sitemaps.rebuilt(members)
+    for low, high, part in ((10, 30, None), (5, 20, "c_custkey % 3 = 0"), (0, 25, None)):
+        own = locs.where(f"place >= {low} and place < {high}")
+        batch = graph.held(sitemaps.observed(own.select("index_id", "url"), own.where(part) if part else own))
+        members, index = (graph.held(t) for t in sitemaps.applied(members, index, batch))
+    m = F.array_sort(F.collect_set("url"))
+    return index.groupBy("index_id", "state").agg(F.array_join(m, ",").alias("members"), F.size(m).cast("long").alias("n"))
+
+
 # --- identity ----------------------------------------------------------------------------------------------------
 
 @_query(f"""

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tallywort.operators import changes, findings, graph, identity, proposals, runs, schema, search
+from tallywort.operators import changes, findings, graph, identity, imports, proposals, runs, schema, search
 
 
 def rows(df, *cols):
@@ -25,7 +25,7 @@ def test_import_is_sequential(spark):
     cols = [c for c in schema.COLUMNS if c != "id"]
     m = schema.master_norms(spark.createDataFrame(master, "pk long, bidder_id string, " + ", ".join(f"{c} string" for c in cols)))
     r = schema.master_norms(spark.createDataFrame(incoming, "line long, id string, " + ", ".join(f"{c} string" for c in cols)))
-    out = changes.merge_master(m, r)
+    out = imports.merge_master(m, r)
     assert rows(out, "pk", "contractor_name", "city", "outcome") == [
         (1, "ACME", "Madison", "updated"), (2, "solo", "", "updated"), (3, "New Co", "Dane", "inserted"), (4, "Other", "", "inserted")
     ]
@@ -146,40 +146,3 @@ def test_canonical_and_projection(spark):
     assert (r["company"], r["phone"], r["location"], r["osha_status"]) == ("Acme", "608-555-1234", "Madison, WI 53703", "open")
     row = schema.evidence_rows(canon).first()
     assert (row["id"], row["contractor_name"], row["zip"], row["osha"]) == ("1001", "Acme", "53703", "Y")
-
-def test_merge_equals_a_plain_fold(spark):
-    import random
-
-    from tallywort.operators import changes, schema
-
-    rng = random.Random(3)
-    cols = [c for c in schema.COLUMNS if c != "id"]
-    def make(i):
-        x = dict.fromkeys(cols, "")
-        x["contractor_name"], x["address_1"], x["city"] = rng.choice(["Acme Inc", "Bolt LLC", "Crane", ""]), rng.choice(["1 Oak St", "2 Elm St", ""]), rng.choice("ab")
-        return (i, rng.choice(["", "7", "8", " 8 ", "9"]), *(x[c] for c in cols))
-    for size in (12, 60):
-        fields = ", ".join(f"{c} string" for c in cols)
-        m = schema.master_norms(spark.createDataFrame([make(i) for i in range(1, size)], f"pk long, bidder_id string, {fields}"))
-        r = schema.master_norms(spark.createDataFrame([make(i) for i in range(1, 2 * size)], f"line long, id string, {fields}"))
-        got = rows(changes.merge_master(m, r), "pk", "bidder_id", "contractor_name", "address_1", "city", "outcome")
-        table = [dict(x.asDict(), outcome="kept") for x in m.orderBy("pk").collect()]
-        for new in (x.asDict() for x in r.orderBy("line").collect()):
-            key = new["id"].strip()
-            hits = [t for t in table if key and t["bidder_id"] == key][:1]
-            if not hits and new["contractor_norm"]:
-                hits = [t for t in table if t["contractor_norm"] == new["contractor_norm"]]
-                if len(hits) > 1:
-                    hits = [t for t in hits if new["address_norm"] and t["address_norm"] == new["address_norm"]]
-            values = {"bidder_id": new["id"], **{c: new[c] for c in [*cols, "contractor_norm", "address_norm"]}}
-            if len(hits) != 1:
-                table.append(dict(values, pk=None, outcome="inserted"))
-                continue
-            changed = any(hits[0][c] != values[c] for c in ["bidder_id", *cols])
-            hits[0].update(values)
-            if hits[0]["outcome"] != "inserted":
-                hits[0]["outcome"] = "updated" if changed or hits[0]["outcome"] == "updated" else "unchanged"
-        top = max(t["pk"] or 0 for t in table)
-        for n, t in enumerate((t for t in table if t["pk"] is None), top + 1):
-            t["pk"] = n
-        assert got == sorted(tuple(t[c] for c in ("pk", "bidder_id", "contractor_name", "address_1", "city", "outcome")) for t in table)
