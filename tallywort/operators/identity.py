@@ -151,18 +151,41 @@ def ratio(candidate: pd.Series, target: pd.Series) -> pd.Series:
     ], dtype="float64")
 
 
-def plausible(candidates: DataFrame, targets: DataFrame, least: float = 0.84, min_length: int = 6, containment: bool = True) -> DataFrame:
+#: Names from which on candidates must share two rare pairs of letters, and three.
+TWO_FROM, THREE_FROM = 20_000, 2_000_000
+
+
+def plausible_in_context(candidates: DataFrame, targets: DataFrame, context: str, min_length: int, least: float = 0.84) -> DataFrame:
+    """(context, candidate, target): the pairs of a context, such as the owners whose search found the candidate, of which
+    one name holds the other or whose ratio reaches least. candidates has context and candidate, of which those shorter
+    than min_length are never plausible; targets has context and target. Contexts meet by equality; lengths are compared
+    before any ratio is taken."""
+    c = candidates.select(context, "candidate").where(F.length("candidate") >= min_length).distinct()
+    t = targets.select(context, "target").where("target <> ''").distinct()
+    j = c.join(t, context)
+    holds = F.col("candidate").contains(F.col("target")) | F.col("target").contains(F.col("candidate"))
+    fits = 2 * F.least(F.length("candidate"), F.length("target")) >= least * (F.length("candidate") + F.length("target"))
+    close = F.when(~holds & fits, ratio(F.when(~holds & fits, F.col("candidate")), F.col("target")))
+    return j.where(holds | F.coalesce(close >= least, F.lit(False)))
+
+
+def plausible(candidates: DataFrame, targets: DataFrame, least: float = 0.84, min_length: int = 6, containment: bool = True, shared: int | None = None) -> DataFrame:
     """(candidate, target): pairs of distinct names, at least min_length long on the candidate's side, of which one
     holds the other or whose ratio reaches least. candidates has candidate, targets has target.
 
     No pair is compared that can't qualify. A ratio of r leaves at most (1 - r)(n + k) characters unmatched, so that
     matching blocks hold (1.5 r - 1)(n + k) - 1 common pairs of neighbouring letters or more. Each name is indexed by its
-    rarest pairs, as many as leave fewer than that (prefix filter), and lengths must fit. For containment, targets are
-    looked up by their windows of the candidate's length and vice versa. Candidates meet targets by equal keys only;
-    the UDF sees survivors.
+    rarest pairs of letters, as many as any match must have `shared` of in common, and by combinations of so many of them:
+    the more names there are, the more must agree at once (one to three, by the counted names, unless given), so that keys
+    get rarer as names get more. Names too short for that many use fewer. Then lengths and letters must fit, and the UDF
+    sees survivors only. For containment, targets are looked up by their windows of the candidate's length and vice versa.
     """
     c = candidates.select("candidate").where(F.length("candidate") >= min_length).distinct()
     t = targets.select("target").where("target <> ''").distinct()
+    if shared is None:
+        n = c.count() + t.count()
+        shared = 1 if n < TWO_FROM else 2 if n < THREE_FROM else 3
+
     # each character, or pair of neighbours, with its number of earlier occurrences is one element of a name's bag
     def numbered(items: Column) -> Column:
         ordered = F.array_sort(items)
@@ -178,19 +201,37 @@ def plausible(candidates: DataFrame, targets: DataFrame, least: float = 0.84, mi
     def keyed(df: DataFrame, col: str) -> DataFrame:
         return df.select(col, F.explode(pairs(col)).alias("element"))
 
+    # the common pairs of letters of a name of n characters with any match; the other has r n / (2 - r) characters at least
+    def need(n: Column) -> Column:
+        return F.greatest(F.lit(1), F.ceil((1.5 * least - 1) * (n + n * (least / (2 - least))) - 1 - 1e-9)).cast("int")
+
+    def combined(prefix: Column, m: int, i: Column | None = None, *had: Column) -> Column:
+        """Hashes of the combinations of m elements of a prefix, in its order; a collision only adds a pair to compare."""
+        rest = prefix if i is None else F.slice(prefix, i + 2, F.greatest(F.size(prefix) - i - 1, F.lit(0)))
+        if m == 1:
+            return F.transform(rest, lambda x: F.xxhash64(F.lit(len(had) + 1), *had, x))
+        base = F.lit(0) if i is None else i + 1
+        return F.flatten(F.transform(rest, lambda x, k: combined(prefix, m - 1, base + k, *had, x)))
+
     both = keyed(c, "candidate").select("element").union(keyed(t, "target").select("element")).groupBy("element").agg(F.count("*").alias("freq"))
-    # the other name has r n / (2 - r) characters at least
-    def prefix(df: DataFrame, col: str) -> DataFrame:
-        ranked = keyed(df, col).join(both, "element").withColumn("r", F.row_number().over(Window.partitionBy(col).orderBy("freq", "element")))
+
+    def indexed(df: DataFrame, col: str) -> DataFrame:
         n = F.length(col)
-        need = F.greatest(F.lit(1), F.ceil((1.5 * least - 1) * (n + n * (least / (2 - least))) - 1 - 1e-9))
-        return ranked.where(F.col("r") <= n - 1 - need + 1).select(col, "element")
+        ranked = keyed(df, col).join(both, "element").groupBy(col).agg(F.array_sort(F.collect_list(F.struct("freq", "element"))).alias("p"))  # a name's own pairs
+        shortest = F.ceil(n * (least / (2 - least)) - 1e-9).cast("int")
+        most, fewest = F.least(F.lit(shared), need(n)), F.least(F.lit(shared), need(shortest))
+        ordered = ranked.select(col, F.transform("p", lambda x: x["element"]).alias("p"), F.explode(F.sequence(fewest, most)).alias("m"), need(n).alias("need"))
+        prefix = F.slice(F.col("p"), F.lit(1), F.greatest(F.size("p") - F.col("need") + F.col("m"), F.lit(0)))
+        by_m = F.array().cast("array<bigint>")
+        for m in range(1, shared + 1):
+            by_m = F.when(F.col("m") == m, combined(prefix, m)).otherwise(by_m)
+        return ordered.select(col, F.explode(F.array_distinct(by_m)).alias("key"))
 
     fits = 2 * F.least(F.length("candidate"), F.length("target")) >= least * (F.length("candidate") + F.length("target"))
-    shared = F.size(F.array_intersect(bag("candidate"), bag("target")))
+    common = F.size(F.array_intersect(bag("candidate"), bag("target")))
     near = (
-        prefix(c, "candidate").join(prefix(t, "target"), "element").where(fits).select("candidate", "target").distinct()
-        .where(2 * shared >= least * (F.length("candidate") + F.length("target")))
+        indexed(c, "candidate").join(indexed(t, "target"), "key").where(fits).select("candidate", "target").distinct()
+        .where(2 * common >= least * (F.length("candidate") + F.length("target")))
     )
     hits = near.where(ratio("candidate", "target") >= least)
     if containment:

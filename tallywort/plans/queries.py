@@ -735,20 +735,31 @@ def alias_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query(f"""
-WITH n AS (SELECT DISTINCT regexp_replace({_match_sql('p_name')}, '^(.*)$', '\\1') AS name, p_size FROM part),
-c AS (SELECT DISTINCT name FROM n WHERE p_size <= 25 AND length(name) >= 6), t AS (SELECT DISTINCT name FROM n WHERE p_size > 20 AND name <> '')
-SELECT c.name AS candidate, t.name AS target FROM c, t WHERE contains(c.name, t.name) OR contains(t.name, c.name)
+WITH n AS (SELECT DISTINCT {_match_sql('p_name')} AS name FROM part)
+SELECT c.name AS candidate, t.name AS target FROM n c, n t WHERE length(c.name) >= 6 AND t.name <> '' AND (contains(c.name, t.name) OR contains(t.name, c.name))
 """)
 def fuzzy_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """With a ratio of 1 only names that hold one another are left."""
-    names = _t(spark, sf_dir, "part").select(text.match_text(F.col("p_name")).alias("name"), "p_size")
-    return identity.plausible(names.where("p_size <= 25").select(F.col("name").alias("candidate")), names.where("p_size > 20").select(F.col("name").alias("target")), 1.0)
+    names = _t(spark, sf_dir, "part").select(text.match_text(F.col("p_name")).alias("name"))
+    return identity.plausible(names.select(F.col("name").alias("candidate")), names.select(F.col("name").alias("target")), 1.0)
 
 
 @_query()
 def fuzzy_plausible(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = _t(spark, sf_dir, "part").select(text.company_core(F.col("p_name")).alias("name"), "p_partkey")
-    return identity.plausible(names.where("p_partkey % 2 = 0").select(F.col("name").alias("candidate")), names.where("p_partkey % 2 = 1").select(F.col("name").alias("target")))
+    names = _t(spark, sf_dir, "part").select(text.company_core(F.col("p_name")).alias("name"))
+    return identity.plausible(names.select(F.col("name").alias("candidate")), names.select(F.col("name").alias("target")))
+
+
+@_query("""
+SELECT c_custkey AS owner, CASE WHEN c_custkey % 15 = 0 THEN 'cust' WHEN c_custkey % 3 = 0 THEN substring(n, 1, 4) || substring(n, 6) ELSE n || ' of ' || c_mktsegment END AS candidate, n AS target
+FROM (SELECT c_custkey, c_mktsegment, lower(c_name) AS n FROM customer) WHERE c_custkey % 3 <> 1 AND c_custkey % 15 <> 0
+""")
+def plausible_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Profiles that each owner's search found: one letter off, of another name, longer by an ending, or too short."""
+    k, n = F.col("c_custkey"), F.lower("c_name")
+    found = F.when(k % 15 == 0, "cust").when(k % 3 == 0, F.concat(F.substring(n, 1, 4), F.substring(n, 6, 100))).when(k % 3 == 1, F.concat(F.lit("zz "), F.col("c_mktsegment")))
+    c = _t(spark, sf_dir, "customer").select(k.alias("owner"), n.alias("target"), found.otherwise(F.concat(n, F.lit(" of "), F.col("c_mktsegment"))).alias("candidate"))
+    return identity.plausible_in_context(c.select("owner", "candidate"), c.select("owner", "target"), "owner", 5)
 
 
 # --- findings ----------------------------------------------------------------------------------------------------

@@ -125,8 +125,15 @@ def test_fuzzy_pairs_match_brute_force(spark):
     names = sorted({"".join(c for c in rnd.choice(base) + rnd.choice(["", " x", " south", "s"]) if rnd.random() > 0.04) for _ in range(60)})
     cands, targets = names[::2], names[1::2]
     want = {(c, t) for c in cands for t in targets if len(c) >= 6 and (c in t or t in c or difflib.SequenceMatcher(None, c, t).ratio() >= 0.84)}
-    got = identity.plausible(spark.createDataFrame([(c,) for c in cands], "candidate string"), spark.createDataFrame([(t,) for t in targets], "target string"))
-    assert {(r["candidate"], r["target"]) for r in got.collect()} == want
+    c, t = spark.createDataFrame([(c,) for c in cands], "candidate string"), spark.createDataFrame([(t,) for t in targets], "target string")
+    for shared in (None, 2, 3):
+        assert {(r["candidate"], r["target"]) for r in identity.plausible(c, t, shared=shared).collect()} == want
+    # the pairs of a context only
+    own = {n: i % 3 for i, n in enumerate(names)}
+    got = identity.plausible_in_context(c.withColumn("owner", F.expr("pmod(hash(candidate), 3)")), t.withColumn("owner", F.expr("pmod(hash(target), 3)")), "owner", 5)
+    owner = {r["n"]: r["o"] for r in spark.createDataFrame([(n,) for n in own], "n string").selectExpr("n", "pmod(hash(n), 3) AS o").collect()}
+    close = lambda a, b: a in b or b in a or difflib.SequenceMatcher(None, a, b).ratio() >= 0.84
+    assert {(r["candidate"], r["target"]) for r in got.collect()} == {(a, b) for a in cands for b in targets if owner[a] == owner[b] and len(a) >= 5 and close(a, b)}
 
 
 def test_search_is_literal(spark):
