@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallywort.functions import finders, keys, text, urls
-from tallywort.operators import changes, extract, findings, graph, identity, imports, joins, proposals, runs, schema, search, sitemaps
+from tallywort.operators import asof, changes, extract, findings, graph, identity, imports, joins, proposals, runs, schema, search, sitemaps
 from tallywort.sources import business_search, payloads
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -601,6 +601,18 @@ def state_inverted_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.groupBy(F.col("r_name").alias("state")).agg(F.array_join(m, ",").alias("members"), F.size(m).cast("long").alias("n"))
 
 
+@_query("""
+SELECT c.event_id, c.user_id, v.event_id AS seen_id, v.value AS seen_value FROM (SELECT * FROM events WHERE event_type = 'click') c
+ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'view') v ON v.user_id = c.user_id AND c.ts >= v.ts
+""")
+def last_seen_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each click with what its user had viewed last by then."""
+    e = _t(spark, sf_dir, "events")
+    views = e.where("event_type = 'view'").select("user_id", F.col("ts").alias("since"), F.col("event_id").alias("seen_id"), F.col("value").alias("seen_value"))
+    clicks = e.where("event_type = 'click'").select("user_id", F.col("ts").alias("at"), "event_id")
+    return asof.as_of(clicks, views, "user_id", "at", "since", ["seen_id", "seen_value"]).select("event_id", "user_id", "seen_id", "seen_value")
+
+
 _INDEX_SQL = """
 SELECT r_name AS index_id, chr(65 + c_nationkey) || 'Z' AS state, 'm' || (c_custkey % 40) AS url FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey
 WHERE c_custkey % 40 < 30
