@@ -12,10 +12,10 @@ from __future__ import annotations
 from heapq import heappop, heappush
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .graph import components, held
+from .graph import components, held, numbered
 from .schema import COLUMNS
 
 #: Rounds at most, and the share of open rows (one in so many) that a round must settle for another to follow.
@@ -167,12 +167,7 @@ def merge_master(master: DataFrame, rows: DataFrame, rounds: int = ROUNDS) -> Da
     stays = old.join(last.select("ref"), "ref", "left_anti").select("ref", *kept, F.lit("kept").alias("outcome"))
     outcome = F.when(F.col("ref") >= NEW, "inserted").when(F.col("_changed") == 1, "updated").otherwise("unchanged")
     top = master.agg(F.coalesce(F.max("pk"), F.lit(0))).first()[0]
-    # new entities are numbered within ranges of lines, which are offset by the counts of the ranges before
-    places = held(last.where(F.col("ref") >= NEW).select("ref").repartitionByRange("ref").withColumn("part", F.spark_partition_id()))
-    offset = F.sum("count").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = places.groupBy("part").count().select("part", F.coalesce(offset, F.lit(0)).alias("before"))
-    n = F.row_number().over(Window.partitionBy("part").orderBy("ref")) + F.col("before")
-    numbers = places.join(offsets, "part").select("ref", (n + top).alias("pk"))
+    numbers = numbered(last.where(F.col("ref") >= NEW).select("ref"), "n", [F.col("ref")]).select("ref", (F.col("n") + 1 + top).alias("pk"))
     out = stays.unionByName(last.select("ref", *kept, outcome.alias("outcome"))).join(numbers, "ref", "left")
     return out.select(F.coalesce("pk", "ref").alias("pk"), *kept, "outcome")
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallywort.functions.text import ascii_fold, blank
 
+from .graph import numbered
 from .schema import ADDRESS_COLUMNS, COLUMNS, COMPLIANCE_COLUMNS
 
 EXPORT_LIMIT = 250_000
@@ -41,6 +42,11 @@ def page(df: DataFrame, order: list[Column], limit: int, offset: int = 0) -> Dat
     return df.orderBy(*order).offset(offset).limit(limit)
 
 
+def deep_page(df: DataFrame, order: list[Column], limit: int, offset: int) -> DataFrame:
+    """One page far into a total order: only the ranges of rows that hold it are sorted, and no task keeps what lies before."""
+    return numbered(df, "_number", order, between=(offset, offset + limit)).orderBy("_number").drop("_number")
+
+
 def search(df: DataFrame, query: str, columns: list[str], order: list[Column], limit: int, offset: int = 0) -> tuple[int, DataFrame]:
     """(number of hits, one page of them)."""
     hits = df.where(matches(query, columns))

@@ -876,6 +876,47 @@ def bfs_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seen.select("node", F.col("depth").cast("long").alias("depth"))
 
 
+_JOBS_SQL = """
+WITH z AS (SELECT count(*) AS n FROM customer), e AS (SELECT c_custkey AS src, (c_custkey * 7 + 1) % n AS dst FROM customer, z UNION ALL SELECT c_custkey, (c_custkey * 3 + 2) % n FROM customer, z),
+j AS (SELECT n_nationkey AS job, CASE WHEN n_nationkey % 3 = 0 THEN 1 ELSE 2 END AS deep, 3 + n_nationkey * 4 AS pages FROM nation),
+s AS (SELECT c_nationkey AS job, c_custkey AS node FROM customer WHERE c_custkey < 400),
+r0 AS (SELECT job, node, row_number() OVER (PARTITION BY job ORDER BY node) AS r FROM s), k0 AS (SELECT job, node FROM r0 JOIN j USING (job) WHERE r <= pages),
+l1 AS (SELECT DISTINCT job, dst AS node FROM k0 JOIN e ON src = node EXCEPT SELECT job, node FROM k0),
+u0 AS (SELECT job, count(*) AS used FROM k0 GROUP BY job),
+r1 AS (SELECT job, node, used, row_number() OVER (PARTITION BY job ORDER BY node) AS r FROM l1 JOIN u0 USING (job)), k1 AS (SELECT job, node FROM r1 JOIN j USING (job) WHERE r + used <= pages),
+v1 AS (SELECT * FROM k0 UNION ALL SELECT * FROM k1),
+l2 AS (SELECT DISTINCT job, dst AS node FROM k1 JOIN e ON src = node EXCEPT SELECT * FROM v1),
+u1 AS (SELECT job, count(*) AS used FROM v1 GROUP BY job),
+r2 AS (SELECT job, node, used, row_number() OVER (PARTITION BY job ORDER BY node) AS r FROM l2 JOIN u1 USING (job)), k2 AS (SELECT job, node FROM r2 JOIN j USING (job) WHERE r + used <= pages AND deep >= 2),
+v2 AS (SELECT * FROM v1 UNION ALL SELECT * FROM k2),
+l3 AS (SELECT DISTINCT job, dst AS node FROM k2 JOIN e ON src = node EXCEPT SELECT * FROM v2),
+c AS (SELECT job FROM s GROUP BY job HAVING count(*) > (SELECT pages FROM j WHERE j.job = s.job) UNION SELECT job FROM r1 JOIN j USING (job) WHERE r + used > pages
+      UNION SELECT job FROM r2 JOIN j USING (job) WHERE r + used > pages OR deep < 2 UNION SELECT job FROM l3)
+SELECT j.job, count(v2.node) AS n_pages, c.job IS NOT NULL AS limited, coalesce(sum(v2.node), 0)::BIGINT AS nodes FROM j LEFT JOIN v2 ON v2.job = j.job LEFT JOIN c ON c.job = j.job GROUP BY j.job, c.job
+"""
+
+
+@_query(_JOBS_SQL)
+def crawl_by_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations as jobs that crawl customers' links, with caps of their own on depth and pages."""
+    c = _t(spark, sf_dir, "customer")
+    n = c.agg(F.count("*").alias("n"))
+    with_n = c.select(F.col("c_custkey").alias("src"), "c_nationkey").join(F.broadcast(n))  # one row
+    edges = with_n.select("src", F.explode(F.array((F.col("src") * 7 + 1) % F.col("n"), (F.col("src") * 3 + 2) % F.col("n"))).alias("dst"))
+    seeds = c.where("c_custkey < 400").select(F.col("c_nationkey").alias("job"), F.col("c_custkey").alias("node"))
+    k = F.col("n_nationkey")
+    limits = _t(spark, sf_dir, "nation").select(k.alias("job"), F.when(k % 3 == 0, 1).otherwise(2).alias("max_depth"), (k * 4 + 3).alias("max_pages"))
+    visited, jobs = graph.job_depths(seeds, edges, limits)
+    nodes = visited.groupBy("job").agg(F.sum("node").alias("nodes"))
+    return jobs.join(nodes, "job", "left").select("job", "n_pages", "limited", F.coalesce("nodes", F.lit(0)).cast("long").alias("nodes"))
+
+
+@_query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice FROM lineitem ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice LIMIT 100 OFFSET 5000")
+def deep_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
+    return search.deep_page(_t(spark, sf_dir, "lineitem").select(*columns), [F.col(c) for c in columns], 100, 5_000)
+
+
 _FK = [
     ("nation", "n_regionkey", "region", "r_regionkey"), ("customer", "c_nationkey", "nation", "n_nationkey"), ("supplier", "s_nationkey", "nation", "n_nationkey"),
     ("orders", "o_custkey", "customer", "c_custkey"), ("lineitem", "l_orderkey", "orders", "o_orderkey"), ("lineitem", "l_partkey", "part", "p_partkey"),
