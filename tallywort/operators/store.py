@@ -37,6 +37,20 @@ class Files:
         finally:
             stream.close()
 
+    def size(self, name: str) -> int:
+        return self.fs.getFileStatus(self.path(name)).getLen()
+
+    def sha256(self, name: str) -> str:
+        """A file's digest, read in pieces by the JVM."""
+        stream = self.fs.open(self.path(name))
+        try:
+            return self.jvm.org.apache.commons.codec.digest.DigestUtils.sha256Hex(stream)
+        finally:
+            stream.close()
+
+    def delete(self, name: str) -> None:
+        self.fs.delete(self.path(name), False)
+
     def create(self, name: str, text: str, overwrite: bool = False) -> None:
         """Write a file; one that exists is an error unless it may be overwritten."""
         stream = self.fs.create(self.path(name), overwrite)

@@ -5,13 +5,14 @@ from __future__ import annotations
 import csv
 import io
 import re
-import zipfile
+from collections.abc import Iterable, Iterator
 from pathlib import PurePosixPath
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallywort.functions.text import LOWER, UPPER
+from tallywort.operators.store import Files
 
 #: Headers by field, and values of a record's status.
 HEADERS = {
@@ -61,37 +62,56 @@ def fields_of(header: list[str]) -> dict[str, str]:
     return out
 
 
-def csv_member(archive: zipfile.ZipFile, most: int = MAX_UNCOMPRESSED) -> zipfile.ZipInfo:
-    """The archive's one CSV; an error for unsafe or repeated names, archives within, and sizes above most."""
+def csv_member(members: Iterable[tuple[str, int]], most: int = MAX_UNCOMPRESSED) -> str:
+    """The archive's one CSV, of members (name, size); an error for unsafe or repeated names, archives within, and sizes
+    above most. Members are asked for one by one, so that an error ends the reading."""
     seen, total, found = set(), 0, []
-    for m in archive.infolist():
-        name = m.filename.replace("\\", "/")
+    for said, size in members:
+        name = said.replace("\\", "/")
         path = PurePosixPath(name)
         if not name or path.is_absolute() or ".." in path.parts or "\0" in name:
             raise ValueError("unsafe path in the archive")
         if name.casefold() in seen:
             raise ValueError("repeated name in the archive")
         seen.add(name.casefold())
-        total += m.file_size
+        total += size
         if total > most:
             raise ValueError("the archive is too large")
         if path.suffix.lower() in (".zip", ".gz", ".7z", ".tar"):
             raise ValueError("an archive within the archive")
         if path.suffix.lower() == ".csv":
-            found.append(m)
+            found.append(said)
     if len(found) != 1:
         raise ValueError("the archive must hold one CSV")
     return found[0]
 
 
-def unpack(zip_path: str, folder: str) -> str:
-    """Extract the checked CSV in pieces; returns its path. Runs on the driver: the archive is one file."""
-    with zipfile.ZipFile(zip_path) as archive:
-        member = csv_member(archive)
-        target = f"{folder.rstrip('/')}/{PurePosixPath(member.filename).name}"
-        with archive.open(member) as source, open(target, "wb") as out:
-            while piece := source.read(2**20):
-                out.write(piece)
+def unpack(spark: SparkSession, zip_path: str, folder: str, most: int = MAX_UNCOMPRESSED) -> str:
+    """Extract the checked CSV into a folder; returns its path. Both lie on any of Spark's file systems. The archive is one
+    file, so one JVM streams it: once to check what it holds, whatever sizes it declares, and once to copy the CSV."""
+    jvm, files = spark.sparkContext._jvm, Files(spark, zip_path)
+    copy = jvm.org.apache.commons.io.IOUtils.copyLarge
+
+    def entries() -> Iterator[tuple[str, object]]:
+        stream = jvm.java.util.zip.ZipInputStream(files.fs.open(files.path(zip_path)))
+        try:
+            while (entry := stream.getNextEntry()) is not None:
+                yield entry.getName(), stream
+        finally:
+            stream.close()
+
+    nowhere = jvm.java.io.OutputStream.nullOutputStream()
+    chosen = csv_member(((name, copy(stream, nowhere, 0, most + 1)) for name, stream in entries()), most)
+    target = f"{folder.rstrip('/')}/{PurePosixPath(chosen.replace(chr(92), '/')).name}"
+    place = Files(spark, folder)
+    for name, stream in entries():
+        if name == chosen:
+            out = place.fs.create(place.path(target), True)
+            try:
+                copy(stream, out)
+            finally:
+                out.close()
+            break
     return target
 
 

@@ -30,12 +30,12 @@ def test_exclusions(spark, tmp_path):
     head = "Exclusion ID,Classification,Name,UEI,Record Status,Active Date\n"
     with zipfile.ZipFile(tmp_path / "x.zip", "w") as z:
         z.writestr("public/x.csv", head + "1,Firm,\"Acme, Inc\",U1,Active,2024-01-01\n2,Firm,Beta,,Inactive,\n")
-    rows = exclusions.read_exclusions(spark, exclusions.unpack(str(tmp_path / "x.zip"), str(tmp_path)))
+    rows = exclusions.read_exclusions(spark, exclusions.unpack(spark, str(tmp_path / "x.zip"), str(tmp_path)))
     assert [(r["exclusion_identifier"], r["entity_name"], r["active"]) for r in rows.collect()] == [("1", "Acme, Inc", True), ("2", "Beta", False)]
     with zipfile.ZipFile(tmp_path / "bad.zip", "w") as z:
         z.writestr("../x.csv", head)
     with pytest.raises(ValueError, match="unsafe"):
-        exclusions.unpack(str(tmp_path / "bad.zip"), str(tmp_path))
+        exclusions.unpack(spark, str(tmp_path / "bad.zip"), str(tmp_path))
     with pytest.raises(ValueError, match="repeated"):
         exclusions.fields_of(["Name", "name "])
 
