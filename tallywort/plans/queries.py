@@ -938,9 +938,22 @@ def duplicate_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.duplicate_keys(_t(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"])
 
 
-@_query("SELECT field, sources FROM (VALUES " + ", ".join(f"('{c}', '{','.join(sorted(k for k, (_, f) in schema.OWNERS.items() if c in f))}')" for c in schema.COLUMNS) + ") AS t(field, sources)")
+_HOSTS = [h for hosts, _ in schema.OWNERS.values() for h in hosts] + ["unknown.example"]
+_SOURCES_SQL = ", ".join(f"('{c}', '{','.join(sorted(k for k, (_, f) in schema.OWNERS.items() if c in f))}')" for c in schema.COLUMNS)
+_OWNED_SQL = ", ".join(f"({_HOSTS.index(h)}, '{c}')" for hosts, fields in schema.OWNERS.values() for h in hosts for c in fields)
+
+
+@_query(f"""
+SELECT s.field, s.sources, coalesce(n, 0) AS n FROM (VALUES {_SOURCES_SQL}) AS s(field, sources)
+LEFT JOIN (SELECT field, count(*) AS n FROM customer JOIN (VALUES {_OWNED_SQL}) AS o(host, field) ON o.host = c_custkey % {len(_HOSTS)} GROUP BY field) USING (field)
+""")
 def field_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return schema.field_sources(spark).select("field", F.array_join("sources", ",").alias("sources"))
+    """Each column's sources, and how many customers, each with a page at one of the hosts, it may be changed for."""
+    host = F.element_at(F.array(*map(F.lit, _HOSTS)), (F.col("c_custkey") % len(_HOSTS) + 1).cast("int"))
+    url = F.concat(F.lit("https://"), host, F.lit("/page?x=1"))
+    n = _t(spark, sf_dir, "customer").select(F.explode(schema.owned_fields(url)).alias("field")).groupBy("field").agg(F.count("*").alias("n"))
+    sources = schema.field_sources(spark).select("field", F.array_join("sources", ",").alias("sources"))
+    return sources.join(n, "field", "left").select("field", "sources", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 # --- runs, pages and fields --------------------------------------------------------------------------------------
