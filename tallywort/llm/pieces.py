@@ -318,7 +318,7 @@ def encoded(docs: DataFrame, path: str = MODEL) -> DataFrame:
                 size += len(held[-1])
                 if size >= CHUNK_CHARS or i == batch.num_rows - 1:
                     ids = codec.encode_all(held)
-                    same += [codec.decode(x.tolist()) == t.replace(SPACE, " ") for x, t in zip(ids, held, strict=True)]
+                    same += [codec.decode(x.tolist()) == t for x, t in zip(ids, held, strict=True)]
                     flat += ids
                     held, size = [], 0
             ends = np.concatenate([[0], np.cumsum([len(x) for x in flat])]).astype(np.int32)

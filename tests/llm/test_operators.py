@@ -678,6 +678,12 @@ def as_unigram(data, **normaliser):
     return out + model_field(2, model_field(3, 1) + model_field(35, 1)) + model_field(3, b"".join(model_field(i, v) for i, v in enumerate(settings.values(), 1)))
 
 
+def test_round_trip_flag_tells_of_lost_marks(spark):
+    rows = [(1, "abc ▁ def"), (2, "abc def"), (3, None), (4, "▁")]
+    out = pieces.encoded(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r["doc_id"]: r["round_trip"] for r in out.collect()} == {1: False, 2: True, 3: True, 4: False}
+
+
 @pytest.mark.parametrize("dummy", [1, 0])
 def test_agrees_with_the_library_in_unigram_mode(dummy):
     """Ids equal the library's where it searches the same scores for the highest sum."""
