@@ -295,7 +295,9 @@ def _shared(plans):
         common.lean_worker()
         layout = plans.value[2]
         out = [[np.empty(0, np.int64)] * 3]
-        rows = list(zip(*(t.column(c).to_pylist() for c in ("at", "low", "counts", "lows", "owner", "first")), strict=True))
+        # blocks are read where they lie; only the numbers become Python objects
+        blocks = [[v.as_buffer() if v.is_valid else None for v in t.column(c)] for c in ("counts", "lows", "owner", "first")]
+        rows = list(zip(t.column("at").to_pylist(), t.column("low").to_pylist(), *blocks, strict=True))
         if rows and rows[0][5] is not None:
             out += [layout.unpack(*r) for r in rows]
         elif rows:
