@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import ahocorasick
 import pyarrow as pa
@@ -79,13 +79,19 @@ AUTOMATON_CHARS = 1 << 21
 _automata: dict[str, ahocorasick.Automaton] = {}
 
 
-def _automaton(key: str, aliases: list[tuple[str, str]]) -> ahocorasick.Automaton:
+def lower_letters(text: str) -> str:
+    """Lower case letter by letter, as databases have it: every letter stays one, whatever stands around it."""
+    low = text.lower()
+    return low if len(low) == len(text) and "Σ" not in text else "".join(c.lower()[0] for c in text)
+
+
+def _automaton(key: str, aliases: list[tuple[str, str]], fold: Callable[[str], str]) -> ahocorasick.Automaton:
     """The automaton of some aliases (alias, cleaned alias), kept in the worker until another one is asked for."""
     if key not in _automata:
         _automata.clear()
         made, by_needle = ahocorasick.Automaton(), {}
         for alias, clean in aliases:
-            by_needle.setdefault(clean.casefold(), []).append(alias)
+            by_needle.setdefault(fold(clean), []).append(alias)
         for needle, names in by_needle.items():
             if len(needle) >= MIN_ALIAS:
                 made.add_word(needle, (needle, names))
@@ -95,20 +101,20 @@ def _automaton(key: str, aliases: list[tuple[str, str]]) -> ahocorasick.Automato
     return _automata[key]
 
 
-def _folded(text: str) -> tuple[str, list[int] | None]:
+def _folded(text: str, fold: Callable[[str], str]) -> tuple[str, list[int] | None]:
     """The folded text, and the place in the text of each of its characters where folding lengthens it."""
-    low = text.casefold()
+    low = fold(text)
     if len(low) == len(text):
         return low, None
-    parts = [c.casefold() for c in text]
+    parts = [fold(c) for c in text]
     return "".join(parts), [i for i, p in enumerate(parts) for _ in p]
 
 
-def places_in(text: str, automaton: ahocorasick.Automaton) -> Iterator[tuple[list[str], int]]:
+def places_in(text: str, automaton: ahocorasick.Automaton, fold: Callable[[str], str] = str.casefold) -> Iterator[tuple[list[str], int]]:
     """(aliases, place) of the needles in a cleaned text, in one pass; places of one needle don't overlap."""
     if not len(automaton):
         return
-    low, back = _folded(text)
+    low, back = _folded(text, fold)
     free: dict[str, int] = {}
     for last, (needle, names) in automaton.iter(low):
         start = last - len(needle) + 1
@@ -117,30 +123,34 @@ def places_in(text: str, automaton: ahocorasick.Automaton) -> Iterator[tuple[lis
             yield names, start if back is None else back[start]
 
 
-def alias_places(texts: DataFrame, aliases: DataFrame, before: int = BEFORE, after: int = AFTER, chars: int = AUTOMATON_CHARS) -> DataFrame:
+def alias_places(
+    texts: DataFrame, aliases: DataFrame, before: int = BEFORE, after: int = AFTER, chars: int = AUTOMATON_CHARS,
+    fold: Callable[[str], str] = str.casefold, clean: Callable[[Column], Column] = clean_text,
+) -> DataFrame:
     """(text_id, owner, alias, at, before, after): every place of the cleaned texts (text_id, text) that names an alias
     (owner, alias) in any case, from the left and not overlapping; at counts from 0. Aliases of fewer than MIN_ALIAS
-    characters are left out.
+    characters are left out. fold says which letters are the same (by default ß is ss, with lower_letters it is itself),
+    clean how white space is put in order.
 
     A text is read once, by an automaton of all aliases, and only its hits leave the task. Aliases are counted first: an
     automaton holds about `chars` characters, and more aliases are dealt over several automata by their hashes, each with
     a pass of its own over the texts, so that what is broadcast stays bounded. Owners join the hits by the alias.
     """
     spark = texts.sparkSession
-    named = aliases.select("alias", clean_text(F.col("alias")).alias("needle")).where(F.length("needle") > 0).distinct()
+    named = aliases.select("alias", clean(F.col("alias")).alias("needle")).where(F.length("needle") > 0).distinct()
     parts = int(named.agg(F.sum(F.length("needle"))).first()[0] or 0) // chars + 1
-    flat = texts.select("text_id", clean_text(F.col("text")).alias("flat"))
+    flat = texts.select("text_id", clean(F.col("text")).alias("flat"))
     schema = T.StructType([texts.schema["text_id"], *(T.StructField(c, T.IntegerType() if c == "at" else T.StringType()) for c in ("alias", "at", "before", "after"))])
     names = schema.names
 
     def searcher(held, key: str):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            automaton = _automaton(key, held.value)
+            automaton = _automaton(key, held.value, fold)
             for batch in batches:
                 rows = []
                 for text_id, text in zip(batch.column(0), batch.column(1), strict=True):
                     said = text.as_py()
-                    for found, at in places_in(said, automaton):
+                    for found, at in places_in(said, automaton, fold):
                         rows += [(text_id.as_py(), alias, at, said[max(0, at - before) : at], said[at : at + after]) for alias in found]
                         if len(rows) >= HITS_A_BATCH:
                             yield _batch(rows, batch.schema.field(0).type, names)
