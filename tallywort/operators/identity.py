@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import difflib
+from functools import reduce
+from itertools import combinations
+from operator import and_
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -65,21 +68,68 @@ def location_score(candidate: dict[str, Column], place: dict[str, Column]) -> Co
     return total
 
 
-def location_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
+#: Rows that a task takes at once where places are told apart.
+PLACES_A_TASK = 50_000
+
+
+def _told_apart(df: DataFrame, p: str) -> DataFrame:
+    """The distinct rows, columns under the prefix p, with the folded parts of their locations under _p; of ZIPs the
+    first five characters. Tasks hold PLACES_A_TASK rows however many there are."""
+    own = df.select(*(F.col(c).alias(f"{p}_{c}") for c in df.columns))
+    n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.count() // PLACES_A_TASK + 1)
+    folded = {c: match_text(F.col(f"{p}_{c}")) for c in WEIGHTS}
+    folded["zip"] = F.substring(folded["zip"], 1, 5)
+    return own.repartition(n, *own.columns).distinct().select("*", *(v.alias(f"_{p}_{c}") for c, v in folded.items()))
+
+
+def location_pairs(left: DataFrame, right: DataFrame, corroborated: bool = False) -> DataFrame:
     """Rows of two tables, their columns under l_ and r_, whose locations may agree: by ZIP, or by city or address
-    within a state. Parts (k, state, city, zip, address) are compared by match text; unknown ones join nothing."""
-    def side(df: DataFrame, p: str) -> DataFrame:
-        return df.select(*(F.col(c).alias(f"{p}_{c}") for c in df.columns))
+    within a state; with corroborated those of which location_corroborates holds. Parts (state, city, zip, address) are
+    compared by match text, of ZIPs five characters; unknown ones join nothing.
 
-    a, b = side(left, "l"), side(right, "r")
+    A pair comes from one join only, the first that has it, so pairs leave the joins as they are found and are never
+    sorted or gathered; only the tables' own rows are.
+    """
+    a, b = _told_apart(left, "l"), _told_apart(right, "r")
+    same = {c: (F.col(f"_l_{c}") != "") & (F.col(f"_l_{c}") == F.col(f"_r_{c}")) for c in WEIGHTS}
+    conflict = (F.col("_l_state") != "") & (F.col("_r_state") != "") & (F.col("_l_state") != F.col("_r_state"))
+    by_zip = same["zip"] & ~conflict if corroborated else same["zip"]
+    by_city, by_address = same["state"] & same["city"], same["state"] & same["address"]
+    joins = (by_zip, by_city & ~same["zip"], by_address & ~same["zip"] & ~same["city"])
     out = None
-    for parts in (("zip",), ("state", "city"), ("state", "address")):
-        known = lambda p: [match_text(F.col(f"{p}_{c}")).alias(f"_{p}{i}") for i, c in enumerate(parts)]  # noqa: B023, E731
-        x, y = a.select("*", *known("l")), b.select("*", *known("r"))
-        on = [F.col(f"_l{i}") == F.col(f"_r{i}") for i in range(len(parts))]
-        some = x.where(" and ".join(f"_l{i} <> ''" for i in range(len(parts)))).join(y, on).select(*a.columns, *b.columns)
+    for on in joins:
+        some = a.join(b, on).select(*(f"l_{c}" for c in left.columns), *(f"r_{c}" for c in right.columns))
         out = some if out is None else out.union(some)
-    return out.distinct()
+    return out
+
+
+#: The sets of parts by whose agreement two places become a pair.
+PART_SETS = [x for n in range(1, len(WEIGHTS) + 1) for x in combinations(WEIGHTS, n) if "zip" in x or "state" in x and n > 1]
+
+
+def unique_best_location(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """(l_key, r_key, score): what unique_best gives on all location_pairs by their location_score, without the pairs.
+
+    Each row of the right table is counted under each set of its parts by which it can become a pair, and each row of the
+    left asks for these counts: one row a set. A set with rows counts those that agree in more parts too, but these have
+    a higher score, so at the highest score found the counts are exact and no row is counted twice. Every pair has a
+    positive score, so an item's only candidate is its best one.
+    """
+    def counted_by(df: DataFrame, p: str) -> DataFrame:
+        part = lambda c: F.col(f"_{p}_{c}")
+        made = []
+        for i, parts in enumerate(PART_SETS):
+            said = F.struct(F.lit(i).alias("set"), *((part(c) if c in parts else F.lit("")).alias(c) for c in WEIGHTS))
+            made.append(F.when(reduce(and_, (part(c) != "" for c in parts)), said))
+        return df.select(f"{p}_{key}", F.explode(F.filter(F.array(*made), lambda x: x.isNotNull())).alias("s")).select(f"{p}_{key}", "s.*")
+
+    on = ["set", *WEIGHTS]
+    there = counted_by(_told_apart(right, "r"), "r").groupBy(*on).agg(F.count("*").alias("n"), F.min(f"r_{key}").alias(f"r_{key}"))
+    score = F.element_at(F.array(*(F.lit(sum(WEIGHTS[c] for c in parts)) for parts in PART_SETS)), F.col("set") + 1)
+    hits = counted_by(_told_apart(left, "l"), "l").join(there, on).select(f"l_{key}", f"r_{key}", "n", score.alias("score"))
+    ties = hits.groupBy(f"l_{key}", "score").agg(F.sum("n").alias("n"), F.min(f"r_{key}").alias(f"r_{key}"))
+    best = ties.groupBy(f"l_{key}").agg(F.max(F.struct("score", "n", f"r_{key}")).alias("best"))
+    return best.where("best.n = 1").select(f"l_{key}", f"best.r_{key}", "best.score")
 
 
 def unique_best(scored: DataFrame, item: str, candidate: str, score: str) -> DataFrame:

@@ -1,5 +1,7 @@
 """The engine's operators on small tables with known outcomes."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -153,3 +155,54 @@ def test_canonical_and_projection(spark):
     assert (r["company"], r["phone"], r["location"], r["osha_status"]) == ("Acme", "608-555-1234", "Madison, WI 53703", "open")
     row = schema.evidence_rows(canon).first()
     assert (row["id"], row["contractor_name"], row["zip"], row["osha"]) == ("1001", "Acme", "53703", "Y")
+
+
+@pytest.fixture(scope="module")
+def odd_places(spark):
+    """Two tables of places with unknown parts, ZIPs with and without an ending, and repeated rows."""
+    r = random.Random(8)
+    def table(n):
+        own = [(r.randrange(n), *(r.choice(x) for x in (["WI", "wi", "IL", "", None], ["Port A", "port a", "B", ""], ["53703", "53703-1234", "60601", None], ["1 Oak", "1 OAK", "2 Elm", ""]))) for _ in range(n)]
+        return spark.createDataFrame(own + own[:5], "k long, state string, city string, zip string, address string")
+    return table(40).cache(), table(60).cache()
+
+
+def brute_pairs(left, right, ok):
+    side = lambda p: {c: F.col(f"{p}_{c}") for c in ("state", "city", "zip", "address")}
+    both = left.distinct().toDF(*(f"l_{c}" for c in left.columns)).crossJoin(right.distinct().toDF(*(f"r_{c}" for c in right.columns)))
+    return both.where(ok(side("l"), side("r"))).withColumn("score", identity.location_score(side("l"), side("r")))
+
+
+def agree(a, b):
+    same = {c: (identity.match_text(a[c]) != "") & (F.substring(identity.match_text(a[c]), 1, 5 if c == "zip" else 99) == F.substring(identity.match_text(b[c]), 1, 5 if c == "zip" else 99)) for c in a}
+    return same["zip"] | same["state"] & (same["city"] | same["address"])
+
+
+def test_unique_best_location_matches_pairs(spark, odd_places):
+    left, right = odd_places
+    for share in (right, right.where("k % 9 = 0"), right.where("k % 20 = 0"), right.limit(0)):
+        want = identity.unique_best(brute_pairs(left, share, agree), "l_k", "r_k", "score")
+        got = identity.unique_best_location(left, share, "k")
+        assert rows(got, "l_k", "r_k", "score") == rows(want, "l_k", "r_k", "score")
+    assert identity.unique_best_location(left, right.where("k % 20 = 0"), "k").count() > 0
+
+
+def test_best_locations_are_found_without_pairs(spark):
+    """A thousand places of one ZIP on both sides are a million pairs; the counts are a few rows a place."""
+    same = lambda n: spark.range(n).select(F.col("id").alias("k"), F.lit("WI").alias("state"), F.lit("Port").alias("city"), F.lit("53703").alias("zip"), F.concat(F.col("id").cast("string"), F.lit(" Oak")).alias("address"))
+    best = identity.unique_best_location(same(1000), same(1000), "k")
+    assert best.where("l_k = r_k and score = 11").count() == 1000
+    assert spark_rows(best) < 100_000
+
+
+def spark_rows(df):
+    """The most rows that an operator of the plan made."""
+    df.collect()
+    def walk(node):
+        name = node.getClass().getSimpleName()
+        own = [node.metrics().apply("numOutputRows").value()] if node.metrics().contains("numOutputRows") else []
+        inner = [node.executedPlan()] if name == "AdaptiveSparkPlanExec" else [node.plan()] if name.endswith("QueryStageExec") else []
+        for x in (*inner, *(node.children().apply(i) for i in range(node.children().size()))):
+            own += walk(x)
+        return own
+    return max(walk(df._jdf.queryExecution().executedPlan()))
