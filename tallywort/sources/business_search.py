@@ -202,20 +202,41 @@ def mentions_of(html: str, url: str, profile: str, path: str) -> list[tuple]:
     return out
 
 
+#: Pages that a Python worker gets at once, where the session doesn't set a number of its own, and characters of mentions that leave it at once.
+PAGES_A_BATCH, FLUSH_CHARS = 500, 1 << 20
+_ROWS_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def mention_batches(batches: Iterator[pa.RecordBatch], profile: str, path: str) -> Iterator[pa.RecordBatch]:
+    """The mentions of the pages (page_id, url, html) of batches, page by page; what a worker holds is a batch of pages, one page's
+    mentions and FLUSH_CHARS of others."""
+    names, kinds = ["page_id", "place", "kind", "url", "name", "card", *FIELDS], [pa.int64(), pa.int32(), *[pa.string()] * 8]
+
+    def flush() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+
+    rows, chars = [], 0
+    for batch in batches:
+        for page_id, url, html in zip(*batch.columns, strict=True):
+            for place, m in enumerate(mentions_of(html.as_py() or "", url.as_py() or "", profile, path)):
+                rows.append((page_id.as_py(), place, *m))
+                chars += sum(map(len, m))
+                if chars >= FLUSH_CHARS:
+                    yield flush()
+                    rows, chars = [], 0
+    if rows:
+        yield flush()
+
+
 def mentions(pages: DataFrame, profile: str = PROFILE, path: str = "/search") -> DataFrame:
     """What result pages (page_id, url, html) mention, each parsed once: a row of kind page for each (url: the link to
     the next page; name: "none" where it says that nothing was found), and one for each anchor and embedded object whose
     URL matches the pattern profile. Null html is an empty page; a page_id should be a page's own."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for page_id, url, html in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                rows += [(page_id, place, *m) for place, m in enumerate(mentions_of(html or "", url or "", profile, path))]
-            cols = list(zip(*rows, strict=True)) or [()] * 10
-            kinds = [pa.int64(), pa.int32(), *[pa.string()] * 8]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["page_id", "place", "kind", "url", "name", "card", *FIELDS])
-
-    return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInArrow(run, MENTION)
+    conf = pages.sparkSession.conf
+    if conf.get(_ROWS_SETTING) == "10000":
+        conf.set(_ROWS_SETTING, str(PAGES_A_BATCH))
+
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInArrow(lambda batches: mention_batches(batches, profile, path), MENTION)
 
 
 def candidates(found: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ import json
 import random
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -81,6 +82,25 @@ def test_odd_pages(spark):
     assert bs.candidates(bs.mentions(spark.createDataFrame([], "page_id long, url string, html string"))).count() == 0
 
 
+def test_mentions_leave_a_worker_as_they_are_found(spark):
+    html = "".join(f'<p>Port, WI 53703 <a href="{P}biz-{i}">{"Long name " * 100}</a></p>' for i in range(40))
+    asked = []
+
+    def pages():
+        for b in range(20):
+            asked.append(b)
+            yield pa.RecordBatch.from_pydict({"page_id": [10 * b + i for i in range(10)], "url": [HOST] * 10, "html": [html] * 9 + [None]})
+
+    got, ahead = [], 0
+    for batch in bs.mention_batches(pages(), bs.PROFILE, "/search"):
+        assert batch.nbytes < 4 * bs.FLUSH_CHARS
+        ahead = max(ahead, len(asked) - len({x // 10 for x in got}))
+        got += batch["page_id"].to_pylist()
+    assert ahead < 5 and len(got) == 20 * (9 * 41 + 1)
+    bs.mentions(spark.createDataFrame([], "page_id long, url string, html string"))
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1000
+
+
 def test_searches_and_pages(spark):
     master = [(1, '*Acme* "Roofing", Inc.', "ACME ROOFING INC;Beta | Gamma", "Madison", "wi", "53703"), (2, "Beta", "", "", "", "53703"), (3, "", "", "X", "", ""), (4, "Delta & Co", None, "", "il", None)]
     df = spark.createDataFrame(master, "pk long, contractor_name string, related_companies string, city string, state string, zip string")
