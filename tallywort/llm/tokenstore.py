@@ -11,6 +11,7 @@ only keys of equal hash may be, are listed at the end. The 64-bit hash is one-to
 
 from __future__ import annotations
 
+import itertools
 import os
 import struct
 import uuid
@@ -20,6 +21,7 @@ from typing import NamedTuple
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -51,17 +53,16 @@ PLACE = ["key", "shard", "record", "offset", "length", "count"]
 
 
 def _word_and_marks(chunk: str) -> tuple[str, str]:
-    """A chunk as a word and the marks behind it, if both are encoded alike on their own, else as one part. Words of
-    Latin letters lose their capitals."""
+    """A chunk as a word and the marks behind it, if both are encoded alike on their own, else as one part."""
     word = chunk.rstrip(MARKS)
-    if not word or word == chunk and not word.isalpha() or not word[-1].isalpha() or max(word) > LAST_LATIN:
+    if not word or word == chunk or not word[-1].isalpha() or max(word) > LAST_LATIN:
         return chunk, ""
-    return word.lower() if word.isalpha() else word, chunk[len(word) :]
+    return word, chunk[len(word) :]
 
 
 class Encoder:
     """Ids of texts as bytes. With by_chunk, what stands between spaces and line feeds is encoded on its own and
-    remembered, and words apart from the marks behind them and from their capitals. That gives equal ids for tokenizers
+    remembered, words apart from the marks behind them, and texts of Latin letters without their capitals. That gives equal ids for tokenizers
     that fold case, keep letters apart from marks, end a token at white space and drop it; others need by_chunk off."""
 
     def __init__(self, path: str, end_id: int, by_chunk: bool):
@@ -72,6 +73,7 @@ class Encoder:
         self.kind = np.dtype("<u2" if max(self.model.get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4")
         self.end = np.array([end_id], self.kind).tobytes()
         self.by_chunk = by_chunk
+        self.added = [x.content for x in self.model.get_added_tokens_decoder().values()]
         self.between = self.model.encode(BETWEEN, add_special_tokens=False).ids
         self.recent: dict[str, bytes] = {"": b""}
         self.older: dict[str, bytes] = {}
@@ -96,30 +98,55 @@ class Encoder:
         coded.update(zip(rest, self._whole(rest), strict=True))
         return [coded[w] for w in words]
 
-    def _unknown(self, chunks: set[str]) -> set[str]:
-        """The chunks that aren't remembered; what the older generation holds moves to the recent one."""
-        need = chunks.difference(self.recent)
-        for c in need.intersection(self.older):
-            self.recent[c] = self.older[c]
-        return need.difference(self.recent)
+    def _lower(self, text: str) -> str:
+        """A text of Latin letters without its capitals, unless that spells a token that is looked for in texts as they are."""
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return text
+        low = text.lower()
+        return text if any(x in low for x in self.added) else low
+
+    def _remembered(self, chunks: list[str]) -> list[bytes | None]:
+        """What is remembered of chunks; what the older generation holds moves to the recent one."""
+        out, older = list(map(self.recent.get, chunks)), self.older
+        if older:
+            for i in [i for i, x in enumerate(out) if x is None and chunks[i] in older]:
+                out[i] = self.recent[chunks[i]] = older[chunks[i]]
+        return out
+
+    def _ids_of(self, chunks: list[str]) -> list[bytes]:
+        """Ids of different chunks, remembered or not."""
+        out = self._remembered(chunks)
+        at = [i for i, x in enumerate(out) if x is None]
+        new = [chunks[i] for i in at]
+        parts = {c: pair for c in new if not c.isalpha() and (pair := _word_and_marks(c))[1]}
+        more = list({x for pair in parts.values() for x in pair})
+        first = sorted({c for c in new if c not in parts}.union(x for x, ids in zip(more, self._remembered(more), strict=True) if ids is None))
+        recent = self.recent
+        recent.update(zip(first, self._words(first), strict=True))
+        for c, (word, marks) in parts.items():
+            recent[c] = recent[word] + recent[marks]
+        for i, c in zip(at, new, strict=True):
+            out[i] = recent[c]
+        for c in [c for c in (*new, *first) if len(c) > CHUNK_CHARS]:
+            recent.pop(c, None)
+        if len(recent) > REMEMBERED:
+            self.older, self.recent = recent, {"": b""}
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.by_chunk:
             return [x + self.end for x in self._whole(texts)]
-        chunks = [t.replace("\n", " ").split(" ") for t in texts]
-        new = self._unknown(set().union(*chunks))
-        parts = {c: _word_and_marks(c) for c in new}
-        first = sorted(self._unknown({x for pair in parts.values() for x in pair}))
-        self.recent.update(zip(first, self._words(first), strict=True))
-        for c, (word, marks) in parts.items():
-            self.recent[c] = self.recent[word] + self.recent[marks]
-        out = [b"".join(map(self.recent.__getitem__, c)) + self.end for c in chunks]
-        for c in [*new, *first]:
-            if len(c) > CHUNK_CHARS:
-                self.recent.pop(c, None)
-        if len(self.recent) > REMEMBERED:
-            self.older, self.recent = self.recent, {"": b""}
-        return out
+        if not texts:
+            return []
+        lists = pc.split_pattern(pc.replace_substring(pa.array(map(self._lower, texts), pa.large_string()), "\n", " "), " ")
+        chunks = lists.flatten().dictionary_encode()
+        ids = pa.array(self._ids_of(chunks.dictionary.to_numpy(zero_copy_only=False).tolist()), pa.large_binary()).take(chunks.indices)
+        ends, data = np.frombuffer(ids.buffers()[1], np.int64, len(ids) + 1), ids.buffers()[2] or b""
+        edges = ends[lists.offsets.to_numpy()].tolist()
+        whole = memoryview(data)
+        return [bytes(whole[a:b]) + self.end for a, b in itertools.pairwise(edges)]
 
 
 _encoders: dict[tuple, Encoder] = {}

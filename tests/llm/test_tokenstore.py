@@ -134,3 +134,17 @@ def test_query_over_documents(spark, library):
         assert (out[d["doc_id"]]["start"], out[d["doc_id"]]["n_tokens"], out[d["doc_id"]]["ids_crc32"]) == (at, len(ids) // 4, zlib.crc32(ids))
         at += len(ids) // 4
     assert len(out) == len(docs) and re.fullmatch(r".*tokens", common.fresh_path(spark, "tokens"))
+
+
+def test_capitals_are_encoded_once(library):
+    e = tokenstore.Encoder(PATH, 1, True)
+    texts = ["Ab1 AB1, ÀB.c àb.C\nab1.", "", " \n", "İB1 ΑΣ. ẞB1!"]
+    assert [x for t in e.encode(texts) for x in np.frombuffer(t, e.kind)] == [x for t in want(library, texts) for x in np.frombuffer(t, "<u4")]
+    assert "ab1" in e.recent and not {"AB1", "AB1,", "ÀB.c", "àb.C"} & e.recent.keys()
+    assert e.encode([]) == []
+
+
+def test_capitals_spell_no_added_token(library):
+    texts = ["A <|ENDOFTEXT|> B", "<|endoftext|> C", "X<|StartOfText|>"]
+    e = tokenstore.Encoder(PATH, 1, True)
+    assert [x for t in e.encode(texts) for x in np.frombuffer(t, e.kind)] == [x for t in want(library, texts) for x in np.frombuffer(t, "<u4")]
