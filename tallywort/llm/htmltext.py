@@ -1,9 +1,13 @@
 """HTML extraction by equivalence-class template deduction.
 
 A page's tokens are its block elements, named by their path with classes; its texts, named by path and wording; and
-the first ``LEAD`` words of each text, named by path and word.
+all words of its texts, named by path and word.
 
-1. A token's occurrence vector says how often it occurs on each page of the host. Vectors are compared by
+1. Pages are parsed once and stored. Texts and words that can't be on ``MIN_SHARE`` of their host's pages are left out
+   first: each part of a host's pages lists the codes (16 bits of a hash) on ``LISTED`` of its pages or more with the
+   pages beyond that, and what isn't listed has no more, so sums of the lists bound every token from above. At most
+   four times a mean page's codes are left of a host; tokens that only share such a code fall away once counted.
+   A token's occurrence vector says how often it occurs on each page of the host. Vectors are compared by
    fingerprint: the sum over pages of a page's random weight times the count, a sum that is built up in the
    tasks, so that no host's pages are ever gathered and a host with a third of all pages is a few rows a task.
 2. Tokens of a host with equal vectors form an equivalence class. A class is valid if it has ``MIN_TOKENS``
@@ -32,7 +36,9 @@ unused. Time and memory grow with a page's length however deep it nests.
 from __future__ import annotations
 
 import html as entities
+import math
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -47,14 +53,16 @@ from . import common
 from .urlfilter import host_of
 
 MIN_TOKENS, MIN_PAGES, MIN_SHARE = 2, 8, 0.5
-#: Words of a text that are tokens; a region's part of the mass around it; parts of a mass that said and hinted boilerplate counts.
-LEAD, MAJOR, SAID, HINTED = 4, 0.6, 0.02, 0.3
+#: Part of the pages in a part of a host's from which a text or word is listed.
+LISTED = MIN_SHARE / 2
+#: Words of a text that are tokens (all); a region's part of the mass around it; parts of a mass that said and hinted boilerplate counts.
+LEAD, MAJOR, SAID, HINTED = None, 0.6, 0.02, 0.3
 #: Part of the page's mass that may stay behind in paragraphs beside a region that is no article.
 LEFT = 0.05
 #: Part of the main region's mass that a hinting slot may hold and go; shares of links and of template words that make a slot go.
 MINOR, MAX_LINK_SHARE, MAX_TEMPLATE_SHARE = 0.3, 0.5, 0.8
-#: Rows of partial sums that a task holds.
-FLUSH = 150_000
+#: Rows of partial sums, and codes of a part of the pages, that a task holds.
+FLUSH, PART = 150_000, 4_000_000
 
 #: Element names of HTML by role, and words of classes and ids by convention.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -114,7 +122,6 @@ class Block:
     path: int
     text: str
     words: list[str]
-    kept: bool
 
 
 @dataclass
@@ -165,7 +172,6 @@ class _Open:
     inside: bool = False  # an article or main part
     link: bool = False
     mute: bool = False
-    kept: bool = False  # in the main region and not dropped from it
     words: int = 0
     chars: int = 0
     links: int = 0
@@ -201,11 +207,10 @@ class _Stack:
                 e.links += x.links
 
 
-def parse(source: str, template: Template | None = None) -> Page:
-    """Blocks and elements of a page; blocks are kept if they are in the template's region and not dropped from it."""
+def parse(source: str) -> Page:
+    """Blocks and elements of a page; an element comes behind its parent."""
     page = Page()
-    region, dropped = (template.region, template.dropped) if template else (0, frozenset())
-    stack = _Stack(_Open("", 0, True, kept=region == 0), page)
+    stack = _Stack(_Open("", 0, True), page)
     page.elements[0] = Element(0, NOTHING, 0, 1)
     parts: list[str] = []
     linked = turn = 0
@@ -216,7 +221,7 @@ def parse(source: str, template: Template | None = None) -> Page:
             words = "".join(parts).split()
             if words:
                 top, text = stack.items[-1], " ".join(words)
-                page.blocks.append(Block(top.path, text, words, top.kept))
+                page.blocks.append(Block(top.path, text, words))
                 top.words += len(words)
                 top.chars += len(text)
                 top.links += min(linked, len(text))
@@ -266,7 +271,7 @@ def parse(source: str, template: Template | None = None) -> Page:
             continue
         attributes = {k.lower(): a or b or c or "" for k, a, b, c in _ATTRIBUTE.findall(m[3] or m[6] or "")}
         top = stack.items[-1]
-        x = _Open(name, top.path, name in BLOCK, top.inside or name in CONTENT, top.link or name == "a", top.mute or _is_hidden(name, attributes), top.kept)
+        x = _Open(name, top.path, name in BLOCK, top.inside or name in CONTENT, top.link or name == "a", top.mute or _is_hidden(name, attributes))
         if x.own:
             x.path = _hash(top.path, name, *sorted(attributes.get("class", "").split()), attributes.get("id", "") if not any(c.isdigit() for c in attributes.get("id", "")) else "")
             e = page.elements.get(x.path)
@@ -274,7 +279,6 @@ def parse(source: str, template: Template | None = None) -> Page:
                 e = page.elements[x.path] = Element(top.path, _told(name, attributes, x.inside), turn)
             e.count += 1
             turn += 1
-            x.kept = (x.kept or x.path == region) and x.path not in dropped
         stack.push(x)
     end_block()
     stack.cut(1)
@@ -357,13 +361,116 @@ def chosen(elements: dict[int, Element], regions: set[int], template_words: dict
     return Template(region, frozenset(dropped))
 
 
+#: A page as stored: its random weights, its elements (path, then the numbers of Element), the paths of its blocks, and
+#: their texts, which hold no line breaks.
+STORED = {"one": pa.int64(), "two": pa.int64(), "elements": pa.list_(pa.int64()), "paths": pa.list_(pa.int64()), "text": pa.string()}
+NUMBERS = 8
+
+
+def _weights(page_id: object, source: str) -> tuple[int, int]:
+    weight = xxhash.xxh3_64_intdigest(f"{page_id} {xxhash.xxh3_64_intdigest(source)}")
+    return weight & 0x3FFFFFFF, weight >> 32 & 0x3FFFFFFF
+
+
+def _stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of (page_id, url, host, html): the pages as stored."""
+    for batch in batches:
+        rows = []
+        for page_id, source in zip(batch.column(0), batch.column(3), strict=True):
+            source = source.as_py() or ""
+            page = parse(source)
+            elements = [x for h, e in page.elements.items() for x in (h, e.parent, e.told, e.first, e.count, e.words, e.chars, e.links)]
+            rows.append((*_weights(page_id.as_py(), source), elements, [b.path for b in page.blocks], "\n".join(b.text for b in page.blocks)))
+        cols = zip(*rows, strict=True) if rows else [()] * len(STORED)
+        arrays = [pa.array(c, t) for c, t in zip(cols, STORED.values(), strict=True)]
+        yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), *arrays], ["page_id", "url", "host", *STORED])
+
+
+def _blocks(paths: pa.ListScalar, text: pa.StringScalar) -> list[Block]:
+    at = paths.values.to_numpy().tolist()
+    return [Block(p, x, x.split(" ")) for p, x in zip(at, text.as_py().split("\n") if at else (), strict=True)]
+
+
+def _page(elements: pa.ListScalar, paths: pa.ListScalar, text: pa.StringScalar) -> Page:
+    numbers = elements.values.to_numpy().reshape(-1, NUMBERS).tolist()
+    return Page(_blocks(paths, text), {h: Element(*x) for h, *x in numbers})
+
+
 #: Kinds of rows of the partial sums.
 PAGE, ELEMENT, TEXT, WORD = range(4)
 SUMS = ["one", "two", "pages", "times", "place", "words", "chars", "links"]
 
 
+def _code(path: int, word: str) -> int:
+    return zlib.crc32(word.encode(), path & 0xFFFFFFFF) & 0xFFFF
+
+
+def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of stored pages (host, paths, text), part by part and host by host: the pages, the most of them that a code not listed is
+    on, the codes of texts and words on LISTED of the pages or more, and on how many beyond that most."""
+    names, types = ["host", "pages", "most", "codes", "more"], [pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+    found: dict[str, list[np.ndarray]] = {}
+
+    def part() -> pa.RecordBatch:
+        rows = []
+        for host, pages in found.items():
+            most = math.ceil(len(pages) * LISTED) - 1
+            codes, counts = np.unique(np.concatenate(pages), return_counts=True)
+            often = counts > most
+            rows.append((host, len(pages), most, codes[often].tobytes(), (counts[often] - most).astype("<u4").tobytes()))
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+
+    held = 0
+    for batch in batches:
+        for host, paths, text in zip(*batch.columns, strict=True):
+            by_path: dict[int, set[str]] = {}
+            codes = set()
+            for b in _blocks(paths, text):
+                by_path.setdefault(b.path, set()).update(b.words)
+                codes.add(_hash("text", b.path, b.text) & 0xFFFF)
+            for path, words in by_path.items():
+                codes |= {_code(path, w) for w in words}
+            found.setdefault(host.as_py(), []).append(np.fromiter(codes, "<u2", len(codes)))
+            held += len(codes)
+            if held > PART:
+                yield part()
+                found, held = {}, 0
+    if found:
+        yield part()
+
+
+def _often(group: pd.DataFrame) -> pd.DataFrame:
+    """Of a host's lists, the codes that may be on MIN_SHARE and MIN_PAGES of its pages; a list holds four mean pages' codes at most."""
+    codes, which = np.unique(np.frombuffer(b"".join(group["codes"]), "<u2"), return_inverse=True)
+    bound = np.bincount(which, np.frombuffer(b"".join(group["more"]), "<u4"), len(codes)) + group["most"].sum()
+    codes = codes[bound >= max(MIN_PAGES, group["pages"].sum() * MIN_SHARE)]
+    return pd.DataFrame({"_host": [group["host"].iloc[0]], "wanted": [codes.tobytes()], "n": [len(codes)]})
+
+
+class _Wanted:
+    """The codes of a host whose texts and words are counted."""
+
+    def __init__(self, codes: bytes):
+        self.codes = frozenset(np.frombuffer(codes, "<u2").tolist())
+        self.hashes: dict[tuple[int, str], int] = {}
+
+    def words(self, b: Block) -> list[int]:
+        """Hashes of the block's words that are counted, repeated ones too."""
+        if len(self.hashes) > FLUSH:
+            self.hashes.clear()
+        out = []
+        for w in b.words:
+            if _code(b.path, w) in self.codes:
+                h = self.hashes.get((b.path, w))
+                if h is None:
+                    h = self.hashes[b.path, w] = _hash("word", b.path, w)
+                out.append(h)
+        return out
+
+
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Partial sums by host and token."""
+    """Partial sums by host and token. Batches are of (host, page_id, html), of which all tokens are counted, or of stored
+    pages (host, wanted, ...), of which the elements and the texts and words of the codes wanted are."""
     names = ["host", "token", "kind", "parent", "told", *SUMS]
     types = [pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), *[pa.int64()] * len(SUMS)]
 
@@ -372,24 +479,43 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names)
 
     found: dict[tuple, list[int]] = {}
+    known: dict[str, _Wanted] = {}
     for batch in batches:
-        for host, page_id, source in zip(*batch.columns, strict=True):
-            host, source = host.as_py(), source.as_py() or ""
-            weight = xxhash.xxh3_64_intdigest(f"{page_id.as_py()} {xxhash.xxh3_64_intdigest(source)}")
-            one, two = weight & 0x3FFFFFFF, weight >> 32 & 0x3FFFFFFF
-            page = parse(source)
+        stored = "wanted" in batch.schema.names
+        for row in zip(*batch.columns, strict=True):
+            host, wanted = row[0].as_py(), None
+            if stored:
+                wanted = known.get(host)
+                if wanted is None:
+                    if len(known) > 1000:
+                        known.clear()
+                    wanted = known[host] = _Wanted(row[1].as_py() or b"")
+                one, two, page = row[2].as_py(), row[3].as_py(), _page(*row[4:])
+            else:
+                source = row[2].as_py() or ""
+                (one, two), page = _weights(row[1].as_py(), source), parse(source)
             tokens: dict[tuple, list[int]] = {}
             for h, e in page.elements.items():
-                key = (host, h, ELEMENT if h else PAGE, e.parent, e.told)
-                tokens[key] = [e.count, e.first, e.words, e.chars, e.links]
+                tokens[h, ELEMENT if h else PAGE, e.parent, e.told] = [e.count, e.first, e.words, e.chars, e.links]
             for i, b in enumerate(page.blocks):
-                tokens.setdefault((host, _hash("text", b.path, b.text), TEXT, b.path, NOTHING), [0, i, len(b.words), 0, 0])[0] += 1
-                for w in b.words[:LEAD]:
-                    tokens.setdefault((host, _hash("word", b.path, w), WORD, b.path, NOTHING), [0, i, 1, 0, 0])[0] += 1
-            for key, (n, *rest) in tokens.items():
-                x = found.setdefault(key, [0] * len(SUMS))
-                for i, v in enumerate((one * n, two * n, 1, n, *rest)):
-                    x[i] += v
+                text = _hash("text", b.path, b.text)
+                whole = wanted is not None and text & 0xFFFF in wanted.codes
+                if whole or wanted is None:
+                    tokens.setdefault((text, TEXT, b.path, NOTHING), [0, i, len(b.words), 0, 0])[0] += 1
+                for h in wanted.words(b) if wanted else [_hash("word", b.path, w) for w in b.words]:
+                    x = tokens.setdefault((h, WORD, b.path, NOTHING), [0, i, 0, 0, 0])
+                    x[0] += 1
+                    x[2] += not whole  # a whole text's words are in its own number
+            for key, (n, place, words, chars, links) in tokens.items():
+                x = found.setdefault((host, *key), [0] * len(SUMS))
+                x[0] += one * n
+                x[1] += two * n
+                x[2] += 1
+                x[3] += n
+                x[4] += place
+                x[5] += words
+                x[6] += chars
+                x[7] += links
         if len(found) > FLUSH:
             yield flush()
             found = {}
@@ -405,20 +531,34 @@ def template_of(group: pd.DataFrame) -> Template:
     elements = {r.token: Element(r.parent, r.told, r.place / r.pages, r.times, r.words, r.chars, r.links) for r in rows if r.kind in (PAGE, ELEMENT)}
     regions = {r.token for r in rows if r.kind == ELEMENT and r.token in valid and r.times == r.pages}
     words: dict[int, int] = {}
-    whole = {r.parent for r in rows if r.kind == TEXT and r.token in valid}
     for r in rows:
-        # a text's own words are in it already
-        if r.token in valid and (r.kind == TEXT or r.kind == WORD and r.parent not in whole):
+        if r.token in valid and r.kind in (TEXT, WORD):
             words[r.parent] = words.get(r.parent, 0) + (r.words if r.kind == WORD else r.words // r.pages * r.times)
     found = chosen(elements, regions, words)
     return Template(found.region, found.dropped, frozenset(r.token for r in rows if r.kind == TEXT and r.token in valid))
 
 
+def stored(pages: DataFrame) -> DataFrame:
+    """(page_id, url, host, ...) of every page: what parse finds in it."""
+    slim = pages.select("page_id", "url", host_of(F.col("url")).alias("host"), "html")
+    ids = slim.schema["page_id"].dataType.simpleString()
+    return common.materialize(slim.mapInArrow(_stored, f"page_id {ids}, url string, host string, one long, two long, elements array<long>, paths array<long>, text string"), "html-pages")
+
+
+def wanted(pages: DataFrame) -> tuple[DataFrame, int]:
+    """(_host, wanted) of stored pages: the codes of texts and words that may be on MIN_SHARE and MIN_PAGES of its host's pages;
+    and how many these are."""
+    lists = pages.select("host", "paths", "text").mapInArrow(_listed, "host string, pages long, most long, codes binary, more binary")
+    found = common.materialize(lists.groupBy("host").applyInPandas(_often, "_host string, wanted binary, n long"), "html-wanted")
+    return found.drop("n"), found.agg(F.sum(F.col("n") + 1)).first()[0] or 0
+
+
 def templates(pages: DataFrame) -> DataFrame:
-    """(host, region, dropped, texts): the template of each host with enough pages. Tokens on fewer than MIN_SHARE of
-    its pages fall away before a host's rows meet, so these are at most twice a mean page's tokens."""
-    slim = pages.select(host_of(F.col("url")).alias("host"), "page_id", "html")
-    parts = slim.mapInArrow(_counted, "host string, token long, kind int, parent long, told int, " + ", ".join(f"{c} long" for c in SUMS))
+    """(host, region, dropped, texts) of stored pages: the template of each host with enough pages. Tokens on fewer than
+    MIN_SHARE of its pages fall away before a host's rows meet, so these are at most twice a mean page's tokens."""
+    may, n = wanted(pages)
+    both = common.join_by_id(pages, may, F.col("host") == F.col("_host"), "left", n)
+    parts = both.select("host", "wanted", "one", "two", "elements", "paths", "text").mapInArrow(_counted, "host string, token long, kind int, parent long, told int, " + ", ".join(f"{c} long" for c in SUMS))
     sums = common.materialize(
         parts.groupBy("host", "token", "kind", "parent", "told").agg(*(F.sum(c).alias(c) for c in SUMS)).where(F.col("pages") >= MIN_PAGES), "html-tokens"
     )
@@ -436,39 +576,46 @@ def templates(pages: DataFrame) -> DataFrame:
     return both.groupBy("host").applyInPandas(decide, "host string, region long, dropped array<long>, texts array<long>")
 
 
-def main_text(source: str, template: Template | None) -> str:
+def text_of(page: Page, template: Template | None) -> str:
     """The text of a page's main region."""
-    page = parse(source, template) if template is not None else None
-    if page is None or template.region and template.region not in page.elements:
-        first = parse(source)
-        page = parse(source, chosen(first.elements, {h for h, e in first.elements.items() if e.count == 1}, {}))
-    slots = [b for b in page.blocks if b.kept]
+    region = template
+    if region is None or region.region and region.region not in page.elements:
+        region = chosen(page.elements, {h for h, e in page.elements.items() if e.count == 1}, {})
+    kept = {0: region.region == 0}
+    for h, e in page.elements.items():
+        if h:
+            kept[h] = (kept[e.parent] or h == region.region) and h not in region.dropped
+    slots = [b for b in page.blocks if kept[b.path]]
     own = [b for b in slots if _hash("text", b.path, b.text) not in template.texts] if template is not None else slots
     return "\n".join(b.text for b in own or slots)
 
 
+def main_text(source: str, template: Template | None) -> str:
+    return text_of(parse(source), template)
+
+
 def extracted(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) for every page."""
     common.bound_batches(pages)
-    found = common.materialize(templates(pages.select("page_id", "url", "html")).select(F.col("host").alias("_host"), F.struct("region", "dropped", "texts").alias("_template")), "html-templates")
+    slim = stored(pages)
+    found = common.materialize(templates(slim).select(F.col("host").alias("_host"), F.struct("region", "dropped", "texts").alias("_template")), "html-templates")
     rows = found.agg(F.sum(1 + F.size("_template.dropped") + F.size("_template.texts"))).first()[0] or 0
-    slim = pages.select("page_id", "url", "html")
-    both = common.join_by_id(slim, found, host_of(F.col("url")) == F.col("_host"), "left", rows).drop("_host")
+    both = common.join_by_id(slim, found, F.col("host") == F.col("_host"), "left", rows).select("page_id", "url", "host", "_template", "elements", "paths", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[tuple, Template] = {}
+        known: dict[str, Template] = {}
         for batch in batches:
             texts = []
-            for source, t in zip(batch.column(2), batch.column(3), strict=True):
+            for host, t, *page in zip(*batch.columns[2:], strict=True):
                 template = None
                 if t.is_valid:
-                    key = tuple(tuple(x) if isinstance(x, list) else x for x in t.as_py().values())
-                    if key not in known:
+                    template = known.get(host := host.as_py())
+                    if template is None:
                         if len(known) > 1000:
                             known.clear()
-                        known[key] = Template(key[0], frozenset(key[1]), frozenset(key[2]))
-                    template = known[key]
-                texts.append(main_text(source.as_py() or "", template))
+                        region, dropped, whole = t.as_py().values()
+                        template = known[host] = Template(region, frozenset(dropped), frozenset(whole))
+                texts.append(text_of(_page(*page), template))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     ids = slim.schema["page_id"].dataType.simpleString()

@@ -9,6 +9,7 @@ import time
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -526,6 +527,68 @@ def test_html_classes_match_brute_force(spark):
     assert all(sums[t][2:] == [sum(map(bool, v)), sum(v)] for t, v in vectors.items())
 
 
+def test_html_words_behind_the_first_are_tokens(spark):
+    """A slot that is template but for its first three words and one in the middle goes."""
+    r = random.Random(8)
+    stories = {i: (words_of(r, 60), words_of(r, 40)) for i in range(20)}
+    seen = "{} {} {} were here on the day before and found that our town was {} as it has ever been since peace"
+    page = "<div class=x1>Home</div><div class=x2><p>{}</p><div class=n>{}</div><p>{}</p></div><div class=x4>Made by us</div>"
+    rows = [(i, f"http://plain/{i}", page.format(a, seen.format(*words_of(r, 4).split()), b)) for i, (a, b) in stories.items()]
+    out = {x["page_id"]: x["text"] for x in htmltext.extracted(table(spark, rows, "page_id long, url string, html string")).collect()}
+    assert out == {i: "\n".join(s) for i, s in stories.items()}
+
+
+def test_html_words_beside_whole_texts_count(spark):
+    """Template words count also where a whole text of the template has the same path, and each as often as it occurs."""
+    r = random.Random(9)
+    page = "<div class=x2><p>{}</p><p>{}</p></div><div class=x3><b>{}</b><div class=n>All rights reserved</div><div class=n>seen by {} people in and in and in the town</div></div>"
+    rows = [(i, f"http://h/{i}", page.format(words_of(r, 60), words_of(r, 60), words_of(r, 1), words_of(r, 1))) for i in range(12)]
+    both = htmltext.stored(table(spark, rows, "page_id long, url string, html string")).join(htmltext.wanted(htmltext.stored(table(spark, rows, "page_id long, url string, html string")))[0], F.col("host") == F.col("_host"))
+    got = {}
+    schema = "host string, token long, kind int, parent long, told int, " + ", ".join(f"{c} long" for c in htmltext.SUMS)
+    for x in both.select("host", "wanted", "one", "two", "elements", "paths", "text").mapInArrow(htmltext._counted, schema).collect():
+        n = got.setdefault((x["kind"], x["token"]), [0, 0])
+        n[0] += x["times"]
+        n[1] += x["words"]
+    path = next(b.path for b in htmltext.parse(rows[0][2]).blocks if b.text == "All rights reserved")
+    assert got[htmltext.TEXT, htmltext._hash("text", path, "All rights reserved")] == [12, 36]
+    assert [got[htmltext.WORD, htmltext._hash("word", path, w)] for w in ("rights", "seen", "in", "and", "town")] == [[12, 0], [12, 12], [36, 36], [24, 24], [12, 12]]
+
+
+def test_html_wanted_tokens_match_brute_force(spark, monkeypatch):
+    """No token on half of its host's pages is left out, however the pages are dealt, and few others are counted."""
+    r = random.Random(10)
+    rows = []
+    for i in range(240):
+        host = r.choice("aaaab") if i > 20 else "c"
+        line = " ".join(w for w in "abcdefghijklmnopqrst" if r.random() < (ord(w) - 96) / 20)
+        rows.append((i, f"http://{host}/", f"<div><p>{line}</p><p>{r.choice(['Same text', 'Same text', 'Other text'])}</p><p>{words_of(r, 30)}</p></div>"))
+    rows += [(500 + i, f"http://one{i}/", "<p>a b") for i in range(5)] + [(600, None, None), (601, "http://a/", "")]
+    totals, by_code = {}, {}
+    for _, url, source in rows:
+        host = url.split("/")[2] if url else ""
+        totals[host] = totals.get(host, 0) + 1
+        blocks = htmltext.parse(source or "").blocks
+        for t in {htmltext._hash("text", b.path, b.text) % 2**16 for b in blocks} | {htmltext._code(b.path, w) for b in blocks for w in b.words}:
+            by_code[host, t] = by_code.get((host, t), 0) + 1
+    due = {(h, t) for (h, t), n in by_code.items() if n >= max(htmltext.MIN_PAGES, totals[h] * htmltext.MIN_SHARE)}
+    store = htmltext.stored(table(spark, rows, "page_id long, url string, html string"))
+
+    def codes(found):
+        return {(h, t) for h, w in found for t in np.frombuffer(w, "<u2").tolist()}
+
+    for parts in (1, 7, 60):
+        got = codes(htmltext.wanted(store.repartition(parts))[0].collect())
+        assert due <= got and {h for h, _ in got} == {"a", "b", "c"} and all(by_code[k] >= 0.2 * totals[k[0]] for k in got)
+    # parts that memory bounds are parts like any others
+    columns = store.select("host", "paths", "text").toArrow()
+    whole = sum(b.num_rows for b in htmltext._listed(iter(columns.to_batches())))
+    monkeypatch.setattr(htmltext, "PART", 500)
+    lists = pd.concat([b.to_pandas() for b in htmltext._listed(iter(columns.to_batches(max_chunksize=10)))])
+    assert len(lists) > whole and lists["pages"].sum() == len(rows)
+    assert due <= codes(x for _, g in lists.groupby("host") for x in htmltext._often(g)[["_host", "wanted"]].itertuples(index=False))
+
+
 def test_html_deep_and_long_pages():
     start = time.perf_counter()
     deep = htmltext.main_text("<div>x" * 20_000, None)
